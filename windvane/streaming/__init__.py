@@ -1,0 +1 @@
+"""No operator here: the work this package covers is batch only."""
