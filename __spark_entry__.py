@@ -348,7 +348,7 @@ def coerce_numeric(spark, sf_dir):
              F.concat(row, F.lit("e3")), F.lit("nan"), F.lit("inf"), F.lit("")]
     for i, form in enumerate(forms):
         text = F.when(F.col("event_id") % 8 == i, form).otherwise(text)
-    return events.select(F.col("event_id").alias("row_id"), sensors.to_number(text).alias("number"))
+    return events.select(F.col("event_id").alias("row_id"), text.alias("text")).select("row_id", sensors.to_number("text").alias("number"))
 
 
 @query("unit_normalize", sql(HARM, "SELECT row_id, farm_id, active_power, gen_speed FROM harm"))
@@ -706,7 +706,7 @@ ordered AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS step FROM siz
 fold_steps AS (
   SELECT 0 AS step, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::VARCHAR AS g, NULL::BIGINT AS fold
   UNION ALL
-  SELECT o.step, list_transform(p.loads, (x, i) -> CASE WHEN i = list_position(p.loads, list_min(p.loads)) THEN x + o.n ELSE x END),
+  SELECT o.step, list_transform(p.loads, lambda x, i: CASE WHEN i = list_position(p.loads, list_min(p.loads)) THEN x + o.n ELSE x END),
          o.g, list_position(p.loads, list_min(p.loads)) - 1
   FROM fold_steps p JOIN ordered o ON o.step = p.step + 1)
 SELECT row_id, CAST(fold AS INTEGER) AS fold FROM scada JOIN fold_steps ON g = farm_id || '__' || asset_id""")
@@ -875,16 +875,7 @@ predicted AS (SELECT s.row_id, time_stamp, farm_id, asset_id, y_prob AS y_proba
                                   + _TIMELINE.replace("$signals", "y_proba").replace("$source", "predicted"),
                                   f"SELECT time_stamp, farm_id, asset_id, event_id, y_proba, {_HOURS}, {_z('y_proba')}, CASE WHEN y_proba >= CAST(0.78 AS DOUBLE) THEN 1 ELSE 0 END AS y_pred FROM inside"))
 def prediction_timeline(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    y = (F.col("event_type") == "error").cast("int")
-    noise = ((F.col("event_id") * 7919) % 1000).cast("double") / 1000
-    turbine = F.col("user_id") % fleet.TURBINES
-    predictions = events.select(
-        F.col("ts").alias("time_stamp"),
-        F.when(turbine % 3 == 0, "A").when(turbine % 3 == 1, "B").otherwise("C").alias("farm_id"),
-        turbine.cast("string").alias("asset_id"), (F.lit(0.7) * noise + F.lit(0.3) * y).alias("y_proba"),
-    )
-    lines = timeline.prediction_timeline(predictions, fleet.faults(spark, sf_dir))
+    lines = timeline.prediction_timeline(fleet.predictions(spark, sf_dir), fleet.faults(spark, sf_dir))
     return _rounded(lines, ["y_proba_z"]).select(
         "time_stamp", "farm_id", "asset_id", "event_id", "y_proba", "hours_from_event_start", "y_proba_z", "y_pred"
     )

@@ -11,32 +11,35 @@ def zero() -> Column:
     return F.lit(0.0)
 
 
-def to_number(column: Column | str) -> Column:
-    """Text to DOUBLE; anything that is not a plain number (and NaN) becomes NULL.
+def number_sql(name: str) -> str:
+    """SQL of a text column read as DOUBLE; what is not a plain number, and NaN, becomes NULL.
 
     Spark's cast also takes Java literals such as ``1.5d`` and ``2f``; those are rejected.
     """
-    text = F.trim(F.col(column) if isinstance(column, str) else column)
-    number = text.try_cast("double")
-    java_suffix = F.lower(F.right(text, F.lit(1))).isin("d", "f") & ~F.lower(F.right(text, F.lit(3))).isin("inf")
-    return F.when(~java_suffix & ~F.isnan(number), number)
+    number = f"try_cast(`{name}` AS double)"
+    return (
+        f"CASE WHEN {number} IS NOT NULL AND NOT isnan({number})"
+        rf" AND NOT (`{name}` RLIKE r'[0-9.][dDfF]\s*$') THEN {number} END"
+    )
 
 
-def null_if_nan(column: Column) -> Column:
-    return F.when(~F.isnan(column), column)
+def to_number(name: str) -> Column:
+    return F.expr(number_sql(name))
+
 
+def mean_sql(names: list[str]) -> str:
+    """SQL of the mean over the non-null columns; NULL when all are NULL or none is given."""
+    if not names:
+        return "CAST(NULL AS double)"
+    if len(names) == 1:
+        return f"`{names[0]}`"
+    total = " + ".join(["0D", *[f"coalesce(`{n}`, 0D)" for n in names]])
+    present = " + ".join(f"int(`{n}` IS NOT NULL)" for n in names)
+    return f"CASE WHEN {present} > 0 THEN ({total}) / ({present}) END"
 
-def channel_mean(columns: list[Column]) -> Column:
-    """Row-wise mean over the non-null channels; NULL when all are NULL or none is given."""
-    if not columns:
-        return F.lit(None).cast("double")
-    if len(columns) == 1:
-        return columns[0]
-    total, present = F.lit(0.0), F.lit(0)
-    for column in columns:
-        total = total + F.coalesce(column, zero())
-        present = present + F.when(column.isNotNull(), 1).otherwise(0)
-    return F.when(present > 0, total / present)
+
+def null_if_nan(column: Column) -> Column:
+    return F.when(~F.isnan(column), column)
 
 
 def normalized_power(power: Column, unit: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from windvane import config
 from windvane.config import FarmMap
 from windvane.functions import sensors
 from windvane.session import require_columns, small_side
@@ -17,17 +18,18 @@ def map_sensors(raw: DataFrame, farm: str, farms: FarmMap = FarmMap(), keep: tup
     require_columns(raw, "time_stamp")
     available = set(raw.columns)
     asset = F.coalesce(F.col("asset_id").cast("string"), F.lit("nan")) if "asset_id" in available else F.lit("Unknown")
-    features = []
-    for feature in farms.features:
-        refs = [r for r in farms.channels[farm].get(feature, ()) if r in available]
-        features.append(sensors.channel_mean([sensors.to_number(F.col(f"`{r}`").cast("string")) for r in refs]).alias(feature))
-    return raw.select(
+    present = {f: [r for r in farms.channels[farm].get(f, ()) if r in available] for f in farms.features}
+    channels = list(dict.fromkeys(r for refs in present.values() for r in refs))
+    # Parse every channel once, in its own projection; the means below reuse the numbers.
+    numbers = raw.select(
         F.col("time_stamp").cast("timestamp_ntz").alias("time_stamp"),
         F.lit(farm).alias("farm_id"),
         asset.alias("asset_id"),
-        *features,
+        *[sensors.to_number(r).alias(f"_n_{r}") for r in channels],
         *keep,
     )
+    means = [f"{sensors.mean_sql([f'_n_{r}' for r in refs])} AS {f}" for f, refs in present.items()]
+    return numbers.selectExpr(*config.IDENTITY_COLUMNS, *means, *keep)
 
 
 def normalize_units(df: DataFrame, farms: FarmMap = FarmMap()) -> DataFrame:

@@ -106,17 +106,17 @@ class OrderedChunks:
     ) -> "OrderedChunks":
         sums = list(sums or [])
         slim = df.select(*dict.fromkeys([*keys, *order, *sums]))
-        total = slim.count()
-        limit = max(
-            math.ceil(total / MAX_CHUNKS),
-            min(rows_per_chunk, math.ceil(total / min_chunks)),
-            halo,
-            1,
-        )
         axes = list(itertools.takewhile(lambda name: _is_axis(df.schema[name].dataType), order))
-        layout = cls(list(keys), list(order), total, limit, halo, sums, axes)
-        if total > limit:
-            layout._subdivide(slim)
+        layout = cls(list(keys), list(order), 0, 1, halo, sums, axes)
+        # One history: its size and extent come from the same pass. Several: count first,
+        # a table below the limit holds no long history.
+        whole = None if keys else layout._cell(slim.agg(*layout._measures(slim)).first(), ())
+        layout.total = total = slim.count() if whole is None else whole.rows
+        layout.limit = max(
+            math.ceil(total / MAX_CHUNKS), min(rows_per_chunk, math.ceil(total / min_chunks)), halo, 1
+        )
+        if total > layout.limit:
+            layout._subdivide(slim, [whole] if whole else layout._long_histories(slim))
         return layout
 
     def _measures(self, df: DataFrame) -> list[Column]:
@@ -134,10 +134,12 @@ class OrderedChunks:
             [row[f"_sum{i}"] or 0 for i in range(len(self.sums))],
         )
 
-    def _subdivide(self, slim: DataFrame) -> None:
+    def _long_histories(self, slim: DataFrame) -> list[_Cell]:
         # At most total / limit <= MAX_CHUNKS histories can exceed the limit.
         histories = slim.groupBy(*self.keys).agg(*self._measures(slim)).filter(F.col("_rows") > self.limit)
-        crowded = [self._cell(row, ()) for row in histories.collect()]
+        return [self._cell(row, ()) for row in histories.collect()]
+
+    def _subdivide(self, slim: DataFrame, crowded: list[_Cell]) -> None:
         leaves: dict[tuple, list[_Cell]] = defaultdict(list)
         located = slim.withColumn(PATH, F.array().cast("array<int>"))
         while crowded:

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windvane import config
-from windvane.functions import sensors
 from windvane.operators.features import derive_features
 from windvane.operators.harmonize import normalize_units
 from windvane.operators.labeling import label_states
@@ -33,45 +32,40 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 
 
+_FARM = "CASE turbine % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END"
+
+# Sensor features in farm units, as arithmetic on the event.
+_SENSORS = {
+    "amb_temp": "double(row_id % 40 - 5)",
+    "wind_speed": "CASE WHEN row_id % 97 <> 0 THEN k / 4 END",
+    "pitch_angle": "double(bigint(k) % 30)",
+    "active_power": "value",
+    "gen_speed": "CASE WHEN row_id % 97 <> 0 THEN k END",
+    "gearbox_oil_temp": "CASE WHEN row_id % 97 <> 0 THEN 40 + value / 10 END",
+    "transformer_temp": "35 + k / 3",
+    "nacelle_temp": "20 + k / 5",
+    "hub_temp": "double(row_id % 17 + 15)",
+    "yaw_error": "CASE WHEN turbine <> 3 THEN double((row_id * 29) % 90) END",
+    "vibration_raw": "value - 20",
+    "hydraulic_temp": "CASE WHEN turbine % 3 <> 1 THEN 30 + value / 25 END",
+    "generator_temp": "CASE WHEN row_id % 7 <> 0 THEN ((50 + value / 8) + (48 + k / 6)) / 2 ELSE 48 + k / 6 END",
+    "wind_direction": "(row_id * 37) % 360",
+    "nacelle_direction": "(row_id * 53) % 360",
+}
+
+
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    turbine = F.col("user_id") % TURBINES
-    return events.select(
-        F.col("event_id").alias("row_id"),
-        F.col("ts").alias("time_stamp"),
-        turbine.alias("event_id"),
-        F.when(turbine % 3 == 0, "A").when(turbine % 3 == 1, "B").otherwise("C").alias("farm_id"),
-        turbine.cast("string").alias("asset_id"),
-        "value",
-        F.get_json_object("props", "$.k").cast("double").alias("k"),
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id AS row_id", "ts AS time_stamp", f"user_id % {TURBINES} AS turbine", "event_type", "value",
+        "double(get_json_object(props, '$.k')) AS k",
     )
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sensor features in farm units, before unit normalization."""
-    base = _base(spark, sf_dir)
-    row, value, k, farm = F.col("row_id"), F.col("value"), F.col("k"), F.col("farm_id")
-    working = row % 97 != 0
-    generator = sensors.channel_mean([F.when(row % 7 != 0, F.lit(50) + value / 8), F.lit(48) + k / 6])
-    features = {
-        "amb_temp": (row % 40 - 5).cast("double"),
-        "wind_speed": F.when(working, k / 4),
-        "pitch_angle": (k.cast("bigint") % 30).cast("double"),
-        "active_power": value,
-        "gen_speed": F.when(working, k),
-        "gearbox_oil_temp": F.when(working, F.lit(40) + value / 10),
-        "transformer_temp": F.lit(35) + k / 3,
-        "nacelle_temp": F.lit(20) + k / 5,
-        "hub_temp": (row % 17 + 15).cast("double"),
-        "yaw_error": F.when(F.col("event_id") != 3, ((row * 29) % 90).cast("double")),
-        "vibration_raw": value - 20,
-        "hydraulic_temp": F.when(farm != "B", F.lit(30) + value / 25),
-        "generator_temp": generator,
-        "wind_direction": (row * 37) % 360,
-        "nacelle_direction": (row * 53) % 360,
-    }
-    return base.select(
-        *config.IDENTITY_COLUMNS, "event_id", "row_id", *[c.alias(name) for name, c in features.items()]
+    return _base(spark, sf_dir).selectExpr(
+        "time_stamp", f"{_FARM} AS farm_id", "string(turbine) AS asset_id", "turbine AS event_id", "row_id",
+        *[f"{expr} AS {name}" for name, expr in _SENSORS.items()],
     )
 
 
@@ -81,21 +75,11 @@ def harmonized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event per turbine: it starts at the first error on or after the fault date."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    turbine = F.col("user_id") % TURBINES
-    first = (
-        events.filter((F.col("event_type") == "error") & (F.col("ts") >= F.lit(FAULT_FROM).cast("timestamp_ntz")))
-        .groupBy(turbine.alias("event_id"))
-        .agg(F.min("ts").alias("event_start"))
-    )
-    t = F.col("event_id")
-    return first.select(
-        F.when(t % 3 == 0, "A").when(t % 3 == 1, "B").otherwise("C").alias("farm_id"),
-        t.cast("string").alias("asset_id"),
-        "event_id",
-        F.when(t % 3 != 0, "anomaly").otherwise("normal").alias("event_label"),
-        "event_start",
-        (F.col("event_start") + F.expr(f"interval {FAULT_HOURS} hours")).alias("event_end"),
+    errors = _base(spark, sf_dir).filter(f"event_type = 'error' AND time_stamp >= timestamp_ntz'{FAULT_FROM}'")
+    return errors.groupBy("turbine").agg(F.min("time_stamp").alias("event_start")).selectExpr(
+        f"{_FARM} AS farm_id", "string(turbine) AS asset_id", "turbine AS event_id",
+        "CASE WHEN turbine % 3 <> 0 THEN 'anomaly' ELSE 'normal' END AS event_label",
+        "event_start", f"event_start + interval {FAULT_HOURS} hours AS event_end",
     )
 
 
@@ -113,14 +97,18 @@ def labelled(spark: SparkSession, sf_dir: str, buffer_hours: float = 6.0) -> Dat
     )
 
 
+_SCORE = "0.7D * (double((row_id * 7919) % 1000) / 1000) + 0.3D * int(event_type = 'error')"
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and a deterministic score with many ties."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    y = (F.col("event_type") == "error").cast("int")
-    noise = ((F.col("event_id") * 7919) % 1000).cast("double") / 1000
-    return events.select(
-        F.col("event_id").alias("row_id"), y.alias("y_true"),
-        (F.lit(0.7) * noise + F.lit(0.3) * y).alias("y_prob"),
+    return _base(spark, sf_dir).selectExpr("row_id", "int(event_type = 'error') AS y_true", f"{_SCORE} AS y_prob")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same score as a prediction table by turbine and time."""
+    return _base(spark, sf_dir).selectExpr(
+        "time_stamp", f"{_FARM} AS farm_id", "string(turbine) AS asset_id", f"{_SCORE} AS y_proba"
     )
 
 
@@ -130,16 +118,13 @@ def raw_channels(spark: SparkSession, sf_dir: str, farm: str) -> DataFrame:
     Channel ``i`` of a feature is its base value plus ``i``; averaged channels drop out now
     and then, single channels sometimes hold text that is not a number.
     """
-    base = _base(spark, sf_dir).filter(F.col("farm_id") == farm)
-    row, value, k = F.col("row_id"), F.col("value"), F.col("k")
     columns = []
     for place, feature in enumerate(config.STANDARD_FEATURES):
         channels = config.FARM_CHANNELS[farm][feature]
         for i, channel in enumerate(channels):
-            text = (value + k * place + i).cast("string")
-            if len(channels) > 1:
-                text = F.when((row + i) % 7 != 0, text)
-            else:
-                text = F.when(row % 11 == 0, "n/a").otherwise(text)
-            columns.append(text.alias(channel))
-    return base.select(F.col("time_stamp").cast("string").alias("time_stamp"), "asset_id", "row_id", *columns)
+            text = f"string(value + k * {place} + {i})"
+            gaps = f"CASE WHEN (row_id + {i}) % 7 <> 0 THEN {text} END"
+            noise = f"CASE WHEN row_id % 11 = 0 THEN 'n/a' ELSE {text} END"
+            columns.append(f"{gaps if len(channels) > 1 else noise} AS {channel}")
+    own = _base(spark, sf_dir).filter(f"{_FARM} = '{farm}'")
+    return own.selectExpr("string(time_stamp) AS time_stamp", "string(turbine) AS asset_id", "row_id", *columns)
