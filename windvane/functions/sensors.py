@@ -14,12 +14,12 @@ def zero() -> Column:
 def number_sql(name: str) -> str:
     """SQL of a text column read as DOUBLE; what is not a plain number, and NaN, becomes NULL.
 
-    Spark's cast also takes Java literals such as ``1.5d`` and ``2f``; those are rejected.
+    Spark's cast also takes Java literals such as ``1.5d``, ``2f`` and ``0x1p3``; those are rejected.
     """
     number = f"try_cast(`{name}` AS double)"
     return (
         f"CASE WHEN {number} IS NOT NULL AND NOT isnan({number})"
-        rf" AND NOT (`{name}` RLIKE r'[0-9.][dDfF]\s*$') THEN {number} END"
+        rf" AND NOT (`{name}` RLIKE r'[0-9.][dDfF]\s*$|[xX]') THEN {number} END"
     )
 
 
