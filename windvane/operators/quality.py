@@ -142,9 +142,19 @@ def label_validation(df: DataFrame) -> DataFrame:
 def target_correlation(
     df: DataFrame, columns: Sequence[str] | None = None, target: str = "target", n: int | None = 15
 ) -> DataFrame:
-    """Pearson correlation of numeric columns with the target, highest first."""
+    """Pearson correlation of numeric columns with the target, highest first.
+
+    Over rows where both values exist; NULL for a constant column, where ``corr`` itself
+    would divide by zero and fail.
+    """
     names = list(columns or [c for c in feature_columns(df) if c != target])
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"_r{i}") for i, c in enumerate(names)])
+
+    def pearson(name: str) -> Column:
+        x, y = F.col(name).cast("double"), F.col(target).cast("double")
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.try_divide(F.covar_pop(x, y), spread)
+
+    wide = df.agg(*[pearson(c).alias(f"_r{i}") for i, c in enumerate(names)])
     rows = _as_rows(wide, {c: {"correlation": F.col(f"_r{i}")} for i, c in enumerate(names)}, "feature")
     ranked = rows.orderBy(F.desc_nulls_last("correlation"), "feature")
     return ranked if n is None else ranked.limit(n)
