@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windvane import config
@@ -136,26 +136,20 @@ def auc(
     the rows is one record. Positives and negatives above a chunk of scores come with the
     chunk layout; the running sums restart in every chunk.
     """
-    y = F.col(label).cast("double")
-    rows = df.select((-F.col(score)).alias("_rank"), y.alias("_pos"), (F.lit(1.0) - y).alias("_neg"))
+    rows = df.selectExpr(f"-double(`{score}`) AS _rank", f"double(`{label}`) AS _pos", f"1D - double(`{label}`) AS _neg")
     layout = OrderedChunks.plan(
         rows, [], ["_rank"], sums=["_pos", "_neg"], rows_per_chunk=rows_per_chunk, min_chunks=8
     )
-    scores = rows.groupBy("_rank").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
-    running = Window.partitionBy(CHUNK).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
-    placed = layout.assign(scores)
-    tp = F.col("_before__pos") + F.sum("_pos").over(running)
-    fp = F.col("_before__neg") + F.sum("_neg").over(running)
-    ranked = placed.select("_pos", "_neg", tp.alias("_tp"), fp.alias("_fp"))
-    totals = ranked.agg(
-        F.sum("_pos").alias("p"), F.sum("_neg").alias("n"),
-        F.sum((F.col("_tp") - F.col("_pos") / 2) * F.col("_neg")).alias("roc"),
-        F.sum(F.col("_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))).alias("ap"),
+    scores = rows.groupBy("_rank").agg({"_pos": "sum", "_neg": "sum"}).selectExpr("_rank", "`sum(_pos)` AS _pos", "`sum(_neg)` AS _neg")
+    upto = f"OVER (PARTITION BY {CHUNK} ORDER BY _rank ROWS UNBOUNDED PRECEDING)"
+    ranked = layout.assign(scores).selectExpr(
+        "_pos", "_neg", f"_before__pos + sum(_pos) {upto} AS _tp", f"_before__neg + sum(_neg) {upto} AS _fp"
     )
-    both = (F.col("p") > 0) & (F.col("n") > 0)
-    return totals.select(
-        F.when(both, F.col("roc") / (F.col("p") * F.col("n"))).alias("roc_auc"),
-        F.when(both, F.col("ap") / F.col("p")).alias("pr_auc"),
+    totals = ranked.selectExpr(
+        "sum(_pos) AS p", "sum(_neg) AS n", "sum((_tp - _pos / 2) * _neg) AS roc", "sum(_pos * _tp / (_tp + _fp)) AS ap"
+    )
+    return totals.selectExpr(
+        "CASE WHEN p > 0 AND n > 0 THEN roc / (p * n) END AS roc_auc", "CASE WHEN p > 0 AND n > 0 THEN ap / p END AS pr_auc"
     )
 
 

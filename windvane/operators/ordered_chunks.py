@@ -32,25 +32,21 @@ _CELLS_PER_CHUNK = 8
 _MIN_CELLS, _MAX_CELLS = 16, 4096
 _NULL_TIME = 2.6e17  # microseconds after every real timestamp: missing times sort last
 _CLIP = 4e307
+_NO_PATH = "cast(array() AS array<int>)"
 
 CHUNK, BEFORE, EXTRA, PATH = "_chunk", "_before", "_extra", "_path"
 
 
-def epoch_micros(column: Column | str) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP_NTZ, with no time-zone conversion."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column)
-
-
-def _position(df: DataFrame, name: str) -> Column:
-    """Monotone DOUBLE image of an order column (ties after rounding stay in one cell)."""
+def _position(df: DataFrame, name: str) -> str:
+    """SQL of a monotone DOUBLE image of an order column (rounded ties stay in one cell)."""
     dtype = df.schema[name].dataType
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        micros = epoch_micros(F.col(name)) if isinstance(dtype, T.TimestampNTZType) else F.unix_micros(name)
-        return F.coalesce(micros.cast("double"), F.lit(_NULL_TIME))
-    value = F.col(name).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):  # plain difference, no time-zone conversion
+        return f"coalesce(double(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', `{name}`)), {_NULL_TIME}D)"
+    if isinstance(dtype, T.TimestampType):
+        return f"coalesce(double(unix_micros(`{name}`)), {_NULL_TIME}D)"
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.greatest(F.least(value, F.lit(_CLIP)), F.lit(-_CLIP))
-    return value
+        return f"greatest(least(double(`{name}`), {_CLIP}D), -{_CLIP}D)"
+    return f"double(`{name}`)"
 
 
 def _is_axis(dtype: T.DataType) -> bool:
@@ -120,10 +116,12 @@ class OrderedChunks:
         return layout
 
     def _measures(self, df: DataFrame) -> list[Column]:
-        measures = [F.count(F.lit(1)).alias("_rows")]
+        measures = ["count(1) AS _rows"]
         for i, name in enumerate(self.axes):
-            measures += [F.min(_position(df, name)).alias(f"_lo{i}"), F.max(_position(df, name)).alias(f"_hi{i}")]
-        return measures + [F.sum(name).alias(f"_sum{i}") for i, name in enumerate(self.sums)]
+            position = _position(df, name)
+            measures += [f"min({position}) AS _lo{i}", f"max({position}) AS _hi{i}"]
+        measures += [f"sum(`{name}`) AS _sum{i}" for i, name in enumerate(self.sums)]
+        return [F.expr(m) for m in measures]
 
     def _cell(self, row, path: tuple[int, ...]) -> _Cell:
         return _Cell(
@@ -131,7 +129,7 @@ class OrderedChunks:
             path,
             row["_rows"],
             [(row[f"_lo{i}"], row[f"_hi{i}"]) for i in range(len(self.axes))],
-            [row[f"_sum{i}"] or 0 for i in range(len(self.sums))],
+            [float(row[f"_sum{i}"] or 0) for i in range(len(self.sums))],
         )
 
     def _long_histories(self, slim: DataFrame) -> list[_Cell]:
@@ -141,7 +139,7 @@ class OrderedChunks:
 
     def _subdivide(self, slim: DataFrame, crowded: list[_Cell]) -> None:
         leaves: dict[tuple, list[_Cell]] = defaultdict(list)
-        located = slim.withColumn(PATH, F.array().cast("array<int>"))
+        located = slim.selectExpr("*", f"{_NO_PATH} AS {PATH}")
         while crowded:
             split = [cell for cell in crowded if cell.separable()]
             for cell in crowded:
@@ -175,24 +173,19 @@ class OrderedChunks:
         return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
 
     def _matches(self) -> Column:
-        condition = F.col(PATH) == F.col("_r_path")
-        for key in self.keys:
-            condition = condition & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
-        return condition
+        return F.expr(" AND ".join([f"{PATH} = _r_path", *[f"`{k}` <=> `_r_{k}`" for k in self.keys]]))
 
     def _refine(self, df: DataFrame, level: int, inner: bool = False) -> DataFrame:
-        grid = self._lookup(df, self.grids[level], "_depth int, _low double, _step double")
-        position = F.lit(None).cast("double")
-        for i, name in enumerate(self.axes):
-            position = F.when(F.col("_depth") == i, _position(df, name)).otherwise(position)
-        cell = F.floor((position - F.col("_low")) / F.col("_step")).cast("int")
-        columns = [F.col(c) for c in df.columns if c != PATH]
-        deeper = F.when(F.col("_r_path").isNull(), F.col(PATH)).otherwise(F.concat(PATH, F.array(cell)))
-        return df.join(grid, self._matches(), "inner" if inner else "left").select(*columns, deeper.alias(PATH))
+        grid = self._lookup(df, self.grids[level], "_axis int, _low double, _step double")
+        choices = " ".join(f"WHEN {i} THEN {_position(df, name)}" for i, name in enumerate(self.axes))
+        cell = f"int(floor((CASE _axis {choices} END - _low) / _step))"
+        deeper = f"CASE WHEN _r_path IS NULL THEN {PATH} ELSE concat({PATH}, array({cell})) END AS {PATH}"
+        columns = [f"`{c}`" for c in df.columns if c != PATH]
+        return df.join(grid, self._matches(), "inner" if inner else "left").selectExpr(*columns, deeper)
 
     def locate(self, df: DataFrame) -> DataFrame:
         """Add the cell path of every row (empty for short histories)."""
-        located = df.withColumn(PATH, F.array().cast("array<int>"))
+        located = df.selectExpr("*", f"{_NO_PATH} AS {PATH}")
         for level in range(len(self.grids)):
             located = self._refine(located, level)
         return located
@@ -201,7 +194,7 @@ class OrderedChunks:
         rows = []
         for key, cells in self.leaves.items():
             starts: dict[int, tuple] = {}  # chunk -> rows and sums before it
-            placed, before, running = [], 0, [0] * len(self.sums)
+            placed, before, running = [], 0, [0.0] * len(self.sums)
             for cell in cells:
                 chunk = before // self.limit
                 starts.setdefault(chunk, (before, *running))
@@ -229,19 +222,14 @@ class OrderedChunks:
         """
         names = [f"_before_{s}" for s in self.sums]
         if self.trivial:
-            return df.select(
-                "*", F.lit(0).alias(CHUNK), F.array().cast("array<int>").alias(EXTRA),
-                F.lit(0).cast("bigint").alias(BEFORE), *[F.lit(0).cast("double").alias(n) for n in names],
-            )
-        sums = "".join(f", _s{i} double" for i in range(len(names)))
-        rows = [(*row[: len(row) - len(names)], *map(float, row[len(row) - len(names):])) for row in self._layout_rows()]
-        table = self._lookup(df, rows, f"_c int, _e array<int>, _b bigint{sums}")
-        return self.locate(df).join(table, self._matches(), "left").select(
-            *[F.col(c) for c in df.columns],
-            F.coalesce("_c", F.lit(0)).alias(CHUNK),
-            F.coalesce("_e", F.array().cast("array<int>")).alias(EXTRA),
-            F.coalesce("_b", F.lit(0).cast("bigint")).alias(BEFORE),
-            *[F.coalesce(f"_s{i}", F.lit(0.0)).alias(n) for i, n in enumerate(names)],
+            sums = [f"0D AS {n}" for n in names]
+            return df.selectExpr("*", f"0 AS {CHUNK}", f"{_NO_PATH} AS {EXTRA}", f"0L AS {BEFORE}", *sums)
+        fields = ", ".join(["_c int, _e array<int>, _b bigint", *[f"_s{i} double" for i in range(len(names))]])
+        table = self._lookup(df, self._layout_rows(), fields)
+        return self.locate(df).join(table, self._matches(), "left").selectExpr(
+            *[f"`{c}`" for c in df.columns],
+            f"coalesce(_c, 0) AS {CHUNK}", f"coalesce(_e, {_NO_PATH}) AS {EXTRA}", f"coalesce(_b, 0L) AS {BEFORE}",
+            *[f"coalesce(_s{i}, 0D) AS {n}" for i, n in enumerate(names)],
         )
 
     def window(self):
@@ -259,7 +247,7 @@ class OrderedChunks:
         slim = df.select(*self.order)
         if self.trivial:
             targets = [((), p, p) for p in wanted]
-            located = slim.withColumn(PATH, F.array().cast("array<int>"))
+            located = slim.selectExpr("*", f"{_NO_PATH} AS {PATH}")
         else:
             targets, before, remaining = [], 0, list(wanted)
             for cell in self.leaves[()]:
@@ -269,7 +257,8 @@ class OrderedChunks:
                 before += cell.rows
             located = self.locate(slim)
         paths = {path for path, _, _ in targets}
-        inside = located.filter(F.concat_ws(".", F.col(PATH).cast("array<string>")).isin([".".join(map(str, p)) for p in paths]))
+        wanted_paths = ", ".join(f"'{'.'.join(map(str, p))}'" for p in paths)
+        inside = located.filter(f"array_join({PATH}, '.') IN ({wanted_paths})")
         window = Window.partitionBy(PATH).orderBy(*_ordering(self.order))
         ranked = inside.withColumn("_nth", F.row_number().over(window) - 1)
         hits = ranked.filter(F.col("_nth").isin([nth for _, nth, _ in targets])).collect()
@@ -292,9 +281,8 @@ def with_halo(layout: OrderedChunks, df: DataFrame) -> DataFrame:
     Adds ``_chunk`` and ``_is_halo``; drop the halo rows after the windows are computed.
     """
     if layout.trivial:
-        return df.select("*", F.lit(0).alias(CHUNK), F.lit(False).alias("_is_halo"))
-    placed = layout.assign(df)
-    copies = F.concat(F.array(CHUNK), F.col(EXTRA))
-    return placed.select(*df.columns, F.posexplode(copies).alias("_copy", CHUNK)).select(
-        *df.columns, CHUNK, (F.col("_copy") > 0).alias("_is_halo")
-    )
+        return df.selectExpr("*", f"0 AS {CHUNK}", "false AS _is_halo")
+    columns = [f"`{c}`" for c in df.columns]
+    copies = f"posexplode(concat(array({CHUNK}), {EXTRA})) AS (_copy, _owner)"
+    spread = layout.assign(df).selectExpr(*columns, copies)
+    return spread.selectExpr(*columns, f"_owner AS {CHUNK}", "_copy > 0 AS _is_halo")

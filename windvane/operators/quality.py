@@ -170,7 +170,7 @@ def exact_quantiles(
     chunk by chunk, and only the values at the wanted positions survive.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(column).cast("double").alias("_value")).filter(F.col("_value").isNotNull())
+    rows = df.select(*keys, F.col(column).cast("double").alias("_value")).filter("_value IS NOT NULL AND NOT isnan(_value)")
     layout = OrderedChunks.plan(rows, keys, ["_value"], rows_per_chunk=rows_per_chunk)
     values = layout.assign(rows.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_times")))
     running = Window.partitionBy(*keys, CHUNK).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
