@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from windvane import config
 from windvane.config import FarmMap
 from windvane.functions import sensors
-from windvane.session import require_columns, small_side
+from windvane.session import require_columns, small_result
 
 
 def map_sensors(raw: DataFrame, farm: str, farms: FarmMap = FarmMap(), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -66,7 +66,7 @@ def backfill_yaw_error(df: DataFrame, keys: list[str] = ["farm_id", "event_id"])
         .filter(F.col("_present") == 0)
     )
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    joined = df.join(small_side(absent), condition, "left")
+    joined = df.join(small_result(absent), condition, "left")
     filled = F.when(F.col("_present") == 0, derived).otherwise(F.col("yaw_error"))
     return joined.withColumn("yaw_error", filled).select(*df.columns)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from windvane import config
 from windvane.functions import states
-from windvane.session import require_columns, small_side
+from windvane.session import require_columns, small_result
 
 EVENT_COLUMNS = ["event_label", "event_start", "event_end"]
 
@@ -26,7 +26,7 @@ def attach_events(df: DataFrame, events: DataFrame, order: str | None = None) ->
     """Left lookup of event metadata by (farm, event); unknown events keep NULL metadata."""
     require_columns(df, "farm_id", "event_id")
     lookup = first_event_per_id(events, order)
-    return df.join(small_side(lookup), ["farm_id", "event_id"], "left")
+    return df.join(small_result(lookup), ["farm_id", "event_id"], "left")
 
 
 def label_states(

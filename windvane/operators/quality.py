@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from windvane import config
 from windvane.operators.ordered_chunks import BEFORE, CHUNK, ROWS_PER_CHUNK, OrderedChunks
 from windvane.operators.selection import feature_columns
-from windvane.session import require_columns, small_side
+from windvane.session import require_columns, small_result
 
 
 def _as_rows(one_row: DataFrame, entries: dict[str, dict[str, Column]], label: str) -> DataFrame:
@@ -57,24 +57,28 @@ def farm_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def _distinct(df: DataFrame, *columns: str) -> list[Column]:
-    """Exact distinct counts as scalar subqueries, each over map-side combined values."""
-    return [df.select(c).filter(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1))).scalar() for c in columns]
-
-
 def dataset_summary(df: DataFrame, target: str = "target") -> DataFrame:
-    farms, turbines, events = _distinct(df, "farm_id", "asset_id", "event_id")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.avg(target).alias("positive_rate")).select(
-        "rows", F.lit(len(df.columns)).alias("columns"), farms.alias("unique_farms"),
-        turbines.alias("unique_turbines"), events.alias("unique_events"), "positive_rate",
+    """Rows, columns, distinct farms, turbines and events, positive rate.
+
+    One pass: rows collapse to (farm, asset, event) groups before anything is counted.
+    """
+    groups = df.groupBy("farm_id", "asset_id", "event_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count(target).alias("known"), F.sum(F.col(target).cast("double")).alias("hits")
+    )
+    return groups.agg(
+        F.sum("n").alias("rows"), F.lit(len(df.columns)).alias("columns"),
+        F.count_distinct("farm_id").alias("unique_farms"), F.count_distinct("asset_id").alias("unique_turbines"),
+        F.count_distinct("event_id").alias("unique_events"), F.try_divide(F.sum("hits"), F.sum("known")).alias("positive_rate"),
     )
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
-    farms, assets = _distinct(df, "farm_id", "asset_id")
-    spans = df.agg(F.count(F.lit(1)).alias("rows"), F.min("time_stamp").alias("min_time"), F.max("time_stamp").alias("max_time"))
-    return spans.select(
-        "rows", F.lit(len(df.columns)).alias("columns"), farms.alias("n_farms"), assets.alias("n_assets"), "min_time", "max_time"
+    groups = df.groupBy("farm_id", "asset_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("time_stamp").alias("first"), F.max("time_stamp").alias("last")
+    )
+    return groups.agg(
+        F.sum("n").alias("rows"), F.lit(len(df.columns)).alias("columns"), F.count_distinct("farm_id").alias("n_farms"),
+        F.count_distinct("asset_id").alias("n_assets"), F.min("first").alias("min_time"), F.max("last").alias("max_time"),
     )
 
 
@@ -179,7 +183,7 @@ def exact_quantiles(
     match = F.lit(True)
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    sized = upto.join(small_side(totals), match)
+    sized = upto.join(small_result(totals), match)
     first, until = F.col("_upto") - F.col("_times"), F.col("_upto")
 
     def covers(position: Column) -> Column:

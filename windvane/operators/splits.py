@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from windvane.functions import states
 from windvane.operators.ordered_chunks import ROWS_PER_CHUNK, OrderedChunks, with_rank
-from windvane.session import materialize, require_columns, small_side
+from windvane.session import materialize, require_columns, small_result, small_side
 
 SIZES = (0.7, 0.15, 0.15)
 
@@ -121,7 +121,7 @@ def turbine_time_split(
     at = F.struct(*[F.col(c) for c in order])
     nth = F.col("_rank") - 1
     cuts = (
-        ranked.join(small_side(sizes), keys)
+        ranked.join(small_result(sizes), keys)
         .filter((nth == F.col("_val_at")) | (nth == F.col("_test_at")))
         .groupBy(*keys)
         .agg(
@@ -137,7 +137,7 @@ def turbine_time_split(
         return F.col(cut).isNull() | earlier | (time.eqNullSafe(cut_time) & (tie < cut_tie))
 
     name = F.when(before("_val_from"), "train").when(before("_test_from"), "val").otherwise("test")
-    return keyed.join(small_side(cuts), keys, "left").withColumn("split", name).select(*df.columns, "split")
+    return keyed.join(small_result(cuts), keys, "left").withColumn("split", name).select(*df.columns, "split")
 
 
 def event_bounds(df: DataFrame, keys: list[str] = ["farm_id", "event_id"], time_col: str = "time_stamp") -> DataFrame:
@@ -213,7 +213,7 @@ def turbine_holdout_split(
         F.col("group_id").alias("_turbine"), F.when(F.col("_rank") <= F.col("_slots"), "test").otherwise("train").alias("split")
     )
     keyed = df.withColumn("_turbine", states.turbine_key(F.col("farm_id"), F.col("asset_id")))
-    return keyed.join(small_side(assigned), "_turbine").select(*df.columns, "split")
+    return keyed.join(small_result(assigned), "_turbine").select(*df.columns, "split")
 
 
 def group_kfold(df: DataFrame, n_splits: int = 5, *, target_col: str = "target") -> DataFrame:

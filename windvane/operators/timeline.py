@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windvane import config
 from windvane.functions import sensors, states
-from windvane.operators.ordered_chunks import ROWS_PER_CHUNK, with_rank
-from windvane.session import BROADCAST_ROWS, require_columns, small_side
+from windvane.operators.ordered_chunks import BEFORE, ROWS_PER_CHUNK, OrderedChunks
+from windvane.session import BROADCAST_ROWS, require_columns, small_result
 
 INDEX_COLUMNS = ("farm_id", "asset_id", "event_id", "event_label", "event_start", "event_end")
 
@@ -93,7 +93,7 @@ def event_timeline(
     match = F.lit(True)
     for k in by:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    scored = clean.join(small_side(stats), match)
+    scored = clean.join(small_result(stats), match)
 
     def z(signal: str) -> Column:
         deviation = F.col(f"_std_{signal}")
@@ -125,18 +125,18 @@ def failure_bands(
 ) -> DataFrame:
     """Start, end and length of every run of consecutive target=1 rows of an asset.
 
-    A run is a stretch where the row number among all rows minus the row number among
-    positive rows stays constant; both numbers are exact ranks computed chunk by chunk.
+    A run is a stretch where the row number minus the number of positive rows so far stays
+    constant. Both come from one window per chunk plus what the chunk layout counted before.
     """
     require_columns(df, "farm_id", "asset_id", "target", *order)
     keys = ["farm_id", "asset_id"]
     chosen = df if asset_id is None else df.filter(F.col("asset_id") == asset_id)
-    narrow = chosen.select(*keys, *order, (F.col("target") == 1).alias("_hit"))
-    numbered = with_rank(narrow, keys, list(order), "_row", rows_per_chunk=rows_per_chunk)
-    positive = with_rank(
-        numbered.filter("_hit"), keys, list(order), "_nth", rows_per_chunk=rows_per_chunk
-    )
-    time = order[0]
-    return positive.groupBy(*keys, (F.col("_row") - F.col("_nth")).alias("_run")).agg(
-        F.min(time).alias("band_start"), F.max(time).alias("band_end"), F.count(F.lit(1)).alias("n_rows")
+    narrow = chosen.select(*keys, *order, F.coalesce((F.col("target") == 1).cast("int"), F.lit(0)).alias("_hit"))
+    layout = OrderedChunks.plan(narrow, keys, list(order), sums=["_hit"], rows_per_chunk=rows_per_chunk)
+    window = layout.window()
+    row = F.col(BEFORE) + F.row_number().over(window)
+    hits = F.col("_before__hit") + F.sum("_hit").over(window.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = layout.assign(narrow).withColumn("_run", row - hits.cast("bigint"))
+    return numbered.filter("_hit = 1").groupBy(*keys, "_run").agg(
+        F.min(order[0]).alias("band_start"), F.max(order[0]).alias("band_end"), F.count(F.lit(1)).alias("n_rows")
     ).drop("_run")

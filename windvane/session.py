@@ -39,6 +39,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_result(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small_side`` of an aggregate: computed once, then checked and joined from its copy."""
+    return small_side(materialize(df), max_rows)
+
+
 def require_columns(df: DataFrame, *names: str) -> None:
     missing = sorted(set(names) - set(df.columns))
     if missing:

@@ -176,15 +176,10 @@ def unmapped_channels(feature_map: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
     """Processed events with the fixed schema; an empty or absent folder is an error."""
-    schema = processed_schema()
-    try:
-        table = spark.read.schema(schema).parquet(path)
-        found = bool(table.inputFiles())
-    except AnalysisException:
-        found = False
-    if not found:
+    if not _exists(spark, path, "*.parquet"):
         raise FileNotFoundError(f"no processed event files in {path}")
-    return table.select(*schema.fieldNames())
+    schema = processed_schema()
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
 def load_dataset(spark: SparkSession, path: str) -> DataFrame:
