@@ -176,11 +176,15 @@ class OrderedChunks:
         return F.expr(" AND ".join([f"{PATH} = _r_path", *[f"`{k}` <=> `_r_{k}`" for k in self.keys]]))
 
     def _refine(self, df: DataFrame, level: int, inner: bool = False) -> DataFrame:
+        columns = [f"`{c}`" for c in df.columns if c != PATH]
+        if level == 0 and not self.keys:  # one grid for the whole table: plain arithmetic
+            _, axis, low, step = self.grids[0][0]
+            cell = f"int(floor(({_position(df, self.axes[axis])} - {low!r}D) / {step!r}D))"
+            return df.selectExpr(*columns, f"array({cell}) AS {PATH}")
         grid = self._lookup(df, self.grids[level], "_axis int, _low double, _step double")
         choices = " ".join(f"WHEN {i} THEN {_position(df, name)}" for i, name in enumerate(self.axes))
         cell = f"int(floor((CASE _axis {choices} END - _low) / _step))"
         deeper = f"CASE WHEN _r_path IS NULL THEN {PATH} ELSE concat({PATH}, array({cell})) END AS {PATH}"
-        columns = [f"`{c}`" for c in df.columns if c != PATH]
         return df.join(grid, self._matches(), "inner" if inner else "left").selectExpr(*columns, deeper)
 
     def locate(self, df: DataFrame) -> DataFrame:

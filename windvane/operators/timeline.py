@@ -37,7 +37,8 @@ def _window_join(df: DataFrame, events: DataFrame, time: Column, before: float,
     """Telemetry rows inside each event's window, by (farm, asset) and time.
 
     A small event table is broadcast. A large one is spread over the days its window
-    touches and joined on (farm, asset, day), which also divides a hot turbine.
+    touches and joined on (farm, asset, day), which also divides a hot turbine. Either way
+    the span of all windows is a literal filter that reaches the telemetry scan.
     """
     low = F.col("_e_start") - states.hours(before)
     high = F.col("_e_start") + states.hours(after)
@@ -47,7 +48,12 @@ def _window_join(df: DataFrame, events: DataFrame, time: Column, before: float,
     ).filter(F.col("_e_start").isNotNull())
     same = (F.col("farm_id") == F.col("_e_farm")) & (F.col("asset_id") == F.col("_e_asset"))
     inside = (time >= low) & (time <= high)
-    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    size, earliest, latest = named.agg(
+        F.count(F.lit(1)), F.min(low).cast("string"), F.max(high).cast("string")
+    ).first()
+    if size:
+        df = df.filter(time.between(F.lit(earliest).cast("timestamp_ntz"), F.lit(latest).cast("timestamp_ntz")))
+    if size <= BROADCAST_ROWS:
         return df.join(F.broadcast(named), same & inside)
     days = F.sequence(F.to_date(low), F.to_date(high), F.expr("interval 1 day"))
     spread = named.withColumn("_e_day", F.explode(days))
