@@ -1,52 +1,35 @@
-"""Rates of a confusion table as column expressions; a zero denominator gives 0."""
+"""Rates of a confusion table, as SQL over columns tn, fp, fn, tp; a zero denominator gives 0."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def ratio(numerator: str, denominator: str) -> str:
+    return f"CASE WHEN {denominator} > 0 THEN double({numerator}) / ({denominator}) ELSE 0D END"
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    return F.when(denominator > 0, numerator.cast("double") / denominator).otherwise(F.lit(0.0))
 
+RECALL = ratio("tp", "tp + fn")
+SPECIFICITY = ratio("tn", "tn + fp")
 
-def precision(tp: Column, fp: Column) -> Column:
-    return ratio(tp, tp + fp)
+HEADLINE = {
+    "precision": ratio("tp", "tp + fp"),
+    "recall": RECALL,
+    "f1": ratio("2 * tp", "2 * tp + fp + fn"),
+    # Mean recall over the classes that occur in the labels.
+    "balanced_accuracy": f"CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN ({RECALL} + {SPECIFICITY}) / 2D"
+    f" WHEN tp + fn > 0 THEN {RECALL} WHEN tn + fp > 0 THEN {SPECIFICITY} END",
+    "accuracy": ratio("tp + tn", "tp + tn + fp + fn"),
+    "prevalence": ratio("tp + fn", "tp + tn + fp + fn"),
+}
 
+CONFUSION = {
+    "specificity": SPECIFICITY,
+    "negative_predictive_value": ratio("tn", "tn + fn"),
+    "false_positive_rate": ratio("fp", "fp + tn"),
+    "false_negative_rate": ratio("fn", "fn + tp"),
+    "support_negative": "tn + fp",
+    "support_positive": "tp + fn",
+}
 
-def recall(tp: Column, fn: Column) -> Column:
-    return ratio(tp, tp + fn)
 
-
-def f1(tp: Column, fp: Column, fn: Column) -> Column:
-    return ratio(2 * tp, 2 * tp + fp + fn)
-
-
-def balanced_accuracy(tn: Column, fp: Column, fn: Column, tp: Column) -> Column:
-    """Mean recall over the classes that occur in the labels."""
-    pos, neg = tp + fn, tn + fp
-    both = (ratio(tp, pos) + ratio(tn, neg)) / F.lit(2.0)
-    return F.when((pos > 0) & (neg > 0), both).when(pos > 0, ratio(tp, pos)).when(neg > 0, ratio(tn, neg))
-
-
-def confusion_rates(tn: Column, fp: Column, fn: Column, tp: Column) -> dict[str, Column]:
-    return {
-        "specificity": ratio(tn, tn + fp),
-        "negative_predictive_value": ratio(tn, tn + fn),
-        "false_positive_rate": ratio(fp, fp + tn),
-        "false_negative_rate": ratio(fn, fn + tp),
-        "support_negative": tn + fp,
-        "support_positive": tp + fn,
-    }
-
-
-def headline_rates(tn: Column, fp: Column, fn: Column, tp: Column) -> dict[str, Column]:
-    total = tn + fp + fn + tp
-    return {
-        "precision": precision(tp, fp),
-        "recall": recall(tp, fn),
-        "f1": f1(tp, fp, fn),
-        "balanced_accuracy": balanced_accuracy(tn, fp, fn, tp),
-        "accuracy": ratio(tp + tn, total),
-        "prevalence": ratio(tp + fn, total),
-    }
+def aliased(rates: dict[str, str]) -> list[str]:
+    return [f"{expression} AS {name}" for name, expression in rates.items()]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windvane import config
@@ -61,13 +61,9 @@ def confusion_counts(df: DataFrame, label: str = "y_true", predicted: str = "y_p
     )
 
 
-def _counts() -> list[Column]:
-    return [F.col(c) for c in COUNTS]
-
-
 def confusion_metrics(df: DataFrame, label: str = "y_true", predicted: str = "y_pred") -> DataFrame:
     """Counts with specificity, NPV, false positive/negative rates and supports."""
-    return confusion_counts(df, label, predicted).withColumns(rates.confusion_rates(*_counts()))
+    return confusion_counts(df, label, predicted).selectExpr("*", *rates.aliased(rates.CONFUSION))
 
 
 def binary_metrics(
@@ -75,11 +71,11 @@ def binary_metrics(
     *, rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Full metric bundle as one row; AUCs are NULL without scores or with one class."""
-    bundle = confusion_counts(df, label, predicted).withColumns(
-        {**rates.headline_rates(*_counts()), **rates.confusion_rates(*_counts())}
+    bundle = confusion_counts(df, label, predicted).selectExpr(
+        "*", *rates.aliased(rates.HEADLINE), *rates.aliased(rates.CONFUSION)
     )
     if score is None:
-        return bundle.withColumns({"roc_auc": F.lit(None).cast("double"), "pr_auc": F.lit(None).cast("double")})
+        return bundle.selectExpr("*", "double(NULL) AS roc_auc", "double(NULL) AS pr_auc")
     return _beside(bundle, auc(df, label, score, rows_per_chunk=rows_per_chunk))
 
 
@@ -95,34 +91,23 @@ def classification_report(df: DataFrame, label: str = "y_true", predicted: str =
     As usual for this report, the averages run over the classes that occur in labels or
     predictions, and the accuracy row repeats the accuracy in every rate column.
     """
-    tn, fp, fn, tp = _counts()
-    total = tn + fp + fn + tp
-    neg, pos = tn + fp, fn + tp
-    zero = (rates.precision(tn, fn), rates.recall(tn, fp), rates.f1(tn, fn, fp))
-    one = (rates.precision(tp, fp), rates.recall(tp, fn), rates.f1(tp, fp, fn))
-    seen0, seen1 = (neg + fn > 0).cast("int"), (pos + fp > 0).cast("int")
-    accuracy = rates.ratio(tp + tn, total)
-
-    def line(name: str, values, support: Column) -> Column:
-        return F.struct(
-            F.lit(name).alias("class"), values[0].alias("precision"), values[1].alias("recall"),
-            values[2].alias("f1_score"), support.cast("double").alias("support"),
-        )
-
-    macro = [rates.ratio(a * seen0 + b * seen1, seen0 + seen1) for a, b in zip(zero, one)]
-    weighted = [rates.ratio(a * neg + b * pos, total) for a, b in zip(zero, one)]
-    lines = F.array(
-        line("0", zero, neg), line("1", one, pos), line("accuracy", (accuracy,) * 3, total),
-        line("macro avg", macro, total), line("weighted avg", weighted, total),
-    )
-    present = {"0": seen0, "1": seen1}
-    report = confusion_counts(df, label, predicted).select(
-        F.explode(lines).alias("r"), *[c.alias(f"_seen{n}") for n, c in present.items()]
+    zero = (rates.ratio("tn", "tn + fn"), rates.ratio("tn", "tn + fp"), rates.ratio("2 * tn", "2 * tn + fn + fp"))
+    one = (rates.HEADLINE["precision"], rates.RECALL, rates.HEADLINE["f1"])
+    total = "tn + fp + fn + tp"
+    sized = confusion_counts(df, label, predicted).selectExpr(
+        *[f"{e} AS {m}0" for m, e in zip("prf", zero)], *[f"{e} AS {m}1" for m, e in zip("prf", one)],
+        f"{rates.HEADLINE['accuracy']} AS acc", "double(tn + fp) AS n0", "double(fn + tp) AS n1", f"double({total}) AS n",
+        "int(tn + fp + fn > 0) AS seen0", "int(fn + tp + fp > 0) AS seen1",
     )
-    absent = F.lit(False)
-    for name in present:
-        absent = absent | ((F.col("r.class") == name) & (F.col(f"_seen{name}") == 0))
-    return report.filter(~absent).select("r.*")
+    macro = [rates.ratio(f"{m}0 * seen0 + {m}1 * seen1", "seen0 + seen1") for m in "prf"]
+    weighted = [rates.ratio(f"{m}0 * n0 + {m}1 * n1", "n") for m in "prf"]
+    lines = {
+        "0": ("p0", "r0", "f0", "n0", "seen0"), "1": ("p1", "r1", "f1", "n1", "seen1"), "accuracy": ("acc", "acc", "acc", "n", "1"),
+        "macro avg": (*macro, "n", "1"), "weighted avg": (*weighted, "n", "1"),
+    }
+    stacked = ", ".join(f"'{name}', {', '.join(values)}" for name, values in lines.items())
+    report = sized.selectExpr(f"stack({len(lines)}, {stacked}) AS (class, precision, recall, f1_score, support, seen)")
+    return report.filter("seen = 1").drop("seen")
 
 
 # -- ranking metrics ---------------------------------------------------------------------
@@ -160,6 +145,17 @@ def default_thresholds() -> list[float]:
     return np.unique(np.concatenate([np.array(config.COMMON_THRESHOLDS), dense])).tolist()
 
 
+def _thresholds_reached(score: str, grid: list[float], low: int = 0, high: int | None = None) -> str:
+    """SQL counting the thresholds at or below a score, as a balanced tree of comparisons."""
+    high = len(grid) if high is None else high
+    if low == high:
+        return str(low)
+    middle = (low + high) // 2
+    above = _thresholds_reached(score, grid, middle + 1, high)
+    below = _thresholds_reached(score, grid, low, middle)
+    return f"CASE WHEN `{score}` >= {grid[middle]!r}D THEN {above} ELSE {below} END"
+
+
 SWEEP_COLUMNS = (
     "threshold", "precision", "recall", "f1", "balanced_accuracy", "specificity",
     "false_positive_rate", "false_negative_rate", "tp", "fp", "tn", "fn",
@@ -181,36 +177,23 @@ def threshold_sweep(
         raise ValueError("no candidate thresholds")
     if grid[0] < 0.0 or grid[-1] > 1.0:
         raise ValueError("thresholds must lie in [0, 1]")
-    spark = df.sparkSession
     steps = F.array(*[F.lit(t) for t in grid])
-    reached = F.size(F.filter(steps, lambda t: t <= F.col(score)))
+    reached = F.expr(_thresholds_reached(score, grid))
     histogram = df.groupBy(reached.alias("bucket")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    # At most len(grid) + 1 rows from here on.
-    slots = spark.range(len(grid) + 1).select(F.col("id").cast("int").alias("bucket"))
+    # At most len(grid) + 1 rows from here on; empty buckets are filled in.
+    slots = df.sparkSession.range(0, len(grid) + 1, 1, 1).selectExpr("int(id) AS bucket")
     filled = slots.join(F.broadcast(histogram), "bucket", "left").na.fill(0, ["pos", "neg"])
-    everything = filled.agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "pos", "neg"))).alias("h"),
-        F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"),
-    )
-
-    def at_or_above(index: Column, side: str) -> Column:
-        tail = F.slice(F.col("h"), index + 1, F.lit(len(grid) + 1))
-        return F.aggregate(tail, F.lit(0).cast("bigint"), lambda acc, cell: acc + cell[side])
-
-    candidates = everything.select("h", "all_pos", "all_neg", F.posexplode(steps).alias("i", "threshold"))
-    index = F.col("i") + 1
-    counted = candidates.select(
-        "threshold", "all_pos", "all_neg",
-        at_or_above(index, "pos").alias("tp"), at_or_above(index, "neg").alias("fp"),
-    ).select(
-        "threshold", "tp", "fp",
-        (F.col("all_neg") - F.col("fp")).alias("tn"), (F.col("all_pos") - F.col("tp")).alias("fn"),
-    )
-    table = counted.withColumns(
-        {**rates.headline_rates(*_counts()), **rates.confusion_rates(*_counts())}
-    ).select(*SWEEP_COLUMNS)
+    upward = "OVER (PARTITION BY 0 ORDER BY bucket DESC ROWS UNBOUNDED PRECEDING)"
+    counted = filled.selectExpr(
+        "bucket", f"sum(pos) {upward} AS tp", f"sum(neg) {upward} AS fp",
+        "sum(pos) OVER (PARTITION BY 0) AS p", "sum(neg) OVER (PARTITION BY 0) AS n",
+    ).filter("bucket > 0")
+    table = counted.select(
+        F.element_at(steps, F.col("bucket")).alias("threshold"), "tp", "fp",
+        (F.col("n") - F.col("fp")).alias("tn"), (F.col("p") - F.col("tp")).alias("fn"),
+    ).selectExpr("threshold", *COUNTS, *rates.aliased(rates.HEADLINE), *rates.aliased(rates.CONFUSION)).select(*SWEEP_COLUMNS)
     return _beside(table, auc(df, label, score, rows_per_chunk=rows_per_chunk)) if with_auc else table
 
 
