@@ -62,7 +62,3 @@ def power_efficiency(power: Column, wind: Column) -> Column:
     """Power per cubed wind speed; 0 in still air or when either input is missing."""
     cubed = wind * wind * wind
     return F.coalesce(F.when(cubed > 0.1, power / cubed).otherwise(zero()), zero())
-
-
-def missing_as_zero(column: Column) -> Column:
-    return F.coalesce(null_if_nan(column), zero())

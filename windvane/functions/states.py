@@ -12,7 +12,7 @@ from windvane import config
 
 def hours(value: float) -> Column:
     """Day-time interval of a fractional number of hours."""
-    return F.expr(f"make_dt_interval(0, 0, 0, cast({value * 3600:.6f} as decimal(18,6)))")
+    return F.expr(_hours_sql(value))
 
 
 def event_id_from_stem(stem: Column) -> Column:
@@ -24,34 +24,38 @@ def file_stem(file_name: Column) -> Column:
     return F.regexp_replace(file_name, r"\.[^.]*$", "")
 
 
+def _hours_sql(value: float) -> str:
+    return f"make_dt_interval(0, 0, 0, cast({value * 3600:.6f} AS decimal(18,6)))"
+
+
 def state_code(
-    time: Column,
-    label: Column,
-    start: Column,
-    end: Column,
+    time: str = "time_stamp",
+    label: str = "event_label",
+    start: str = "event_start",
+    end: str = "event_end",
     buffer_before_hours: float = 0.0,
     buffer_after_hours: float = 0.0,
 ) -> Column:
-    """State code of a row relative to its event.
+    """State code of a row relative to its event, from the named columns.
 
     Only anomalies create states. The event itself wins over the look-back bands, those
     win over the exclusion buffers; unmatched rows (and missing bounds) stay normal.
     """
-    in_event = (time >= start) & (time <= end)
-    bands = F.when(in_event, config.STATE_CODES["event_occurring"])
-    for name, upper in (("pre_0_24h", 0), ("pre_24_48h", 24), ("pre_48_72h", 48)):
-        bands = bands.when(
-            (time >= start - hours(upper + 24)) & (time < start - hours(upper)), config.STATE_CODES[name]
-        )
-    buffer_code = config.STATE_CODES[config.BUFFER_STATE]
+    def band(upper: float, lower: float) -> str:
+        return f"{time} >= {start} - {_hours_sql(upper)} AND {time} < {start} - {_hours_sql(lower)}"
+
+    codes = config.STATE_CODES
+    cases = [
+        (f"{time} >= {start} AND {time} <= {end}", "event_occurring"),
+        (band(24, 0), "pre_0_24h"), (band(48, 24), "pre_24_48h"), (band(72, 48), "pre_48_72h"),
+    ]
     if buffer_before_hours > 0:
-        bands = bands.when(
-            (time >= start - hours(72 + buffer_before_hours)) & (time < start - hours(72)), buffer_code
-        )
+        cases.append((band(72 + buffer_before_hours, 72), config.BUFFER_STATE))
     if buffer_after_hours > 0:
-        bands = bands.when((time > end) & (time <= end + hours(buffer_after_hours)), buffer_code)
-    normal = config.STATE_CODES["normal"]
-    return F.when(F.lower(label) == "anomaly", bands.otherwise(normal)).otherwise(normal).cast("int")
+        cases.append((f"{time} > {end} AND {time} <= {end} + {_hours_sql(buffer_after_hours)}", config.BUFFER_STATE))
+    bands = " ".join(f"WHEN {condition} THEN {codes[name]}" for condition, name in cases)
+    normal = codes["normal"]
+    return F.expr(f"CASE WHEN lower({label}) = 'anomaly' THEN CASE {bands} ELSE {normal} END ELSE {normal} END")
 
 
 def state_name(code: Column) -> Column:

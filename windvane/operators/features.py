@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windvane import config
@@ -28,18 +28,18 @@ def physics_features(df: DataFrame) -> DataFrame:
     return df.withColumns(added)
 
 
-def _lag_delta(name: str, rows: int, history) -> Column:
-    return F.col(name) - F.lag(name, rows).over(history)
+def _lag_delta(name: str, rows: int, history: str) -> str:
+    return f"`{name}` - lag(`{name}`, {rows}) OVER ({history})"
 
 
-def _rolling_std(name: str, rows: int, history) -> Column:
+def _rolling_std(name: str, rows: int, history: str) -> str:
     """Sample deviation of the last ``rows`` values, only when all of them are present."""
-    frame = history.rowsBetween(1 - rows, 0)
-    return F.when(F.count(name).over(frame) == rows, F.stddev_samp(name).over(frame))
+    frame = f"OVER ({history} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count(`{name}`) {frame} = {rows} THEN stddev_samp(`{name}`) {frame} END"
 
 
-def _temporal_columns(have: set[str], history, wanted: set[str] | None = None) -> dict[str, Column]:
-    columns: dict[str, Column] = {}
+def _temporal_columns(have: set[str], history: str, wanted: set[str] | None = None) -> dict[str, Column]:
+    columns: dict[str, str] = {}
     if "gearbox_oil_temp" in have:
         columns["temp_trend_24h"] = _lag_delta("gearbox_oil_temp", config.TREND_ROWS, history)
     if "gen_speed" in have:
@@ -49,7 +49,7 @@ def _temporal_columns(have: set[str], history, wanted: set[str] | None = None) -
             for rows in config.LAG_WINDOWS:
                 columns[f"{signal}_delta_{rows}"] = _lag_delta(signal, rows, history)
                 columns[f"{signal}_volatility_{rows}"] = _rolling_std(signal, rows, history)
-    return columns if wanted is None else {name: c for name, c in columns.items() if name in wanted}
+    return {name: F.expr(sql) for name, sql in columns.items() if wanted is None or name in wanted}
 
 
 def temporal_features(
@@ -67,17 +67,21 @@ def temporal_features(
     with results identical to the uncut window.
     """
     layout = OrderedChunks.plan(df, keys, order, halo=config.TREND_ROWS, rows_per_chunk=rows_per_chunk)
-    ordering = [F.col(name).asc_nulls_last() for name in order]
+    place = [*keys] if layout.trivial else [*keys, CHUNK]
+    history = (
+        f"PARTITION BY {', '.join(f'`{k}`' for k in place)}"
+        f" ORDER BY {', '.join(f'`{name}` ASC NULLS LAST' for name in order)}"
+    )
+    columns = _temporal_columns(set(df.columns), history, wanted)
     if layout.trivial:
-        history = Window.partitionBy(*keys).orderBy(*ordering)
-        return df.withColumns(_temporal_columns(set(df.columns), history, wanted))
-    history = Window.partitionBy(*keys, CHUNK).orderBy(*ordering)
-    computed = with_halo(layout, df).withColumns(_temporal_columns(set(df.columns), history, wanted))
-    return computed.filter(~F.col("_is_halo")).drop(CHUNK, "_is_halo")
+        return df.withColumns(columns)
+    return with_halo(layout, df).withColumns(columns).filter("NOT _is_halo").drop(CHUNK, "_is_halo")
 
 
 def fill_missing(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: sensors.missing_as_zero(F.col(c)) for c in columns})
+    """NULL and NaN become 0."""
+    filled = set(columns)
+    return df.selectExpr(*[f"nanvl(coalesce(`{c}`, 0D), 0D) AS `{c}`" if c in filled else f"`{c}`" for c in df.columns])
 
 
 def derive_features(df: DataFrame, *, rows_per_chunk: int = ROWS_PER_CHUNK, fill: bool = True) -> DataFrame:

@@ -39,10 +39,7 @@ def label_states(
 ) -> DataFrame:
     """Add event metadata, state code and name, buffer flag and default target to every row."""
     require_columns(df, "time_stamp")
-    code = states.state_code(
-        F.col("time_stamp"), F.col("event_label"), F.col("event_start"), F.col("event_end"),
-        buffer_before_hours, buffer_after_hours,
-    )
+    code = states.state_code(buffer_before_hours=buffer_before_hours, buffer_after_hours=buffer_after_hours)
     labelled = attach_events(df, events, order).withColumn("state_label", code)
     return labelled.withColumns({
         "state_name": states.state_name(F.col("state_label")),
