@@ -974,6 +974,21 @@ def entry(spark: SparkSession) -> DataFrame:
     return fleet_health(spark, SMOKE_DIR)
 
 
+# Training-data operators live in a subpackage of their own, which may be absent.
+try:
+    import corpus_pipeline
+    from windvane.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "windvane.llm"):
+        raise
+else:
+    _QUERIES.update(llm_queries.QUERIES)
+    _ORACLE.update(llm_queries.ORACLE)
+    _QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        _ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
