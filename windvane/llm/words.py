@@ -107,3 +107,21 @@ def words_of(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, n
             at = to
         hashes = np.concatenate(found) if found else np.zeros(0, U64)
         yield first, last, np.array([len(hashes)]), hashes
+
+
+def word_counts(column: pa.Array) -> np.ndarray:
+    """Number of words of every text; slices keep the memory small, whatever the texts' lengths."""
+    data, offsets = raw_bytes(column)
+    inside = _tables()[0]
+    counts = np.zeros(len(offsets) - 1, np.int64)
+    for at in range(0, len(data), 4 * SLICE):
+        part = inside[data[at : at + 4 * SLICE]]
+        begins = part.copy()
+        begins[1:] &= ~part[:-1]
+        if at and len(part) and part[0] and inside[data[at - 1]]:
+            begins[0] = False
+        cuts = offsets[(offsets >= at) & (offsets < at + len(part))] - at
+        begins[cuts] = part[cuts]
+        starts = np.flatnonzero(begins) + at
+        counts += np.bincount(np.searchsorted(offsets, starts, side="right") - 1, minlength=len(counts))[: len(counts)]
+    return counts
