@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +60,6 @@ def prefix_sums(df: DataFrame, order: list[str], values: list[str]) -> DataFrame
     added = ", ".join(f"before_{v} long" for v in values)
 
     def running(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
         totals = dict.fromkeys(values, 0)
         for batch in batches:
             columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "_tie"]
@@ -80,3 +80,43 @@ def prefix_sums(df: DataFrame, order: list[str], values: list[str]) -> DataFrame
     layout = df.sparkSession.createDataFrame(shifts, "_part int, " + ", ".join(f"_shift_{v} long" for v in values))
     shifted = local.join(F.broadcast(layout), "_part")  # one row per partition
     return shifted.withColumns({f"before_{v}": F.col(f"before_{v}") + F.col(f"_shift_{v}") for v in values}).drop("_part", *[f"_shift_{v}" for v in values])
+
+
+BITMAP_BITS = 1 << 24
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size (2 MB) over hashed long keys: whoever is not in it is certainly not among the keys."""
+    bit = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+    words = keys.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, int(bit & 63))").alias("set"))
+    found = words.groupBy("word").agg(F.bit_or("set").alias("set")).toPandas()
+    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose long column may be among ``keys``: what a join would drop anyway, mostly dropped before its shuffle."""
+    bits = df.sparkSession.sparkContext.broadcast(bitmap(keys, key))
+
+    @F.pandas_udf("boolean")
+    def present(bit: pd.Series) -> pd.Series:
+        at = bit.to_numpy(np.uint64)
+        return pd.Series((bits.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return df.filter(present(F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))))
+
+
+def content_key(text: str = "text") -> list:
+    """mark and size of a text: with the id, they name a row's content the same way in every scan."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(whole).alias("mark"), F.octet_length(whole).alias("size")]
+
+
+def texts_of(documents: DataFrame, needed: DataFrame, *carry: str) -> DataFrame:
+    """Whole texts for the rows named by doc_id, mark and size in ``needed`` (distinct, with columns to carry)."""
+    keyed = documents.select("doc_id", "text", *content_key())
+    likely = maybe_in(keyed, "mark", needed, "mark")
+    named = needed.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("size").alias("_size"), *carry)
+    found = likely.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")) & (F.col("size") == F.col("_size")))
+    return found.drop("_id", "_mark", "_size")
