@@ -40,9 +40,11 @@ def text_rows(df: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), *[F.col(c) for c in keep])
 
 
-def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
+def text_column(batch: pa.RecordBatch | pa.Table, name: str = "text") -> pa.Array:
     """A string column of a batch with NULL as the empty text."""
     column = batch.column(batch.schema.get_field_index(name))
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     return column.fill_null("") if column.null_count else column
 
 

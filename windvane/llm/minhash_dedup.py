@@ -1,17 +1,21 @@
 """Near-duplicate groups: b-bit MinHash signatures and a multi-index Hamming join.
 
-A signature has ``POSITIONS`` minima of ``B`` bits each; its distance to another is the number of positions that
+A signature has ``POSITIONS`` minima of 32 bits each; its distance to another is the number of positions that
 differ. At the similarity threshold of 0.75 the distance is binomial with mean 8, and exceeds ``RADIUS`` = 20 with
 probability 1e-6. Signatures are split into ``CHUNKS`` chunks. Two signatures within the radius differ, by pigeonhole,
 in at most ``RADIUS // CHUNKS`` = 2 positions of some chunk; every choice of positions in error is enumerated and the
 others form a key. So all pairs within the radius share a key (up to distance 23), and the rest is exact:
 
-1. Equal sets are one class. Classes sharing a key are first tested against the smallest of them only.
-2. Tested pairs are confirmed on the full sets and joined to components.
-3. Where one key still holds several components, all pairs across them are compared by signature, block by block,
-   inside tasks; pairs within the radius are confirmed on the full sets too. Pairs inside a component need no test.
+1. Equal sets are one class. Classes that share a key are compared with the smallest of them: near pairs (within the
+   radius), which join classes to families.
+2. Where one key still holds several families, all their classes are compared by signature, block by block inside
+   tasks; one near pair for a class and another family is handed on. Families are now the components of the whole
+   graph of near pairs.
+3. The near pairs of step 1 are confirmed on the full sets and joined to components.
+4. In families of several components, what is outside the largest is compared with all: by signature, then on the full
+   sets, block by block inside tasks; one confirmed link for two components of a block is handed on.
 
-So a group of near copies costs a pair per copy, not all pairs, and no link between components is left out.
+So a group of near copies costs a few pairs per copy, not all pairs, and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windvane.llm.common import content_key, saved, text_rows, texts_of
+from windvane.llm.common import content_key, saved, text_column, text_rows, texts_of
 from windvane.llm.components import components
 from windvane.llm.shingles import shingle_sets, similarity_counts
 from windvane.llm.words import U64, mix
@@ -31,6 +36,7 @@ POSITIONS = 32
 CHUNKS = 8
 RADIUS = 20
 BLOCK = 1024
+BLOCK_BYTES = 64 << 20
 PERCENT = 75
 _SIZE = POSITIONS // CHUNKS
 _KEPT = list(combinations(range(_SIZE), _SIZE - RADIUS // CHUNKS))
@@ -40,22 +46,18 @@ _ADD = mix(np.arange(1001, 1001 + POSITIONS, dtype=U64))
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     """b-bit minima of non-empty sets, one row per set."""
-    out = np.empty((len(sets), POSITIONS), np.uint16)
+    out = np.empty((len(sets), POSITIONS), np.uint32)
     if sets:
         values = np.concatenate(sets)
         at = np.cumsum([0] + [len(s) for s in sets[:-1]])
         for i in range(POSITIONS):
-            out[:, i] = mix(np.minimum.reduceat(values * _MULTIPLY[i] + _ADD[i], at)) >> U64(48)
+            out[:, i] = mix(np.minimum.reduceat(values * _MULTIPLY[i] + _ADD[i], at)) >> U64(32)
     return out
 
 
 def _sign(batches):
     from hashlib import md5
 
-    import pyarrow as pa
-
-    from windvane.llm.common import text_column
-
     def flush(pending, held):
         signed = iter(_signatures([s for s in pending if len(s)]))
         for s in pending:
@@ -82,12 +84,10 @@ def _sign(batches):
 
 
 def _keys(batches):
-    import pyarrow as pa
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        held = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, CHUNKS, _SIZE).astype(U64)
+        held = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, CHUNKS, _SIZE).astype(U64)
         keys = np.empty((len(held), CHUNKS, len(_KEPT)), U64)
         for number, kept in enumerate(_KEPT):
             key = np.zeros((len(held), CHUNKS), U64)
@@ -105,10 +105,6 @@ def _confirm(percent: int):
     """Of pairs with both texts, those whose full sets are similar enough."""
 
     def confirm(batches):
-        import pyarrow as pa
-
-        from windvane.llm.common import text_column
-
         for batch in batches:
             sides = [shingle_sets(text_column(batch, n)) for n in ("text_a", "text_b")]
             linked = []
@@ -123,67 +119,104 @@ def _confirm(percent: int):
 
 def _near(batches):
     """Of pairs with both signatures, those within the radius."""
-    import pyarrow as pa
-
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, POSITIONS) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, POSITIONS) for i in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array((a != b).sum(axis=1) <= RADIUS))
 
 
-def _cross(batches):
-    """Pairs within the radius across components, from blocks (rows sorted by key and block) of members and outsiders."""
-    import pyarrow as pa
-
-    names = ["key", "i", "j", "side", "cid", "comp", "signature"]
-
-    def pairs(rows):
-        member, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        for at in range(0, len(member), 256):
-            part = member[at : at + 256]
-            near = (part["comp"][:, None] != other["comp"][None, :])
-            x, y = np.nonzero(near)
-            for cut in range(0, len(x), 1 << 16):
-                p, q = x[cut : cut + (1 << 16)], y[cut : cut + (1 << 16)]
-                ok = (part["signature"][p] != other["signature"][q]).sum(axis=1) <= RADIUS
-                p, q = part["cid"][p[ok]], other["cid"][q[ok]]
-                yield from zip(np.maximum(p, q).tolist(), np.minimum(p, q).tolist())
-
-    kind = np.dtype([(n, "<i8") for n in names[:-1]] + [("signature", "<u2", (POSITIONS,))])
-
-    def blocks(rows, last):
-        group = np.ones(len(rows), bool)
-        group[1:] = np.logical_or.reduce([rows[n][1:] != rows[n][:-1] for n in ("key", "i", "j")])
-        at = np.append(np.flatnonzero(group), len(rows))
-        end = len(at) - 1 if last else len(at) - 2
-        found = set()
-        for k in range(end):
-            found.update(pairs(rows[at[k] : at[k + 1]]))
-        return found, rows[at[end] :]
-
-    def table(found):
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    rest = np.zeros(0, kind)
+def _blocks(batches, key: str):
+    """Rows sorted by key and block, as one table per block."""
+    rest = None
     for batch in batches:
-        if not batch.num_rows:
+        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+        if not table.num_rows:
             continue
-        rows = np.zeros(batch.num_rows, kind)
-        for n in names[:-1]:
-            rows[n] = batch.column(batch.schema.get_field_index(n)).to_numpy()
-        rows["signature"] = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("signature")).to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        found, rest = blocks(np.concatenate([rest, rows]), False)
-        yield table(found)
-    if len(rest):
-        yield table(blocks(rest, True)[0])
+        ids = [table.column(n).to_numpy() for n in (key, "i", "j")]
+        cuts = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1
+        at = 0
+        for cut in cuts.tolist():
+            yield table.slice(at, cut - at)
+            at = cut
+        rest = table.slice(at)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _sides(block):
+    """Members and outsiders of a block: row numbers; ids, components and signatures of all rows."""
+    side, cid, comp = (block.column(n).to_numpy() for n in ("side", "cid", "comp"))
+    signature = np.frombuffer(b"".join(block.column("signature").to_pylist()), np.uint32).reshape(-1, POSITIONS)
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1), cid, comp, signature
 
 
-def _linked(documents: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that are confirmed on the full sets of their texts."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "doc_id", "mark", "size"), "cid")
-    texts = saved(texts_of(documents, saved(named, "needed"), "cid").select("cid", "text").dropDuplicates(["cid"]), "texts")
-    both = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-    return saved(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
+def _near_across(member, other, comp, signature):
+    """Row pairs (member, outsider) of different components within the radius, in parts."""
+    for at in range(0, len(other), 64):
+        part = other[at : at + 64]
+        near = comp[member][:, None] != comp[part][None, :]
+        x, y = np.nonzero(near)
+        for cut in range(0, len(x), 1 << 15):
+            p, q = member[x[cut : cut + (1 << 15)]], part[y[cut : cut + (1 << 15)]]
+            ok = (signature[p] != signature[q]).sum(axis=1) <= RADIUS
+            yield p[ok], q[ok]
+
+
+def _pairs(found) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(p) for p in found], pa.int64()), pa.array([min(p) for p in found], pa.int64())], names=["a", "b"])
+
+
+def _cross(batches):
+    """Near pairs across families, from blocks of members and outsiders of a key: one for an outsider and another family."""
+    for block in _blocks(batches, "key"):
+        member, other, cid, comp, signature = _sides(block)
+        found = {}
+        for p, q in _near_across(member, other, comp, signature):
+            for x, y in zip(p.tolist(), q.tolist()):
+                found.setdefault((y, comp[x]), (int(cid[x]), int(cid[y])))
+        if found:
+            yield _pairs(found.values())
+
+
+def _across(percent: int):
+    """Confirmed links across components, from blocks of members and outsiders of a family: enough to join all that are linked."""
+
+    def links(batches):
+        for block in _blocks(batches, "family"):
+            member, other, cid, comp, signature = _sides(block)
+            sets = list(shingle_sets(text_column(block)))
+            root = {}
+
+            def find(x):
+                while x in root:
+                    x = root[x]
+                return x
+
+            found = []
+            for p, q in _near_across(member, other, comp, signature):
+                for x, y in zip(p.tolist(), q.tolist()):
+                    a, b, least, most = find(comp[x]), find(comp[y]), *sorted((len(sets[x]), len(sets[y])))
+                    if a != b and 100 * least >= percent * most:
+                        common, union = similarity_counts(sets[x], sets[y])
+                        if 100 * common >= percent * union:
+                            root[a] = b
+                            found.append((int(cid[x]), int(cid[y])))
+            if found:
+                yield _pairs(found)
+
+    return links
+
+
+def _dealt(members: DataFrame, key: str) -> DataFrame:
+    """Members (with ni and nj, numbers of blocks) against the outsiders of a key or family, in blocks of bounded size.
+
+    Every row meets every outsider in one block. Rows of the largest component are not compared with each other, so
+    they are repeated only as often as the outsiders fill blocks.
+    """
+    own = [c for c in members.columns if c not in ("major", "ni", "nj")]
+    inside = members.selectExpr(*own, "0 AS side", "pmod(cid, ni) AS i", "explode(sequence(0L, nj - 1)) AS j")
+    outside = members.filter("comp <> major").selectExpr(*own, "1 AS side", "explode(sequence(0L, ni - 1)) AS i", "pmod(cid, nj) AS j")
+    return inside.unionByName(outside).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def _within(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -220,23 +253,36 @@ def near_groups(documents: DataFrame, id_column: str = "doc_id", text_column: st
     leaders = keyed.groupBy("key").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = keyed.join(leaders, "key").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
     stars = saved(_within(stars, classes), "stars")
-    links = _linked(docs, classes, stars, percent)
-    found = components(links)
+    near = components(stars)
 
-    labelled = saved(classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")).select("cid", "comp", "signature"), "labelled")
+    labelled = classes.join(near.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    labelled = saved(labelled.select("cid", "comp", "signature"), "labelled")
     keyed = labelled.mapInArrow(_keys, "key long, cid long, comp long")
     parts = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("comp", "n").alias("major"), F.sum("n").alias("total"), F.max("n").alias("top")).filter("k > 1 AND total > 2")
     blocks = mixed.select("key", "major", F.ceil(F.col("total") / BLOCK).alias("ni"), F.ceil((F.col("total") - F.col("top")) / BLOCK).alias("nj"))
     members = keyed.join(blocks, "key").join(labelled.select("cid", "signature"), "cid")
-    side = "key, cid, comp, signature"
-    inside = members.selectExpr(*side.split(", "), "0L AS side", "pmod(cid, ni) AS i", "explode(sequence(0L, nj - 1)) AS j")
-    outside = members.filter("comp <> major").selectExpr(*side.split(", "), "1L AS side", "explode(sequence(0L, ni - 1)) AS i", "pmod(cid, nj) AS j")
-    dealt = inside.unionByName(outside).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    across = dealt.mapInArrow(_cross, "a long, b long").distinct()
-    tested = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    across = saved(across.join(tested, ["a", "b"], "left_anti"), "across")
-    more = _linked(docs, classes, across, percent)
+    across = _dealt(members, "key").mapInArrow(_cross, "a long, b long").distinct()
+    families = components(near.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(across))
+    families = families.withColumnsRenamed({"node": "cid", "comp": "family"})
+
+    needed = saved(classes.select("cid", "doc_id", "mark", "size").join(families, "cid"), "needed")
+    texts = texts_of(docs, needed, "cid", "family").select("cid", "family", "text").dropDuplicates(["cid"])
+    texts = saved(texts, "texts")
+    sides = [texts.select(F.col("cid").alias(n), F.col("text").alias(f"text_{n}")) for n in ("a", "b")]
+    links = saved(stars.join(sides[0], "a").join(sides[1], "b").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    found = components(links)
+
+    joined = texts.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    parts = joined.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    sizes = [F.count(F.lit(1)).alias("k"), F.max_by("comp", "n").alias("major"), F.sum("n").alias("total"), F.max("n").alias("top"), F.sum("bytes").alias("bytes")]
+    mixed = parts.groupBy("family").agg(*sizes).filter("k > 1 AND total > 2")
+    by_bytes = F.ceil(F.col("bytes") / BLOCK_BYTES)
+    blocks = mixed.select(
+        "family", "major", F.greatest(F.ceil(F.col("total") / BLOCK), by_bytes).alias("ni"), F.greatest(F.ceil((F.col("total") - F.col("top")) / BLOCK), by_bytes).alias("nj")
+    )
+    members = joined.join(blocks, "family").join(classes.select("cid", "signature"), "cid")
+    more = _dealt(members, "family").mapInArrow(_across(percent), "a long, b long")
     found = components(found.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
     named = classes.select("cid", "digest", "least_id").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
