@@ -1,8 +1,81 @@
-"""Corpus pipeline."""
-STAGES = []
+"""A training corpus from the documents table: language, repeated lines, near copies, benchmark leaks, source mix.
+
+Every stage takes (spark, docs, sf_dir), is written as Parquet and read again as the next one's input. All but the last
+return the columns of the input; rows are identified by id and text, so NULL ids and repeated rows are allowed.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from windvane.llm import decontaminate, language_id, line_dedup, minhash_dedup, mixing
+from windvane.llm.common import content_key, maybe_in, saved, shared_folder
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is undetermined (no text, no letter) go; a missing lang is filled in."""
+    found = language_id.predicted(docs, docs.columns).filter("lang_pred <> 'und'")
+    return found.select(*[F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go from the text; n_chars follows."""
+    changed = F.col("n_dropped") > 0
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return line_dedup.dedup_lines(docs).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Rows whose id and text are not (``left_semi``: are) among the keys (doc_id, mark, size)."""
+    keyed = docs.withColumns(dict(zip(("_mark", "_size"), content_key())))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("mark")) & (F.col("_size") == F.col("size"))
+    return keyed.join(keys.select(F.col("doc_id").alias("_id"), "mark", "size"), same, how).drop("_mark", "_size")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the document with the smallest id stays; of rows that repeat id and text, one."""
+    groups = saved(minhash_dedup.near_groups(docs), "near")
+    key = ["doc_id", "mark", "size"]
+    repeated = saved(groups.filter("kept").groupBy(*key).count().filter("count > 1").select(*key), "repeated")
+    single = _without(docs, groups.filter("NOT kept").select(*key).distinct().unionByName(repeated))
+    likely = maybe_in(docs.withColumn("_mark", content_key()[0]), "_mark", repeated, "mark").drop("_mark")
+    again = _without(likely, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(again)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, leaks.select("doc_id", "mark", "size").distinct())
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes: doc_id, size, source_size, target, taken."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_dedup", drop_near_copies),
+    ("decontaminate", drop_benchmark_leaks),
+    ("mix", mix_sources),
+]
+
+# The language model, the signatures and the shuffle of the mix have no counterpart in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written to the shared folder and read again."""
+
+    def step(docs: DataFrame, stage) -> DataFrame:
+        name, function = stage
+        folder = shared_folder(spark, name)
+        function(spark, docs, sf_dir).write.parquet(folder)
+        return spark.read.parquet(folder)
+
+    return reduce(step, STAGES, spark.read.parquet(f"{sf_dir}/documents.parquet"))

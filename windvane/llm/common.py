@@ -87,9 +87,9 @@ def prefix_sums(df: DataFrame, order: list[str], values: list[str]) -> DataFrame
 BITMAP_BITS = 1 << 24
 
 
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size (2 MB) over hashed long keys: whoever is not in it is certainly not among the keys."""
-    bit = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+def bitmap(keys: DataFrame, column: str, hashed: bool = False) -> np.ndarray:
+    """A bitmap of fixed size (2 MB) over long keys, hashed here if they aren't: what is not in it is not among the keys."""
+    bit = F.pmod(F.col(column) if hashed else F.xxhash64(column), F.lit(BITMAP_BITS))
     words = keys.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, int(bit & 63))").alias("set"))
     found = words.groupBy("word").agg(F.bit_or("set").alias("set")).toPandas()
     out = np.zeros(BITMAP_BITS // 64, np.int64)

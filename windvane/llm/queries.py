@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windvane.llm import exact_dedup, language_id, line_dedup, minhash_dedup, mixing
+from windvane.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +72,8 @@ c AS (SELECT node, min(least) AS component_id FROM r GROUP BY node)
 SELECT s.doc_id, len(shingles) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.node = s.doc_id""")
 def op6_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents")).drop("mark", "size")
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark", "size")
