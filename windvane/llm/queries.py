@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windvane.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, mixing
+from windvane.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, mixing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,19 @@ def op6_minhash_dedup(spark, sf_dir):
 @query("op10_decontaminate")
 def op10_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark", "size")
+
+
+def _base32(sha1: str) -> str:
+    """SQL for the base32 form of a hexadecimal SHA-1: five bytes give eight digits."""
+    digits = " || ".join(f"to_base(CAST('0x' || substr({sha1}, {1 + 10 * i}, 10) AS BIGINT), 32, 8)" for i in range(4))
+    return f"translate(lower({digits}), '0123456789abcdefghijklmnopqrstuv', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
+
+@query("op3_warc", f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+m AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS digest, max(page_id) OVER (PARTITION BY body) AS response FROM p)
+SELECT page_id, payload_bytes, {_base32("digest")} AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to
+FROM m""")
+def op3_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
