@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windvane.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, mixing, warc
+from windvane.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, mixing, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,13 @@ SELECT page_id, payload_bytes, {_base32("digest")} AS payload_digest,
 FROM m""")
 def op3_warc(spark, sf_dir):
     return warc.archived(table(spark, sf_dir, "pages"))
+
+
+@query("op8_quality")
+def op8_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -35,19 +35,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return series(_K), series(pow(_K, -1, 1 << 64))
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=3)
+def _tables(kind: str = "word") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes that belong to words, hash values of bytes, and of lower-cased bytes.
+
+    Kinds: ``word`` is what stands between spaces, ``letters`` are runs of ASCII letters, digits and bytes of other
+    characters, ``symbols`` are runs of ASCII punctuation.
+    """
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
+    letters = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
+    outside = {"word": space, "letters": ~letters, "symbols": letters | space | (np.arange(256) < 33)}[kind]
     value = mix(np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03))
     lower = value.copy()
     lower[65:91] = value[97:123]
-    return ~space, value, lower
+    return ~outside, value, lower
 
 
-def _slice_words(data: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slice_words(data: np.ndarray, cuts: np.ndarray, lower: bool, kind: str = "word", prefix: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the words in ``data``; no word crosses a cut (positions where a text begins)."""
-    inside, plain, lowered = _tables()
+    inside, plain, lowered = _tables(kind)
     part = inside[data]
     begins, ends = part.copy(), part.copy()
     begins[1:] &= ~part[:-1]
@@ -61,7 +68,8 @@ def _slice_words(data: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.nd
     running = np.empty(len(data) + 1, U64)
     running[0] = 0
     np.cumsum((lowered if lower else plain)[data] * power[: len(data)], out=running[1:])
-    return start, end, mix((running[end] - running[start]) * inverse[start] + (end - start).astype(U64))
+    to = np.minimum(end, start + prefix) if prefix else end
+    return start, end, mix((running[to] - running[start]) * inverse[start] + (to - start).astype(U64))
 
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,14 +93,14 @@ def groups(offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def words_of(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of texts: first and last text, words per text, and the hashes of all their words in order."""
+def words_of(column: pa.Array, lower: bool = True, kind: str = "word", prefix: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts: first and last text, words per text, and the hashes of all their words (or first ``prefix`` bytes) in order."""
     data, offsets = raw_bytes(column)
-    inside = _tables()[0]
+    inside = _tables(kind)[0]
     for first, last in groups(offsets):
         begin, end = offsets[first], offsets[last]
         if end - begin <= 4 * SLICE:
-            start, _, hashes = _slice_words(data[begin:end], offsets[first:last] - begin, lower)
+            start, _, hashes = _slice_words(data[begin:end], offsets[first:last] - begin, lower, kind, prefix)
             edges = np.searchsorted(start, offsets[first : last + 1] - begin)
             yield first, last, np.diff(edges), hashes
             continue
@@ -103,7 +111,7 @@ def words_of(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, n
             while to < end and inside[data[to - 1]]:
                 gap = np.flatnonzero(~inside[data[to : to + SLICE]])
                 to = to + int(gap[0]) + 1 if len(gap) else min(to + SLICE, end)
-            found.append(_slice_words(data[at:to], np.zeros(0, np.int64), lower)[2])
+            found.append(_slice_words(data[at:to], np.zeros(0, np.int64), lower, kind, prefix)[2])
             at = to
         hashes = np.concatenate(found) if found else np.zeros(0, U64)
         yield first, last, np.array([len(hashes)]), hashes
