@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windvane.llm import decontaminate, exact_dedup, language_id, line_dedup, minhash_dedup, mixing, quality, toxicity, warc
+from windvane.llm import decontaminate, exact_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,3 +103,8 @@ def op8_quality(spark, sf_dir):
 @query("op9_toxicity")
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_lm_score")
+def op5_lm_score(spark, sf_dir):
+    return lm_score.perplexity_scores(table(spark, sf_dir, "documents"))

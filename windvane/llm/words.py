@@ -93,16 +93,16 @@ def groups(offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def words_of(column: pa.Array, lower: bool = True, kind: str = "word", prefix: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of texts: first and last text, words per text, and the hashes of all their words (or first ``prefix`` bytes) in order."""
+def word_spans(column: pa.Array, lower: bool = True, kind: str = "word", prefix: int = 0) -> Iterator[tuple]:
+    """For runs of texts: first and last text, words per text, hashes of all their words in order, and where these start and end in the column's bytes."""
     data, offsets = raw_bytes(column)
     inside = _tables(kind)[0]
     for first, last in groups(offsets):
         begin, end = offsets[first], offsets[last]
         if end - begin <= 4 * SLICE:
-            start, _, hashes = _slice_words(data[begin:end], offsets[first:last] - begin, lower, kind, prefix)
+            start, stop, hashes = _slice_words(data[begin:end], offsets[first:last] - begin, lower, kind, prefix)
             edges = np.searchsorted(start, offsets[first : last + 1] - begin)
-            yield first, last, np.diff(edges), hashes
+            yield first, last, np.diff(edges), hashes, start + begin, stop + begin
             continue
         found = []  # one long text, in pieces that end behind a space
         at = begin
@@ -111,10 +111,17 @@ def words_of(column: pa.Array, lower: bool = True, kind: str = "word", prefix: i
             while to < end and inside[data[to - 1]]:
                 gap = np.flatnonzero(~inside[data[to : to + SLICE]])
                 to = to + int(gap[0]) + 1 if len(gap) else min(to + SLICE, end)
-            found.append(_slice_words(data[at:to], np.zeros(0, np.int64), lower, kind, prefix)[2])
+            start, stop, hashes = _slice_words(data[at:to], np.zeros(0, np.int64), lower, kind, prefix)
+            found.append((hashes, start + at, stop + at))
             at = to
-        hashes = np.concatenate(found) if found else np.zeros(0, U64)
-        yield first, last, np.array([len(hashes)]), hashes
+        hashes, start, stop = (np.concatenate(x) for x in zip(*found))
+        yield first, last, np.array([len(hashes)]), hashes, start, stop
+
+
+def words_of(column: pa.Array, lower: bool = True, kind: str = "word", prefix: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts: first and last text, words per text, and the hashes of all their words (or first ``prefix`` bytes) in order."""
+    for first, last, counts, hashes, _, _ in word_spans(column, lower, kind, prefix):
+        yield first, last, counts, hashes
 
 
 def word_counts(column: pa.Array) -> np.ndarray:
