@@ -20,14 +20,14 @@ from windvane.llm.common import text_column, text_rows
 from windvane.llm.labels import judged, labelled_sample
 from windvane.llm.words import U64, mix, words_of
 
-MAX_ROWS = 10_000  # labelled documents per class, at most
+MAX_ROWS = 6_000  # labelled documents per class, at most
 DISCOUNT = 0.75
 SHARED = 10.0  # shared backoff counts of every word, split by the classes' sizes
 STRENGTH = 50.0  # of the backoff from bigrams to words
 STRETCH = 8
 STEM = 5
-LEAST = 3  # n-grams seen less often are left to the backoff
-MAX_ENTRIES = 4_000_000  # per table; 24 bytes an entry
+LEAST = 5  # n-grams seen less often are left to the backoff
+MAX_ENTRIES = 1_000_000  # per table; 24 bytes an entry
 THRESHOLD = 0.7
 _START = U64(0x5BD1E995)
 
@@ -82,9 +82,9 @@ class KneserNey:
         starts = pairs.groupBy(F.col("u").alias("word")).agg(seen[0].alias("k0"), seen[1].alias("k1"), F.sum("n0").alias("m0"), F.sum("n1").alias("m1"))
         kinds = ends.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("c0", "c1", "c")], F.count(F.lit(1)), *[F.coalesce(F.sum((F.col(x) > 0).cast("long")), F.lit(0)) for x in ("c0", "c1")]).first()
         total, vocabulary, of_class = kinds[2] or 1, kinds[3] or 1, (kinds[4] or 1, kinds[5] or 1)
-        words = ends.join(starts, "word", "outer").fillna(0).filter(F.col("n") + F.col("m0") + F.col("m1") >= 2 * LEAST).orderBy(F.desc("n"), "word").limit(MAX_ENTRIES).toPandas()
+        words = ends.join(starts, "word", "outer").fillna(0).filter(F.col("n") + F.col("m0") + F.col("m1") >= 2 * LEAST).orderBy(F.desc("n"), "word").limit(MAX_ENTRIES).toArrow().to_pandas()
         wide = pairs.join(starts.select(F.col("word").alias("u"), "m0", "m1"), "u").filter(F.col("n0") + F.col("n1") >= LEAST)
-        wide = wide.orderBy(F.desc(F.col("n0") + F.col("n1")), "u", "w").limit(MAX_ENTRIES).toPandas()
+        wide = wide.orderBy(F.desc(F.col("n0") + F.col("n1")), "u", "w").limit(MAX_ENTRIES).toArrow().to_pandas()
         pairs.unpersist()
         shared = words["c"].to_numpy(float) / total
         unigram, backoff, rare, share = [], [], [], []
