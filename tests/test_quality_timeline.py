@@ -164,3 +164,10 @@ def test_vocabulary():
     assert len(config.TEMPORAL_FEATURES) == 16 and len(config.STANDARD_FEATURES) == 13
     with pytest.raises(ValueError, match="unknown model"):
         config.model_params("svm")
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (2.0,)], "amb_temp double")
+    assert quality.missingness(df).first()["missing_fraction"] == 0.5
+    row = quality.feature_coverage(df, {"x": ["amb_temp"]}).first()
+    assert (row["non_null"], row["non_zero"]) == (2, 2)

@@ -23,11 +23,17 @@ def _as_rows(one_row: DataFrame, entries: dict[str, dict[str, Column]], label: s
     return one_row.select(F.inline(F.array(*structs)))
 
 
+def _present(df: DataFrame, name: str) -> Column:
+    """The column with NaN as NULL, so that both count as missing."""
+    column = F.col(f"`{name}`")
+    return F.nanvl(column, F.lit(None)) if isinstance(df.schema[name].dataType, T.FractionalType) and not isinstance(df.schema[name].dataType, T.DecimalType) else column
+
+
 def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Fraction of NULL per column; order by it and limit to get the worst columns."""
+    """Fraction of NULL or NaN per column; order by it and limit to get the worst columns."""
     names = list(columns or df.columns)
     counted = df.agg(
-        F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(names)]
+        F.count(F.lit(1)).alias("_n"), *[F.count(_present(df, c)).alias(f"_c{i}") for i, c in enumerate(names)]
     )
     fraction = {
         c: {"missing_fraction": F.when(F.col("_n") > 0, (F.col("_n") - F.col(f"_c{i}")).cast("double") / F.col("_n"))}
@@ -108,8 +114,9 @@ def feature_coverage(df: DataFrame, groups: dict[str, Sequence[str]] = COLUMN_GR
     expected = [(group, name) for group, names in groups.items() for name in names]
     for i, (group, name) in enumerate(expected):
         if name in have:
-            measures.append(F.count(name).alias(f"_c{i}"))
-            nonzero = F.count_if(F.col(name) != 0) if isinstance(have[name], T.NumericType) else F.count(name)
+            present = _present(df, name)
+            measures.append(F.count(present).alias(f"_c{i}"))
+            nonzero = F.count_if(present != 0) if isinstance(have[name], T.NumericType) else F.count(present)
             measures.append(nonzero.alias(f"_z{i}"))
         known = name in have
         entries[name] = {
