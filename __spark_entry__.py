@@ -17,6 +17,7 @@ from windvane.functions import sensors, states
 from windvane.operators import features, harmonize, labeling, metrics, quality, selection, splits, timeline
 from windvane.operators.ordered_chunks import with_rank
 from windvane.plans import experiments, training
+from windvane.session import scratch_folder
 from windvane.sources import fleet, readers, writers
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -173,7 +174,7 @@ LABEL_OUT = "row_id, event_label, event_start, event_end, state_label, state_nam
 
 def _export_raw(spark: SparkSession, sf_dir: str) -> str:
     """Write the fleet as per-farm ';' CSV folders with farm-specific channel names."""
-    root = fleet.scratch_folder(spark, "raw-fleet")
+    root = scratch_folder(spark, "raw-fleet")
     for farm in config.FARM_CHANNELS:
         raw = fleet.raw_channels(spark, sf_dir, farm).drop("row_id")
         raw.write.option("sep", ";").option("header", True).csv(f"{root}/Wind Farm {farm}/datasets")
@@ -258,7 +259,7 @@ def feature_map_table(spark, sf_dir):
 SELECT farm_id, asset_id, event_id, event_label, event_start, event_end,
        CASE WHEN event_label = 'anomaly' THEN 'fault of ' || asset_id ELSE '' END AS event_description FROM faults"""))
 def event_info_scan(spark, sf_dir):
-    root = fleet.scratch_folder(spark, "event-info")
+    root = scratch_folder(spark, "event-info")
     known = fleet.faults(spark, sf_dir)
     for farm in config.FARM_CHANNELS:
         asset = "asset" if farm == "A" else "asset_id"
@@ -278,7 +279,7 @@ _MASTER_OUT = ["time_stamp", "farm_id", "asset_id", "event_id", "amb_temp", "pow
 
 @query("master_dataset", sql(PROC, f"SELECT {', '.join(_MASTER_OUT)} FROM lab"))
 def master_dataset(spark, sf_dir):
-    root = fleet.scratch_folder(spark, "master")
+    root = scratch_folder(spark, "master")
     writers.write_processed(fleet.processed(spark, sf_dir, 6.0), f"{root}/processed")
     writers.create_master(spark, f"{root}/processed", f"{root}/master")
     return _rounded(readers.read_processed(spark, f"{root}/master").select(*_MASTER_OUT), ["rpm_volatility"])
@@ -318,7 +319,7 @@ def artifact_roundtrip(spark, sf_dir):
     table = fleet.telemetry(spark, sf_dir).groupBy("farm_id", "asset_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("time_stamp").alias("first_time"), F.max("active_power").alias("top_power")
     )
-    path = writers.save_table(table, fleet.scratch_folder(spark, "artifact"))
+    path = writers.save_table(table, scratch_folder(spark, "artifact"))
     return writers.load_table(spark, path, table.schema)
 
 
@@ -329,7 +330,7 @@ SELECT '{"tn":' || count(*) FILTER (WHERE y_true = 0 AND y_prob < 0.5) || ',"fp"
 def metrics_json(spark, sf_dir):
     counts = metrics.confusion_counts(metrics.at_threshold(fleet.scores(spark, sf_dir), 0.5))
     table = counts.withColumn("note", F.lit(None).cast("string"))
-    path = writers.save_json(table, fleet.scratch_folder(spark, "metrics"))
+    path = writers.save_json(table, scratch_folder(spark, "metrics"))
     return writers.as_json(writers.load_json(spark, path, table.schema))
 
 
@@ -891,24 +892,16 @@ def asset_failure_band(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------------------
-# Models (rows-only: the solvers are iterative)
+# Models, with the settings of the registry
 # ---------------------------------------------------------------------------------------
 
-# Short fits keep a whole-table run affordable; the registry values are the defaults.
-_SHORT = {
-    "logistic": {"max_iter": 50},
-    "rf": {"n_estimators": 10, "max_depth": 5},
-    "xgboost": {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3},
-}
-
-
 def _prepared(spark, sf_dir):
     return experiments.prepare(fleet.processed(spark, sf_dir), config.experiment("pre_72h"))
 
 
 def _trained(spark, sf_dir, name):
     table, columns = _prepared(spark, sf_dir)
-    return experiments.run_model(name, table, columns, config.experiment("pre_72h"), **_SHORT[name]), table
+    return experiments.run_model(name, table, columns, config.experiment("pre_72h")), table
 
 
 def _train_query(name, model):
@@ -920,7 +913,7 @@ def _train_query(name, model):
 
 _train_query("train_logistic", "logistic")
 _train_query("train_rf", "rf")
-_train_query("train_gbt", "xgboost")
+_train_query("train_gbt", "gbt")
 
 
 @query("score_table")
@@ -942,16 +935,37 @@ def top_features(spark, sf_dir):
 @query("tournament")
 def tournament(spark, sf_dir):
     table, columns = _prepared(spark, sf_dir)
-    return experiments.tournament(table, columns, config.experiment("pre_72h"), overrides=_SHORT)[0]
+    return experiments.tournament(table, columns, config.experiment("pre_72h"))[0]
 
 
 @query("leaderboard")
 def leaderboard(spark, sf_dir):
-    output = fleet.scratch_folder(spark, "run")
-    board, _ = experiments.run_experiment(
-        fleet.processed(spark, sf_dir), "pre_24h", models=("logistic", "rf"), output=output, overrides=_SHORT
-    )
-    return board
+    output = scratch_folder(spark, "run")
+    return experiments.run_experiment(fleet.processed(spark, sf_dir), "pre_24h", output=output)[0]
+
+
+# Models of one binary input have answers in closed form: with balanced weights the chance of class 1 is a ratio of
+# shares, and one boosting step gives the sigmoid of twice the weighted mean of -1 and 1 in each leaf.
+_ONE_BIT = SCORED + """,
+cells AS (SELECT CAST(y_prob >= 0.5 AS INTEGER) AS bit, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM sc GROUP BY 1),
+totals AS (SELECT sum(pos) AS p, sum(neg) AS n FROM cells)"""
+_BALANCED = "SELECT bit, CAST(pos + neg AS BIGINT) AS n_rows, round((pos / p) / (pos / p + neg / n), 3) AS y_prob FROM cells, totals"
+_BOOSTED = """SELECT bit, CAST(pos + neg AS BIGINT) AS n_rows,
+  round(1 / (1 + exp(-2 * (n / p * pos - neg) / (n / p * pos + neg))), 3) AS y_prob FROM cells, totals"""
+
+
+def _one_bit_query(name, select, model, **params):
+    @query(name, sql(_ONE_BIT, select))
+    def fit(spark, sf_dir):
+        rows = fleet.scores(spark, sf_dir).selectExpr("int(y_prob >= 0.5) AS bit", "y_true AS target")
+        table = selection.assemble(rows, ["bit"], keep=("bit",))
+        scored = training.FaultModel(model, params).fit(table).score(table)
+        return scored.groupBy("bit").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("y_prob"), 3).alias("y_prob"))
+
+
+_one_bit_query("one_bit_logistic", _BALANCED, "logistic", C=1e6)
+_one_bit_query("one_bit_tree", _BALANCED, "rf", n_estimators=1, max_depth=1, bootstrap=False)
+_one_bit_query("one_bit_boosting", _BOOSTED, "gbt", n_estimators=1, max_depth=1)
 
 
 # ---------------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from windvane.operators import selection, splits
 from windvane.plans import experiments, training
 from windvane.sources import writers
 
-SHORT = {"logistic": {"max_iter": 30}, "rf": {"n_estimators": 5, "max_depth": 4}, "xgboost": {"n_estimators": 3, "max_depth": 3}}
+SHORT = {"logistic": {"max_iter": 30}, "rf": {"n_estimators": 5, "max_depth": 4}, "gbt": {"n_estimators": 3, "max_depth": 3}}
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +39,7 @@ def test_prepare(table):
     assert {r[0] for r in df.select("split").distinct().collect()} == {"train", "val", "test"}
 
 
-@pytest.mark.parametrize("name", ["logistic", "rf", "xgboost"])
+@pytest.mark.parametrize("name", ["logistic", "rf", "gbt"])
 def test_models_learn_tune_and_rank(table, name):
     df, columns = table
     run = experiments.run_model(name, df, columns, config.experiment("pre_24h"), **SHORT[name])
@@ -105,6 +105,16 @@ def test_experiment_run_saves_everything(spark, processed, tmp_path):
     assert {r["model_name"] for r in meta.collect()} == {"logistic", "rf"}
     assert spark.read.option("header", True).csv(str(tmp_path / "feature_importance")).count() == 6
     assert spark.read.option("header", True).csv(str(tmp_path / "detailed_metrics")).count() == 2
+    sweep = writers.load_table(spark, str(tmp_path / "best_model_test_sweep"))
+    assert sweep.count() == 55 and {r[0] for r in sweep.select("model_name").distinct().collect()} == {rows[0]["model_name"]}
+
+
+def test_feature_options_and_pruned_copy(processed):
+    extra = processed.withColumn("label_text", F.lit("x"))
+    table, columns = experiments.prepare(extra, config.experiment("pre_24h"), features={"include": ["wind_speed", "gearbox_oil_temp"], "extra_excluded": ["wind_speed"]})
+    assert columns == ["gearbox_oil_temp"]
+    plan = table.select("label")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<label:int>" in plan
 
 
 def test_tournament(table):

@@ -114,11 +114,12 @@ EXPERIMENTS: dict[str, dict] = {
     "pre_48h": {"positive_states": ("pre_24_48h", "pre_0_24h", "event_occurring")},
     "pre_72h": {"positive_states": ("pre_48_72h", "pre_24_48h", "pre_0_24h", "event_occurring")},
 }
-EXPERIMENT_MODELS = ("logistic", "rf", "xgboost")
+EXPERIMENT_MODELS = ("logistic", "rf", "gbt")
+MODEL_ALIASES = {"xgboost": "gbt"}
 MODELS: dict[str, dict] = {
     "logistic": {"C": 1.0, "max_iter": 1000},
     "rf": {"n_estimators": 200, "max_depth": 10, "min_samples_leaf": 5},
-    "xgboost": {
+    "gbt": {
         "n_estimators": 300, "max_depth": 6, "learning_rate": 0.05,
         "subsample": 0.8, "colsample": 0.8,
     },
@@ -126,7 +127,7 @@ MODELS: dict[str, dict] = {
 MODEL_DEFAULTS: dict[str, dict] = {
     "logistic": {"C": 1.0, "max_iter": 1000},
     "rf": {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 1},
-    "xgboost": {"n_estimators": 200, "max_depth": 6, "learning_rate": 0.1, "subsample": 1.0, "colsample": 1.0},
+    "gbt": {"n_estimators": 200, "max_depth": 6, "learning_rate": 0.1, "subsample": 1.0, "colsample": 1.0},
 }
 
 # The hand-picked part of the threshold grid.
@@ -187,7 +188,12 @@ def experiment(name: str, **overrides) -> Experiment:
     return Experiment(name, **{**EXPERIMENTS[name], **overrides})
 
 
+def model_name(name: str) -> str:
+    return MODEL_ALIASES.get(name, name)
+
+
 def model_params(name: str, **overrides) -> dict:
+    name = model_name(name)
     if name not in MODELS:
         raise ValueError(f"unknown model {name!r}; known: {sorted(MODELS)}")
     return {**MODELS[name], **overrides}

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windvane import config
-from windvane.operators import metrics
+from windvane.operators import metrics, quality
 from windvane.session import ensure_checkpoint_dir, materialize, require_columns
 
-MODEL_TYPES = ("logistic", "rf", "xgboost")
+MODEL_TYPES = config.EXPERIMENT_MODELS
 COMPACT = ("precision", "recall", "f1", "roc_auc", "pr_auc", "balanced_accuracy", "specificity", "threshold")
 
 
@@ -36,14 +36,11 @@ def _label_counts(df: DataFrame, label: str) -> tuple[int, int]:
     return row["neg"], row["pos"]
 
 
-def _weight(model_type: str, neg: int, pos: int):
-    """Class weight column: balanced n/(2 n_c), or neg/pos on positives for boosting."""
-    if model_type == "xgboost":
-        return F.when(F.col("label") == 1, F.lit(neg / pos if pos else 1.0)).otherwise(F.lit(1.0))
-    total = neg + pos
-    return F.when(F.col("label") == 1, F.lit(total / (2 * pos) if pos else 1.0)).otherwise(
-        F.lit(total / (2 * neg) if neg else 1.0)
-    )
+def _weight(model_type: str, train: DataFrame):
+    """Class weight of a row: boosting or balanced weights of ``quality.class_weights``."""
+    kind = "boosting_weight" if model_type == "gbt" else "balanced_weight"
+    weights = {r["class"]: r[kind] for r in quality.class_weights(train, "label").collect()}  # two rows
+    return F.when(F.col("label") == 1, F.lit(weights[1] or 1.0)).otherwise(F.lit(weights[0] or 1.0))
 
 
 def _estimator(model_type: str, params: dict, rows: int, seed: int) -> Pipeline:
@@ -61,7 +58,8 @@ def _estimator(model_type: str, params: dict, rows: int, seed: int) -> Pipeline:
     if model_type == "rf":
         model = RandomForestClassifier(
             featuresCol="features", numTrees=params["n_estimators"], maxDepth=params["max_depth"],
-            minInstancesPerNode=params["min_samples_leaf"], featureSubsetStrategy="sqrt", seed=seed, **common,
+            minInstancesPerNode=params["min_samples_leaf"], featureSubsetStrategy="sqrt",
+            bootstrap=params.get("bootstrap", True), seed=seed, **common,
         )
     else:
         model = GBTClassifier(
@@ -80,7 +78,7 @@ def _colsample(share: float) -> str:
 class FaultModel:
     """A classifier over ``features``/``label`` tables with a tunable decision threshold."""
 
-    model_type: str = "xgboost"
+    model_type: str = "gbt"
     params: dict = field(default_factory=dict)
     seed: int = 42
     threshold: float = 0.5
@@ -90,6 +88,7 @@ class FaultModel:
     rows: int = 0
 
     def __post_init__(self) -> None:
+        self.model_type = config.model_name(self.model_type)
         if self.model_type not in MODEL_TYPES:
             raise ValueError(f"unsupported model type {self.model_type!r}; known: {sorted(MODEL_TYPES)}")
         self.params = {**config.MODEL_DEFAULTS[self.model_type], **self.params}
@@ -98,7 +97,7 @@ class FaultModel:
         neg, pos = _label_counts(train, "label")
         self.rows = neg + pos
         ensure_checkpoint_dir(train.sparkSession)
-        weighted = train.withColumn("weight", _weight(self.model_type, neg, pos))
+        weighted = train.withColumn("weight", _weight(self.model_type, train))
         self.fitted = _estimator(self.model_type, self.params, self.rows, self.seed).fit(weighted)
         return self
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, reachable by every executor; it goes when the session's JVM ends."""
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path, files = _hadoop(spark, folder)
+    files.deleteOnExit(path)
+    return folder
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder made by ``scratch_folder``."""
+    path, files = _hadoop(spark, folder)
+    files.delete(path, True)
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written once as Parquet and read back: unlike a checkpoint, later scans are pruned and filtered."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def small_result(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``small_side`` of an aggregate: computed once, then checked and joined from its copy."""
     return small_side(materialize(df), max_rows)

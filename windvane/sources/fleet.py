@@ -7,8 +7,6 @@ sensor are part of the view.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,21 +15,12 @@ from windvane.operators.features import derive_features
 from windvane.operators.harmonize import normalize_units
 from windvane.operators.labeling import label_states
 from windvane.operators.ordered_chunks import ROWS_PER_CHUNK
-from windvane.session import ensure_checkpoint_dir
 
 TURBINES = 15
 FAULT_FROM = "2024-01-12"
 FAULT_HOURS = 36
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder next to the checkpoints, for queries that write and read back."""
-    ensure_checkpoint_dir(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-
 _FARM = "CASE turbine % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END"
 
 # Sensor features in farm units, as arithmetic on the event.
