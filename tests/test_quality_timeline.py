@@ -114,9 +114,10 @@ def test_timeline(spark):
     assert (out["nacelle_temp_z"] == 0).all() and (out["event_id"] == 2).sum() == 6
 
 
-@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
-def test_timeline_with_separate_events(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(timeline, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_timeline_with_separate_events(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(timeline, "small_side", lambda df: df)
     df = telemetry(spark)
     events = df.select(*timeline.INDEX_COLUMNS).distinct()
     second = events.filter("event_id = 1").withColumns({"event_id": F.lit(3).cast("long"), "event_start": F.col("event_start") + F.expr("interval 30 hours")})

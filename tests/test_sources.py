@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windvane import config
-from windvane.operators import harmonize
+from windvane.operators import features, harmonize
 from windvane.plans.preprocess import preprocess
 from windvane.sources import readers, writers
 
@@ -37,8 +37,8 @@ def raw_root(tmp_path):
 
 
 def test_headers_bind_by_name(spark, raw_root):
-    groups = readers.header_groups(spark, f"{raw_root}/Wind Farm A/datasets")
-    assert len(groups) == 2
+    headers = readers.file_headers(spark, f"{raw_root}/Wind Farm A/datasets").collect()
+    assert len({r["header"] for r in headers}) == 2
     rows = readers.read_farms(spark, raw_root).filter("event_id IS NULL").orderBy("time_stamp").collect()
     assert [(r["asset_id"], r["gearbox_oil_temp"], r["amb_temp"]) for r in rows] == [("11", 7.5, None), ("11", None, None)]
 
@@ -47,7 +47,9 @@ def test_only_needed_columns_are_parsed(spark, raw_root):
     raw = readers.read_telemetry(spark, f"{raw_root}/Wind Farm A/datasets", "A")
     assert set(raw.columns) == {"time_stamp", "asset_id", "sensor_0_avg", "sensor_44", "sensor_12_avg", "source_file", "row_id"}
     plan = raw.select("sensor_44")._jdf.queryExecution().executedPlan().toString()
-    assert "extra" not in plan and "ReadSchema: struct<sensor_44:string>" in plan
+    assert "ReadSchema: struct<_c4:string>" in plan  # one scan of both layouts
+    plan = readers.read_telemetry(spark, f"{raw_root}/Wind Farm B/datasets", "B").select("sensor_32_avg")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<sensor_32_avg:string>" in plan and "Join" not in plan
 
 
 def test_event_info_and_catalog(spark, raw_root):
@@ -83,6 +85,32 @@ def test_preprocess_end_to_end(spark, raw_root, tmp_path):
     preprocess(spark, raw_root, out, overwrite=True)
 
 
+def test_histories_are_files(spark, tmp_path):
+    """Files without digits, or with equal digits, stay apart in every window."""
+    for names, event in ((("alpha", "beta"), None), (("1_2", "12"), 12)):
+        root = tmp_path / names[0]
+        for at, name in enumerate(names):
+            lines = [f"2024-01-01 {i // 6:02d}:{i % 6}0:00;7;{100 * at + i}" for i in range(30)]
+            write(root / "Wind Farm A" / "datasets" / f"{name}.csv", "time_stamp;asset_id;sensor_12_avg\n" + "\n".join(lines) + "\n")
+        for limit in (10**6, 10):
+            rows = features.derive_features(readers.read_farms(spark, str(root)), rows_per_chunk=limit).collect()
+            assert len(rows) == 60 and {r["event_id"] for r in rows} == {event}
+            assert {r["gearbox_oil_temp_delta_6"] for r in rows} == {0.0, 6.0}
+
+
+def test_master_stays_outside(spark, tmp_path):
+    for master in (tmp_path / "p", tmp_path / "p" / "master", tmp_path):
+        with pytest.raises(ValueError, match="contain"):
+            writers.create_master(spark, str(tmp_path / "p"), str(master))
+
+
+def test_csv_with_other_columns(spark, tmp_path):
+    df = spark.createDataFrame([("007", 1.5, "a b", 3), ("8", None, None, None)], "asset_id string, wind_speed double, `free.text` string, other int")
+    df.write.option("header", True).csv(str(tmp_path / "x.csv"))
+    back = readers.load_dataset(spark, str(tmp_path / "x.csv"))
+    assert back.schema.simpleString() == df.schema.simpleString() and sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
+
+
 def test_missing_inputs(spark, tmp_path):
     empty = tmp_path / "empty"
     empty.mkdir()

@@ -10,9 +10,15 @@ from windvane.functions import sensors
 from windvane.operators.ordered_chunks import CHUNK, ROWS_PER_CHUNK, OrderedChunks, with_halo
 
 HISTORY = ["farm_id", "event_id"]
+FILE = "source_file"
 ORDER = ["time_stamp", "row_id"]
 
 
+def history_keys(df: DataFrame) -> list[str]:
+    """A history is one event of a farm, and one file where the table names its files."""
+    return [*HISTORY, FILE] if FILE in df.columns else HISTORY
+
+
 def physics_features(df: DataFrame) -> DataFrame:
     """Row-local features; those whose inputs are absent are not added."""
     have = set(df.columns)
@@ -56,16 +62,17 @@ def temporal_features(
     df: DataFrame,
     *,
     wanted: set[str] | None = None,
-    keys: list[str] = HISTORY,
+    keys: list[str] | None = None,
     order: list[str] = ORDER,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Lags, trends and rolling deviations over each history, in one shuffle.
+    """Lags, trends and rolling deviations over each history (file, if named), in one shuffle.
 
     All columns share one window ordering. Histories above ``rows_per_chunk`` are cut into
     chunks that carry the 144 rows before them, so a huge turbine is spread over many tasks
     with results identical to the uncut window.
     """
+    keys = history_keys(df) if keys is None else keys
     layout = OrderedChunks.plan(df, keys, order, halo=config.TREND_ROWS, rows_per_chunk=rows_per_chunk)
     place = [*keys] if layout.trivial else [*keys, CHUNK]
     history = (

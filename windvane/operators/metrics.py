@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,8 +140,8 @@ def auc(
 # -- thresholds --------------------------------------------------------------------------
 
 def default_thresholds() -> list[float]:
-    dense = np.linspace(0.02, 0.98, 49)
-    return np.unique(np.concatenate([np.array(config.COMMON_THRESHOLDS), dense])).tolist()
+    """Every even percent from 2 to 98, and the hand-picked thresholds."""
+    return sorted({*config.COMMON_THRESHOLDS, *(percent / 100 for percent in range(2, 100, 2))})
 
 
 def _thresholds_reached(score: str, grid: list[float], low: int = 0, high: int | None = None) -> str:
@@ -156,6 +155,7 @@ def _thresholds_reached(score: str, grid: list[float], low: int = 0, high: int |
     return f"CASE WHEN `{score}` >= {grid[middle]!r}D THEN {above} ELSE {below} END"
 
 
+# Columns of a sweep.
 SWEEP_COLUMNS = (
     "threshold", "precision", "recall", "f1", "balanced_accuracy", "specificity",
     "false_positive_rate", "false_negative_rate", "tp", "fp", "tn", "fn",

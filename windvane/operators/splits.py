@@ -19,6 +19,7 @@ from windvane.functions import states
 from windvane.operators.ordered_chunks import ROWS_PER_CHUNK, OrderedChunks, with_rank
 from windvane.session import materialize, require_columns, small_result, small_side
 
+MAX_TURBINES = 1_000_000  # far above any fleet; their sizes are placed one after another
 SIZES = (0.7, 0.15, 0.15)
 
 
@@ -220,10 +221,12 @@ def group_kfold(df: DataFrame, n_splits: int = 5, *, target_col: str = "target")
     """Fold number per row; a turbine is never divided and folds are balanced by rows.
 
     Turbines go to the lightest fold, largest first. Only the turbine table (one row per
-    turbine, a dimension) visits the driver.
+    turbine, a dimension) visits the driver; more than ``MAX_TURBINES`` is an error.
     """
     require_columns(df, "farm_id", "asset_id", target_col)
-    sizes = [(r["n_rows"], r["group_id"]) for r in turbine_groups(df).select("n_rows", "group_id").collect()]
+    sizes = [(r["n_rows"], r["group_id"]) for r in turbine_groups(df).select("n_rows", "group_id").limit(MAX_TURBINES + 1).collect()]
+    if len(sizes) > MAX_TURBINES:
+        raise ValueError(f"grouped folds take at most {MAX_TURBINES} turbines")
     if n_splits > len(sizes):
         raise ValueError(f"n_splits={n_splits} exceeds the number of turbines ({len(sizes)})")
     folds = [(0, fold) for fold in range(n_splits)]

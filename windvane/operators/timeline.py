@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from windvane import config
 from windvane.functions import sensors, states
 from windvane.operators.ordered_chunks import BEFORE, ROWS_PER_CHUNK, OrderedChunks
-from windvane.session import BROADCAST_ROWS, require_columns, small_result
+from windvane.session import materialize, require_columns, small_result, small_side
 
 INDEX_COLUMNS = ("farm_id", "asset_id", "event_id", "event_label", "event_start", "event_end")
 
@@ -36,9 +36,9 @@ def sorted_event_index(df: DataFrame, source_col: str | None = None) -> DataFram
 def _window_join(df: DataFrame, events: DataFrame, time: Column, before: float, after: float) -> DataFrame:
     """Telemetry rows inside each event's window, by (farm, asset) and time.
 
-    A small event table is broadcast. A large one is spread over the days its window
-    touches and joined on (farm, asset, day), which also divides a hot turbine. Either way
-    the span of all windows is a literal filter that reaches the telemetry scan.
+    Events are spread over the days their window touches and joined on (farm, asset, day),
+    so a row meets only events near it, and a hot turbine is divided. The span of all
+    windows is a literal filter that reaches the telemetry scan.
     """
     low = F.col("_e_start") - states.hours(before)
     high = F.col("_e_start") + states.hours(after)
@@ -48,16 +48,15 @@ def _window_join(df: DataFrame, events: DataFrame, time: Column, before: float,
     ).filter(F.col("_e_start").isNotNull())
     same = (F.col("farm_id") == F.col("_e_farm")) & (F.col("asset_id") == F.col("_e_asset"))
     inside = (time >= low) & (time <= high)
+    named = materialize(named)
     size, earliest, latest = named.agg(
         F.count(F.lit(1)), F.min(low).cast("string"), F.max(high).cast("string")
     ).first()
     if size:
         df = df.filter(time.between(F.lit(earliest).cast("timestamp_ntz"), F.lit(latest).cast("timestamp_ntz")))
-    if size <= BROADCAST_ROWS:
-        return df.join(F.broadcast(named), same & inside)
     days = F.sequence(F.to_date(low), F.to_date(high), F.expr("interval 1 day"))
     spread = named.withColumn("_e_day", F.explode(days))
-    return df.withColumn("_day", F.to_date(time)).join(spread, same & (F.col("_day") == F.col("_e_day")) & inside).drop("_day", "_e_day")
+    return df.withColumn("_day", F.to_date(time)).join(small_side(spread), same & (F.col("_day") == F.col("_e_day")) & inside).drop("_day", "_e_day")
 
 
 def event_timeline(

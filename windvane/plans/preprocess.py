@@ -9,7 +9,7 @@ from windvane.operators.features import derive_features
 from windvane.operators.harmonize import normalize_units
 from windvane.operators.labeling import label_states
 from windvane.operators.ordered_chunks import ROWS_PER_CHUNK
-from windvane.session import materialize
+from windvane.session import remove_folder, scratch_folder, stored
 from windvane.sources import readers, writers
 
 
@@ -33,15 +33,22 @@ def preprocess(
 ) -> str:
     """Read every farm, harmonize, derive, label and write; optionally consolidate.
 
-    The harmonized table is materialized once: it is a fraction of the raw text, it fixes
-    the scan-order row ids, and the passes that size the histories do not re-parse CSV.
+    The harmonized table is written once as Parquet: it is a fraction of the raw text, it fixes
+    the scan-order row ids, and the passes that size the histories read only the columns they
+    count. The copy goes when the run ends.
     """
-    harmonized = materialize(normalize_units(readers.read_farms(spark, raw_root, farms), farms))
-    processed = build_processed(
-        harmonized, readers.read_event_info(spark, raw_root, farms),
-        buffer_before_hours=buffer_before_hours, buffer_after_hours=buffer_after_hours, event_order="event_seq",
-    )
-    writers.write_processed(processed, processed_path, overwrite=overwrite)
+    if master_path is not None:
+        writers.check_master_path(processed_path, master_path)
+    folder = scratch_folder(spark, "harmonized")
+    try:
+        harmonized = stored(normalize_units(readers.read_farms(spark, raw_root, farms), farms), folder)
+        processed = build_processed(
+            harmonized, readers.read_event_info(spark, raw_root, farms),
+            buffer_before_hours=buffer_before_hours, buffer_after_hours=buffer_after_hours, event_order="event_seq",
+        )
+        writers.write_processed(processed, processed_path, overwrite=overwrite)
+    finally:
+        remove_folder(spark, folder)
     if master_path is not None:
         writers.create_master(spark, processed_path, master_path, overwrite=overwrite)
     return processed_path

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pathlib import PurePosixPath
-from urllib.parse import quote
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +13,7 @@ from windvane import config
 from windvane.config import FarmMap
 from windvane.functions import states
 from windvane.operators.harmonize import map_sensors, union_farms
+from windvane.session import materialize, small_side
 
 _ROW_ID = "row_id"
 
@@ -39,58 +38,85 @@ def _paths(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
 
 
-def _first_lines(batches):
-    """Header line of each listed file, read where the task runs."""
-    from pyarrow import fs
+def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+    """Header line of every file: file (URI, as in ``_metadata.file_path``), header.
 
-    for batch in batches:
-        lines = []
-        for path in batch["path"]:
-            # Spark prints local paths as file:/x; a URI parser wants file:///x, quoted.
-            uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
-            system, name = fs.FileSystem.from_uri(quote(uri, safe=":/@?&=+,;"))
-            with system.open_input_stream(name) as stream:
-                head = b""
-                while b"\n" not in head:
-                    piece = stream.read(65536)
-                    if not piece:
-                        break
-                    head += piece
-            lines.append(head.split(b"\n")[0].rstrip(b"\r").decode("utf-8-sig", errors="replace"))
-        yield pd.DataFrame({"path": batch["path"], "header": lines})
+    Only the head of each file is read. The function travels with the task, so workers need no package of ours.
+    """
+
+    def first_lines(batches):
+        from urllib.parse import quote
+
+        import pandas as pd
+        from pyarrow import fs
+
+        for batch in batches:
+            lines = []
+            for path in batch["path"]:
+                # Spark prints local paths as file:/x; a URI parser wants file:///x, quoted.
+                uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
+                system, name = fs.FileSystem.from_uri(quote(uri, safe=":/@?&=+,;"))
+                with system.open_input_stream(name) as stream:
+                    head = b""
+                    while b"\n" not in head:
+                        piece = stream.read(65536)
+                        if not piece:
+                            break
+                        head += piece
+                lines.append(head.split(b"\n")[0].rstrip(b"\r").decode("utf-8-sig", errors="replace"))
+            yield pd.DataFrame({"file": batch["file"], "header": lines})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select("path", F.col("_metadata.file_path").alias("file")).mapInPandas(first_lines, "file string, header string")
+
+
+def _names(header: str) -> list[str]:
+    return [name.strip().strip('"') for name in header.split(";")]
 
 
-def header_groups(spark: SparkSession, folder: str, pattern: str = "*.csv") -> dict[str, list[str]]:
-    """Files of a folder grouped by identical header line (columns bind by position in Spark)."""
-    headers = _paths(spark, folder, pattern).mapInPandas(_first_lines, "path string, header string")
-    grouped = headers.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    return {row["header"]: row["paths"] for row in grouped.collect()}
+def _one_layout(reader, folder: str, header: str, needed: list[str]) -> DataFrame:
+    names = _names(header)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    scan = reader.schema(schema).option("enforceSchema", False).csv(folder)
+    return scan.select(*[F.col(f"`{n}`") for n in needed if n in names], F.col("_metadata.file_name").alias("source_file"))
+
+
+def _many_layouts(reader, folder: str, files: DataFrame, headers: list[str], needed: list[str]) -> DataFrame:
+    """One scan of all files by position; the layout of its file says where a row keeps a channel."""
+    layouts = [_names(h) for h in headers]
+    width = max(map(len, layouts))
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    layout = F.array_position(F.array(*map(F.lit, headers)), F.col("header")) - 1
+    scan = reader.schema(schema).csv(folder).withColumns({"_file": F.col("_metadata.file_path"), "source_file": F.col("_metadata.file_name")})
+    joined = scan.join(small_side(files.select(F.col("file").alias("_file"), layout.alias("_layout"))), "_file")
+
+    def channel(name: str):
+        places: dict[int, list[str]] = {}
+        for i, names in enumerate(layouts):
+            if name in names:
+                places.setdefault(names.index(name), []).append(str(i))
+        cases = " ".join(f"WHEN _layout IN ({', '.join(own)}) THEN _c{at}" for at, own in places.items())
+        return F.expr(f"CASE {cases} END").alias(name)
+
+    present = [n for n in needed if any(n in names for names in layouts)]
+    return joined.select(*map(channel, present), "source_file")
 
 
 def read_telemetry(spark: SparkSession, folder: str, farm: str, farms: FarmMap = FarmMap()) -> DataFrame:
     """Raw channels of one farm that the feature map needs, as text, with file and row id.
 
-    Only requested columns are parsed. Files with different headers are read as separate
-    scans and aligned by name; a header that does not match its group is an error.
+    Only requested columns are parsed, in one scan of the folder. Columns bind by name also where files have
+    different headers; only the distinct headers reach the driver.
     """
-    needed = farms.required_channels(farm)
-    scans = []
-    for header, paths in sorted(header_groups(spark, folder).items()):
-        names = [name.strip().strip('"') for name in header.split(";")]
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        scan = (
-            spark.read.schema(schema).option("sep", ";").option("header", True)
-            .option("enforceSchema", False).csv(paths)
-        )
-        present = [n for n in needed if n in names]
-        scans.append(scan.select(
-            *[F.col(f"`{n}`") for n in present],
-            F.col("_metadata.file_name").alias("source_file"),
-            F.monotonically_increasing_id().alias(_ROW_ID),
-        ))
-    if not scans:
+    files = materialize(file_headers(spark, folder))
+    headers = sorted(row["header"] for row in files.select("header").distinct().collect())
+    if not headers:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    return union_farms(scans)
+    needed = farms.required_channels(farm)
+    reader = spark.read.option("sep", ";").option("header", True).option("pathGlobFilter", "*.csv")
+    one = len(headers) == 1
+    scan = _one_layout(reader, folder, headers[0], needed) if one else _many_layouts(reader, folder, files, headers, needed)
+    return scan.withColumn(_ROW_ID, F.monotonically_increasing_id())
 
 
 def _exists(spark: SparkSession, path: str, pattern: str = "*") -> bool:
@@ -192,7 +218,11 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
             return spark.read.parquet(path)
         header = spark.read.option("header", True).csv(path)
         known = {f.name: f.dataType for f in processed_schema().fields}
-        return header.select(*[F.col(c).cast(known.get(c, T.DoubleType())).alias(c) for c in header.columns])
+        unknown = [f"`{c}`" for c in header.columns if c not in known]
+        if unknown:  # their types come from the values
+            inferred = spark.read.option("header", True).option("inferSchema", True).csv(path).select(*unknown)
+            known |= {f.name: f.dataType for f in inferred.schema.fields}
+        return header.select(*[F.col(f"`{c}`").cast(known[c]).alias(c) for c in header.columns])
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc):
             raise FileNotFoundError(f"dataset not found: {path}") from exc

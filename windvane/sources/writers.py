@@ -32,14 +32,25 @@ def _guarded(write, path: str) -> str:
 
 
 def write_processed(df: DataFrame, path: str, *, overwrite: bool = False) -> str:
-    """Processed events, partitioned by farm and event, time-sorted within each task's files."""
+    """Processed events, partitioned by farm and event, time-sorted within each file.
+
+    Rows of an event are brought together by size: small events share a task, a huge one is spread over several.
+    """
     table = df.select(*processed_schema().fieldNames())
-    ordered = table.sortWithinPartitions("farm_id", "event_id", "time_stamp")
+    ordered = table.hint("rebalance", "farm_id", "event_id").sortWithinPartitions("farm_id", "event_id", "time_stamp")
     return _guarded(ordered.write.mode(_mode(overwrite)).partitionBy("farm_id", "event_id").parquet, path)
 
 
+def check_master_path(processed_path: str, master_path: str) -> None:
+    """A master inside the processed folder (or around it) would be read as one more event."""
+    inner, outer = (p.removeprefix("file://").removeprefix("file:").rstrip("/") + "/" for p in (processed_path, master_path))
+    if inner.startswith(outer) or outer.startswith(inner):
+        raise ValueError(f"master path {master_path} and processed folder {processed_path} contain one another")
+
+
 def create_master(spark, processed_path: str, master_path: str, *, overwrite: bool = False) -> str:
     """Consolidate all processed events into one Parquet table with the fixed schema."""
+    check_master_path(processed_path, master_path)
     events = read_processed(spark, processed_path)
     return _guarded(events.write.mode(_mode(overwrite)).parquet, master_path)
 
