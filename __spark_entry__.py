@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -307,6 +308,28 @@ def file_inventory(spark, sf_dir):
     return readers.file_inventory(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+@query("file_rows", "SELECT 'events.parquet' AS file_name, count(*) AS n_rows FROM events")
+def file_rows(spark, sf_dir):
+    return readers.rows_per_file(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+@query("dataset_csv", sql(SCADA, "SELECT time_stamp, farm_id, asset_id, wind_speed, row_id, 'row ' || CAST(row_id % 7 AS VARCHAR) AS note FROM scada"))
+def dataset_csv(spark, sf_dir):
+    """A CSV table with columns outside the processed schema, written and loaded by suffix."""
+    path = f"{scratch_folder(spark, 'dataset')}/table.csv"
+    table = fleet.telemetry(spark, sf_dir).selectExpr("time_stamp", "farm_id", "asset_id", "wind_speed", "row_id", "concat('row ', row_id % 7) AS note")
+    writers.save_table(table, path)
+    return readers.load_dataset(spark, path)
+
+
+@query("run_sink", sql(LAB, "SELECT 'pre_24h' AS experiment, 'r1' AS run_id, state_name, count(*) AS n_rows FROM lab GROUP BY state_name"))
+def run_sink(spark, sf_dir):
+    """A result table of a run, saved with its experiment and run and read back."""
+    counts = fleet.labelled(spark, sf_dir).groupBy("state_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    saved = writers.save_run({"states": counts}, scratch_folder(spark, "runs"), "pre_24h", "r1")
+    return writers.load_table(spark, saved["states"], "state_name string, n_rows bigint, experiment string, run_id string")
+
+
 @query("sample_rows", sql(SCADA, "SELECT row_id, time_stamp, farm_id, asset_id, active_power, gen_speed FROM scada ORDER BY time_stamp, row_id LIMIT 5000"))
 def sample_rows(spark, sf_dir):
     table = fleet.telemetry(spark, sf_dir).select("row_id", "time_stamp", "farm_id", "asset_id", "active_power", "gen_speed")
@@ -398,6 +421,15 @@ def lag_deltas(spark, sf_dir):
     return _temporal(spark, sf_dir, DELTA)
 
 
+@query("file_histories", sql(HARM + """,
+filed AS (SELECT *, 'f' || CAST(row_id % 2 AS VARCHAR) AS source_file FROM harm)""", """
+SELECT row_id, """ + ", ".join(f"{SQL_WINDOW[c].replace('farm_id, event_id', 'farm_id, event_id, source_file')} AS {c}" for c in DELTA) + " FROM filed"))
+def file_histories(spark, sf_dir):
+    """Two files of one event: every window stays inside its file."""
+    filed = fleet.harmonized(spark, sf_dir).withColumn("source_file", F.concat(F.lit("f"), (F.col("row_id") % 2).cast("string")))
+    return features.temporal_features(filed, wanted=set(DELTA)).select("row_id", *DELTA)
+
+
 @query("rolling_volatility", _temporal_sql(VOLATILITY, 6))
 def rolling_volatility(spark, sf_dir):
     return _rounded(_temporal(spark, sf_dir, VOLATILITY), VOLATILITY)
@@ -716,6 +748,11 @@ def group_kfold(spark, sf_dir):
     return splits.group_kfold(table).select("row_id", "fold")
 
 
+@query("refit_rows", sql(SCADA + _EVENT_SPLIT, "SELECT row_id FROM scada JOIN assigned USING (farm_id, event_id) WHERE split IN ('train', 'val')"))
+def refit_rows(spark, sf_dir):
+    return splits.parts(splits.event_time_split(fleet.telemetry(spark, sf_dir)), "train", "val").select("row_id")
+
+
 @query("split_sizes", sql(LAB + _EVENT_SPLIT.replace("FROM scada", "FROM lab"), """
 SELECT split, count(*) AS rows, avg(target) AS positive_rate FROM lab JOIN assigned USING (farm_id, event_id) GROUP BY split"""))
 def split_sizes(spark, sf_dir):
@@ -944,6 +981,23 @@ def leaderboard(spark, sf_dir):
     return experiments.run_experiment(fleet.processed(spark, sf_dir), "pre_24h", output=output)[0]
 
 
+@query("target_checks", sql(LAB, """SELECT count(*) FILTER (target = 0) AS neg, count(*) FILTER (target = 1) AS pos,
+  count(*) FILTER (target IS NULL) AS nulls, count(*) AS n FROM lab"""))
+def target_checks(spark, sf_dir):
+    """What the trainer counts before it accepts a target."""
+    return training.target_counts(fleet.labelled(spark, sf_dir), "target")
+
+
+@query("aligned_matrices", sql(PROC + _EVENT_SPLIT.replace("FROM scada", "FROM kept"), """
+SELECT split, label, count(*) AS n_rows, CAST($n AS INTEGER) AS n_features FROM kept JOIN assigned USING (farm_id, event_id) GROUP BY split, label""".replace("$n", str(len(_STANDARD) + len(_COMPUTED)))).replace(
+    ",\nbounds", ",\nkept AS (SELECT *, CASE WHEN state_label IN (2, 3, 4) THEN 1 ELSE 0 END AS label FROM lab WHERE state_label <> 5),\nbounds", 1))
+def aligned_matrices(spark, sf_dir):
+    """Vectors and labels of the parts, as training reads them."""
+    table, _ = experiments.prepare(fleet.processed(spark, sf_dir, 6.0), config.experiment("pre_48h"))
+    sized = table.withColumn("n_features", F.size(vector_to_array("features")))
+    return sized.groupBy("split", "label", "n_features").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 # Models of one binary input have answers in closed form: with balanced weights the chance of class 1 is a ratio of
 # shares, and one boosting step gives the sigmoid of twice the weighted mean of -1 and 1 in each leaf.
 _ONE_BIT = SCORED + """,

@@ -105,3 +105,23 @@ def test_temporal_features_do_not_depend_on_chunking(spark, seed):
     a = whole.select(columns).toPandas().sort_values("row_id").reset_index(drop=True)
     b = cut.select(columns).toPandas().sort_values("row_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b, rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("values, dtype", [
+    ([2**60 + i for i in range(900)] + [-(2**60) - i for i in range(90)] + [None] * 9, "long"),
+    ([None if i % 5 == 0 else i % 70 for i in range(900)], "int"),
+    ([f"name-{i % 7}-{i}" for i in range(900)] + ["", None, "é", "a", "a" * 40 + "b", "a" * 40 + "a"], "string"),
+    ([1e308 + i * 1e304 for i in range(300)] + [float("inf"), float("-inf"), float("nan"), None, 0.0, -1e308] * 40, "double"),
+])
+def test_order_columns_of_any_type(spark, values, dtype):
+    rows = [("k", v, i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, f"key string, v {dtype}, row_id long").repartition(4, "row_id")
+    ranked = with_rank(df, ["key"], ["v", "row_id"], rows_per_chunk=50).collect()
+    whole = df.withColumn("rank", F.expr("row_number() OVER (ORDER BY v ASC NULLS LAST, row_id)")).collect()
+    assert {r["row_id"]: r["rank"] for r in ranked} == {r["row_id"]: r["rank"] for r in whole}
+
+
+def test_ties_of_an_instant_are_cut_by_a_text(spark):
+    df = spark.range(3000).selectExpr("'k' AS key", "timestamp_ntz'2024-05-05' AS time_stamp", "concat('row ', lpad(id, 6, '0')) AS name")
+    layout = OrderedChunks.plan(df, ["key"], ["time_stamp", "name"], rows_per_chunk=100)
+    assert layout.assign(df).groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 200

@@ -10,14 +10,14 @@ into chunks of bounded size, whichever way the rows are distributed:
    order column when all its rows tie (so one hot hour, or one hot instant, is split too);
 4. consecutive cells are packed into chunks.
 
-Grids and chunk numbers depend on counts, and the number of cells is bounded by
-``MAX_CHUNKS``, so they fit a broadcast table. Rows find their chunk by arithmetic plus
+Grids and chunk numbers depend on counts. Chunks are at most ``MAX_CHUNKS`` (of more than
+``rows_per_chunk`` rows above 25 billion rows), a level of cells some hundred thousand, so
+they fit the driver and a broadcast table. Rows find their chunk by arithmetic plus
 broadcast hash joins; wide rows move only once, to the task that owns their chunk.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -32,25 +32,54 @@ _CELLS_PER_CHUNK = 8
 _MIN_CELLS, _MAX_CELLS = 16, 4096
 _NULL_TIME = 2.6e17  # microseconds after every real timestamp: missing times sort last
 _CLIP = 4e307
+_STRING_PIECES = 4
 _NO_PATH = "cast(array() AS array<int>)"
 
 CHUNK, BEFORE, EXTRA, PATH = "_chunk", "_before", "_extra", "_path"
 
 
-def _position(df: DataFrame, name: str) -> str:
-    """SQL of a monotone DOUBLE image of an order column (rounded ties stay in one cell)."""
-    dtype = df.schema[name].dataType
+def _column_axes(name: str, dtype: T.DataType) -> tuple[list[str], bool]:
+    """SQL of DOUBLE images that together sort like an order column, NULLs last; and whether equal images mean equal values.
+
+    Every image is exact: longs are two halves, doubles have a class (infinite, very large, NaN, NULL) before their
+    value, strings are pieces of six bytes. Strings beyond their first pieces and long decimals are not told apart.
+    """
+    x = f"`{name}`"
     if isinstance(dtype, T.TimestampNTZType):  # plain difference, no time-zone conversion
-        return f"coalesce(double(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', `{name}`)), {_NULL_TIME}D)"
+        return [f"coalesce(double(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', {x})), {_NULL_TIME}D)"], True
     if isinstance(dtype, T.TimestampType):
-        return f"coalesce(double(unix_micros(`{name}`)), {_NULL_TIME}D)"
+        return [f"coalesce(double(unix_micros({x})), {_NULL_TIME}D)"], True
+    if isinstance(dtype, T.DateType):
+        return [f"coalesce(double(unix_date({x})), 1e10D)"], True
+    if isinstance(dtype, T.LongType):
+        return [f"coalesce(double(shiftright({x}, 32)), 1e10D)", f"coalesce(double({x} & 4294967295L), 0D)"], True
+    if isinstance(dtype, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
+        return [f"coalesce(double(int({x})), 1e10D)"], True
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return f"greatest(least(double(`{name}`), {_CLIP}D), -{_CLIP}D)"
-    return f"double(`{name}`)"
-
-
-def _is_axis(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.NumericType, T.TimestampType, T.TimestampNTZType))
+        d = f"double({x})"
+        kind = (
+            f"CASE WHEN {x} IS NULL THEN 4D WHEN isnan({d}) THEN 3D WHEN {d} = double('infinity') THEN 2D WHEN {d} > {_CLIP}D THEN 1D"
+            f" WHEN {d} = double('-infinity') THEN -2D WHEN {d} < -{_CLIP}D THEN -1D ELSE 0D END"
+        )
+        value = f"CASE WHEN abs({d}) <= {_CLIP}D THEN {d} WHEN abs({d}) < double('infinity') THEN {d} / 8 ELSE 0D END"
+        return [kind, value], True
+    if isinstance(dtype, T.DecimalType):
+        return [f"coalesce(double({x}), 1e39D)"], dtype.precision <= 15
+    if isinstance(dtype, T.StringType):
+        pieces = [f"double(conv(rpad(hex(substring(binary({x}), {1 + 6 * i}, 6)), 12, '0'), 16, 10))" for i in range(_STRING_PIECES)]
+        return [f"coalesce({p}, 3e14D)" for p in pieces], False
+    raise ValueError(f"cannot order chunks by {name}: {dtype.simpleString()}")
+
+
+def _axes(df: DataFrame, order: list[str]) -> list[str]:
+    """Images of the leading order columns, up to the first whose equal images may hide different values."""
+    axes: list[str] = []
+    for name in order:
+        images, exact = _column_axes(name, df.schema[name].dataType)
+        axes += images
+        if not exact:
+            break
+    return axes
 
 
 def _ordering(order: list[str]) -> list[Column]:
@@ -82,7 +111,7 @@ class OrderedChunks:
     limit: int
     halo: int = 0
     sums: list[str] = field(default_factory=list)
-    axes: list[str] = field(default_factory=list)  # leading order columns a grid can use
+    axes: list[str] = field(default_factory=list)  # DOUBLE images of the order columns, as SQL
     grids: list[list[tuple]] = field(default_factory=list)
     leaves: dict[tuple, list[_Cell]] = field(default_factory=dict)
 
@@ -102,11 +131,10 @@ class OrderedChunks:
     ) -> "OrderedChunks":
         sums = list(sums or [])
         slim = df.select(*dict.fromkeys([*keys, *order, *sums]))
-        axes = list(itertools.takewhile(lambda name: _is_axis(df.schema[name].dataType), order))
-        layout = cls(list(keys), list(order), 0, 1, halo, sums, axes)
+        layout = cls(list(keys), list(order), 0, 1, halo, sums, _axes(df, order))
         # One history: its size and extent come from the same pass. Several: count first,
         # a table below the limit holds no long history.
-        whole = None if keys else layout._cell(slim.agg(*layout._measures(slim)).first(), ())
+        whole = None if keys else layout._cell(slim.agg(*layout._measures()).first(), ())
         layout.total = total = slim.count() if whole is None else whole.rows
         layout.limit = max(
             math.ceil(total / MAX_CHUNKS), min(rows_per_chunk, math.ceil(total / min_chunks)), halo, 1
@@ -115,10 +143,9 @@ class OrderedChunks:
             layout._subdivide(slim, [whole] if whole else layout._long_histories(slim))
         return layout
 
-    def _measures(self, df: DataFrame) -> list[Column]:
+    def _measures(self) -> list[Column]:
         measures = ["count(1) AS _rows"]
-        for i, name in enumerate(self.axes):
-            position = _position(df, name)
+        for i, position in enumerate(self.axes):
             measures += [f"min({position}) AS _lo{i}", f"max({position}) AS _hi{i}"]
         measures += [f"sum(`{name}`) AS _sum{i}" for i, name in enumerate(self.sums)]
         return [F.expr(m) for m in measures]
@@ -134,7 +161,7 @@ class OrderedChunks:
 
     def _long_histories(self, slim: DataFrame) -> list[_Cell]:
         # At most total / limit <= MAX_CHUNKS histories can exceed the limit.
-        histories = slim.groupBy(*self.keys).agg(*self._measures(slim)).filter(F.col("_rows") > self.limit)
+        histories = slim.groupBy(*self.keys).agg(*self._measures()).filter(F.col("_rows") > self.limit)
         return [self._cell(row, ()) for row in histories.collect()]
 
     def _subdivide(self, slim: DataFrame, crowded: list[_Cell]) -> None:
@@ -149,7 +176,7 @@ class OrderedChunks:
                 break
             self.grids.append([self._grid(cell) for cell in split])
             located = self._refine(located, len(self.grids) - 1, inner=True)
-            counted = located.groupBy(*self.keys, PATH).agg(*self._measures(located))
+            counted = located.groupBy(*self.keys, PATH).agg(*self._measures())
             crowded = []
             for row in counted.collect():
                 cell = self._cell(row, tuple(row[PATH]))
@@ -179,10 +206,10 @@ class OrderedChunks:
         columns = [f"`{c}`" for c in df.columns if c != PATH]
         if level == 0 and not self.keys:  # one grid for the whole table: plain arithmetic
             _, axis, low, step = self.grids[0][0]
-            cell = f"int(floor(({_position(df, self.axes[axis])} - {low!r}D) / {step!r}D))"
+            cell = f"int(floor(({self.axes[axis]} - {low!r}D) / {step!r}D))"
             return df.selectExpr(*columns, f"array({cell}) AS {PATH}")
         grid = self._lookup(df, self.grids[level], "_axis int, _low double, _step double")
-        choices = " ".join(f"WHEN {i} THEN {_position(df, name)}" for i, name in enumerate(self.axes))
+        choices = " ".join(f"WHEN {i} THEN {position}" for i, position in enumerate(self.axes))
         cell = f"int(floor((CASE _axis {choices} END - _low) / _step))"
         deeper = f"CASE WHEN _r_path IS NULL THEN {PATH} ELSE concat({PATH}, array({cell})) END AS {PATH}"
         return df.join(grid, self._matches(), "inner" if inner else "left").selectExpr(*columns, deeper)

@@ -21,14 +21,19 @@ MODEL_TYPES = config.EXPERIMENT_MODELS
 COMPACT = ("precision", "recall", "f1", "roc_auc", "pr_auc", "balanced_accuracy", "specificity", "threshold")
 
 
-def _label_counts(df: DataFrame, label: str) -> tuple[int, int]:
-    """Negatives and positives; NULL or non-binary labels are an error."""
+def target_counts(df: DataFrame, label: str) -> DataFrame:
+    """One row: negatives, positives, NULL targets and all rows."""
     require_columns(df, label)
     y = F.col(label)
-    row = df.agg(
+    return df.agg(
         F.count_if(y == 0).alias("neg"), F.count_if(y == 1).alias("pos"),
         F.count_if(y.isNull()).alias("nulls"), F.count(F.lit(1)).alias("n"),
-    ).first()
+    )
+
+
+def _label_counts(df: DataFrame, label: str) -> tuple[int, int]:
+    """Negatives and positives; NULL or non-binary labels are an error."""
+    row = target_counts(df, label).first()
     if row["nulls"]:
         raise ValueError(f"{row['nulls']} NULL targets; drop them before fitting")
     if row["neg"] + row["pos"] != row["n"]:

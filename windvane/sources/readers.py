@@ -245,6 +245,11 @@ def file_inventory(df: DataFrame) -> DataFrame:
     return files.distinct().select("file_name", F.round(F.col("s") / F.lit(1024.0 * 1024.0), 3).alias("size_mb"))
 
 
+def rows_per_file(df: DataFrame) -> DataFrame:
+    """Rows read from every file behind a file-based table."""
+    return df.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def sample_rows(df: DataFrame, n: int = 5000, order: tuple[str, ...] = ()) -> DataFrame:
     """First ``n`` rows, in ``order`` when given (a top-n, not a full sort)."""
     return df.orderBy(*order).limit(n) if order else df.limit(n)
