@@ -28,11 +28,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.dedup_lines(docs).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def _without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns, as a struct, so that none can clash) and what names its content: doc_id, mark, size."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *content_key())
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def _without(rows: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
     """Rows whose id and text are not (``left_semi``: are) among the keys (doc_id, mark, size)."""
-    keyed = docs.withColumns(dict(zip(("_mark", "_size"), content_key())))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("mark")) & (F.col("_size") == F.col("size"))
-    return keyed.join(keys.select(F.col("doc_id").alias("_id"), "mark", "size"), same, how).drop("_mark", "_size")
+    named = keys.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("size").alias("_size"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")) & (F.col("size") == F.col("_size"))
+    return rows.join(named, same, how)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,16 +50,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = saved(minhash_dedup.near_groups(docs), "near")
     key = ["doc_id", "mark", "size"]
     repeated = saved(groups.filter("kept").groupBy(*key).count().filter("count > 1").select(*key), "repeated")
-    single = _without(docs, groups.filter("NOT kept").select(*key).distinct().unionByName(repeated))
-    likely = maybe_in(docs.withColumn("_mark", content_key()[0]), "_mark", repeated, "mark").drop("_mark")
-    again = _without(likely, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(again)
+    rows = _rows(docs)
+    single = _without(rows, groups.filter("NOT kept").select(*key).distinct().unionByName(repeated))
+    again = _without(maybe_in(rows, "mark", repeated, "mark"), repeated, "left_semi").dropDuplicates(key)
+    return _unpacked(single.unionByName(again), docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
     leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, leaks.select("doc_id", "mark", "size").distinct())
+    return _unpacked(_without(_rows(docs), leaks.select("doc_id", "mark", "size").distinct()), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
