@@ -205,3 +205,39 @@ def test_near_groups_equal_brute_force(spark):
     rows = minhash_dedup.near_groups(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == expected
     assert {r["doc_id"]: r["n_shingles"] for r in rows} == {i: len(shingles(t)) for i, t in docs.items()}
+
+
+def test_near_pair_whose_keys_have_other_leaders(spark):
+    """Two near copies; each key they share is led by a third text that holds just the two passages behind it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from windvane.llm.minhash_dedup import _ADD, _KEPT, _MULTIPLY, _SIZE, CHUNKS, POSITIONS
+    from windvane.llm.shingles import shingle_sets
+
+    def minima(text):
+        own = text.split(" ")
+        passages = [" ".join(own[k : k + 5]) for k in range(len(own) - 4)]
+        values = np.concatenate(list(shingle_sets(pa.array(passages))))
+        return [passages[int(np.argmin(values * _MULTIPLY[i] + _ADD[i]))] for i in range(POSITIONS)]
+
+    a = [f"v{i}" for i in range(240)]
+    b = [*a]
+    for k in (40, 120, 200):
+        b[k] = "other"
+    a, b = " ".join(a), " ".join(b)
+    of_a, of_b = minima(a), minima(b)
+    same = {i for i in range(POSITIONS) if of_a[i] == of_b[i]}
+    keys = [[chunk * _SIZE + i for i in kept] for chunk in range(CHUNKS) for kept in _KEPT]
+    leaders = []
+    for i, j in (key for key in keys if set(key) <= same):
+        tried = (f"{of_a[i]} x{n} {of_a[j]}" for n in range(100))
+        leaders.append(next(t for t in tried if all(x == y for x, y in zip(*([minima(s)[k] for k in (i, j)] for s in (t, a))))))
+    rows = len(leaders) + 2
+    last = [r["id"] for r in spark.range(rows).orderBy(F.xxhash64("id").desc()).limit(2).collect()]
+    texts = iter(leaders)
+    docs = [(i, {last[0]: a, last[1]: b}.get(i) or next(texts)) for i in range(rows)]
+    expected = components(dict(docs))
+    assert expected[last[0]] == expected[last[1]] == min(last)
+    found = minhash_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected

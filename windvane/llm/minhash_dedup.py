@@ -276,7 +276,8 @@ def near_groups(documents: DataFrame, id_column: str = "doc_id", text_column: st
     joined = texts.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     parts = joined.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
     sizes = [F.count(F.lit(1)).alias("k"), F.max_by("comp", "n").alias("major"), F.sum("n").alias("total"), F.max("n").alias("top"), F.sum("bytes").alias("bytes")]
-    mixed = parts.groupBy("family").agg(*sizes).filter("k > 1 AND total > 2")
+    # Also families of two classes: step 2 may have found their pair, which is not among the stars then.
+    mixed = parts.groupBy("family").agg(*sizes).filter("k > 1")
     by_bytes = F.ceil(F.col("bytes") / BLOCK_BYTES)
     blocks = mixed.select(
         "family", "major", F.greatest(F.ceil(F.col("total") / BLOCK), by_bytes).alias("ni"), F.greatest(F.ceil((F.col("total") - F.col("top")) / BLOCK), by_bytes).alias("nj")
