@@ -43,3 +43,14 @@ def test_classifiers(spark):
         low = [r["score"] for r in held if r["doc_id"] % 4]
         assert min(high) > max(low)
         assert function(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_toxicity_keeps_rare_ngrams(spark):
+    """Every word and bigram of the sample has an entry, also those seen once."""
+    docs = spark.createDataFrame([("vile brute once", 1), ("calm kind words", 0)], "text string, label int")
+    entries, _ = toxicity._model(docs)
+    # Per stream six words, the start mark (shared by both), and six bigrams.
+    assert {r["kind"]: r["count"] for r in entries.groupBy("kind").count().collect()} == {0: 13, 1: 12}
+    held = spark.createDataFrame([(1, "brute once"), (2, "kind words"), (3, "")], "doc_id long, text string")
+    ratio = {r["doc_id"]: r["x0"] for r in toxicity._featured(held, "doc_id long", toxicity._model(docs)).collect()}
+    assert ratio[1] > 0 > ratio[2] and ratio[3] == 0

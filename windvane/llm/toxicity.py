@@ -6,6 +6,9 @@ expression that is rare in either class is smoothed to nearly the same value in
 is a calibrated function of the difference of its log likelihoods per word: of the whole text and of its most toxic
 stretch of ``STRETCH`` words and of one word, since a few words make a long text toxic. Words are seen twice, as they
 are and as their first ``STEM`` bytes, so that compounds and inflections of one stem share their evidence.
+
+All n-grams of the sample count, also those seen once. The models are Spark tables; every block of texts looks up the
+entries of its own distinct n-grams, so neither the driver nor a task holds a whole model.
 """
 
 from __future__ import annotations
@@ -16,18 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windvane.llm.common import text_column, text_rows
+from windvane.llm.common import BITMAP_BITS, bitmap, saved, text_column, text_rows
 from windvane.llm.labels import judged, labelled_sample
+from windvane.llm.lm_score import _blocked
 from windvane.llm.words import U64, mix, words_of
 
-MAX_ROWS = 6_000  # labelled documents per class, at most
+MAX_ROWS = 10_000  # labelled documents per class, at most
 DISCOUNT = 0.75
 SHARED = 10.0  # shared backoff counts of every word, split by the classes' sizes
 STRENGTH = 50.0  # of the backoff from bigrams to words
 STRETCH = 8
 STEM = 5
-LEAST = 5  # n-grams seen less often are left to the backoff
-MAX_ENTRIES = 1_000_000  # per table; 24 bytes an entry
 THRESHOLD = 0.7
 _START = U64(0x5BD1E995)
 
@@ -66,42 +68,80 @@ def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def _model(texts: DataFrame) -> tuple[DataFrame, list[float]]:
+    """From ``text`` and ``label``: all entries of both classes' models, and the two probabilities of a word that has none.
+
+    Entries have kind and key: words (0) with two probabilities x and two backoff weights y, bigrams (1) with two
+    discounted shares x. Counting, continuation counts and sums are Spark aggregates.
+    """
+    n = [F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
+    pairs = saved(texts.select("text", "label").mapInArrow(_count, "u long, w long, label int, n long").groupBy("u", "w").agg(*n), "pairs")
+    seen = [F.sum((F.col(f"n{c}") > 0).cast("long")) for c in (0, 1)]
+    ends = pairs.groupBy(F.col("w").alias("word")).agg(seen[0].alias("c0"), seen[1].alias("c1"), F.count(F.lit(1)).alias("c"))
+    starts = pairs.groupBy(F.col("u").alias("word")).agg(seen[0].alias("k0"), seen[1].alias("k1"), F.sum("n0").alias("m0"), F.sum("n1").alias("m1"))
+    kinds = ends.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("c0", "c1", "c")], F.count(F.lit(1)), *[F.coalesce(F.sum((F.col(x) > 0).cast("long")), F.lit(0)) for x in ("c0", "c1")]).first()
+    total, vocabulary, of_class = kinds[2] or 1, kinds[3] or 1, (kinds[4] or 1, kinds[5] or 1)
+    x, y, share, rare = [], [], [], []
+    for c in (0, 1):
+        part = (kinds[c] or 1) / total
+        mass = kinds[c] + SHARED * vocabulary * part
+        own = F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0)) + F.col("c") * (DISCOUNT * of_class[c] / total) + SHARED * part
+        x.append((own / mass).cast("float").alias(f"x{c}"))
+        # A word that is in no table has the shared counts only.
+        rare.append(SHARED * part / mass)
+        m = F.col(f"m{c}") + STRENGTH
+        y.append(((F.col(f"k{c}") * DISCOUNT + STRENGTH) / m).cast("float").alias(f"y{c}"))
+        share.append((F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / m).cast("float").alias(f"x{c}"))
+    words = ends.join(starts, "word", "outer").fillna(0).select(F.lit(0).alias("kind"), F.col("word").alias("key"), *x, *y)
+    wide = pairs.join(starts.select(F.col("word").alias("u"), "m0", "m1"), "u").mapInArrow(_joined, "key long, n0 long, n1 long, m0 long, m1 long")
+    wide = wide.select(F.lit(1).alias("kind"), "key", *share, *[F.lit(0.0).cast("float").alias(f"y{c}") for c in (0, 1)])
+    return saved(words.unionByName(wide), "entries"), rare
+
+
+def _joined(batches):
+    """Bigrams with the joint hash of their words."""
+    names = ["n0", "n1", "m0", "m1"]
+    for batch in batches:
+        u, w = (batch.column(batch.schema.get_field_index(c)).to_numpy().view(np.uint64) for c in ("u", "w"))
+        key = mix(u * U64(0x9E3779B97F4A7C15) + w)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[batch.column(batch.schema.get_field_index(c)) for c in names]], names=["key", *names])
+
+
+def _wanted(bits):
+    """Distinct n-grams of every block (of a batch) that may have an entry: block, kind, key."""
+
+    def find(batches):
+        for batch in batches:
+            column, blocks = text_column(batch), batch.column(batch.schema.get_field_index("block")).to_numpy()
+            for block in np.unique(blocks):
+                rows = np.flatnonzero(blocks == block)
+                found = ([np.array([_START])], [])
+                for _, _, counts, *streams in _streams(column.slice(rows[0], len(rows))):
+                    for hashes in streams if len(streams[0]) else ():
+                        found[0].append(np.unique(hashes))
+                        found[1].append(np.unique(_bigrams(hashes, counts)[1]))
+                for kind in (0, 1) if found[1] else ():
+                    keys = np.unique(np.concatenate(found[kind]))
+                    bit = keys & U64(BITMAP_BITS - 1)
+                    keys = keys[(bits.value[bit >> U64(6)] >> (bit & U64(63)) & U64(1)).astype(bool)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64))], names=["block", "kind", "key"])
+
+    return find
+
+
 class KneserNey:
-    """Two classes' models as sorted tables: words (two log probabilities, two backoff weights), bigrams (two discounted shares)."""
+    """Two classes' models as sorted tables: words (two probabilities, two backoff weights), bigrams (two discounted shares)."""
 
     def __init__(self, words, unigram, backoff, rare, pairs, share):
         self.words, self.unigram, self.backoff, self.rare, self.pairs, self.share = words, unigram, backoff, rare, pairs, share
 
     @classmethod
-    def fit(cls, texts: DataFrame) -> KneserNey:
-        """From ``text`` and ``label``. Counting, continuation counts and sums are Spark aggregates."""
-        n = [F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
-        pairs = texts.select("text", "label").mapInArrow(_count, "u long, w long, label int, n long").groupBy("u", "w").agg(*n).persist()
-        seen = [F.sum((F.col(f"n{c}") > 0).cast("long")) for c in (0, 1)]
-        ends = pairs.groupBy(F.col("w").alias("word")).agg(seen[0].alias("c0"), seen[1].alias("c1"), F.count(F.lit(1)).alias("c"), F.sum(F.col("n0") + F.col("n1")).alias("n"))
-        starts = pairs.groupBy(F.col("u").alias("word")).agg(seen[0].alias("k0"), seen[1].alias("k1"), F.sum("n0").alias("m0"), F.sum("n1").alias("m1"))
-        kinds = ends.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("c0", "c1", "c")], F.count(F.lit(1)), *[F.coalesce(F.sum((F.col(x) > 0).cast("long")), F.lit(0)) for x in ("c0", "c1")]).first()
-        total, vocabulary, of_class = kinds[2] or 1, kinds[3] or 1, (kinds[4] or 1, kinds[5] or 1)
-        words = ends.join(starts, "word", "outer").fillna(0).filter(F.col("n") + F.col("m0") + F.col("m1") >= 2 * LEAST).orderBy(F.desc("n"), "word").limit(MAX_ENTRIES).toArrow().to_pandas()
-        wide = pairs.join(starts.select(F.col("word").alias("u"), "m0", "m1"), "u").filter(F.col("n0") + F.col("n1") >= LEAST)
-        wide = wide.orderBy(F.desc(F.col("n0") + F.col("n1")), "u", "w").limit(MAX_ENTRIES).toArrow().to_pandas()
-        pairs.unpersist()
-        shared = words["c"].to_numpy(float) / total
-        unigram, backoff, rare, share = [], [], [], []
-        for c in (0, 1):
-            part = (kinds[c] or 1) / total
-            mass = kinds[c] + SHARED * vocabulary * part
-            unigram.append((np.maximum(words[f"c{c}"].to_numpy(float) - DISCOUNT, 0) + DISCOUNT * of_class[c] * shared + SHARED * part) / mass)
-            # A word that is in no table has the shared counts only.
-            rare.append(SHARED * part / mass)
-            m = words[f"m{c}"].to_numpy(float) + STRENGTH
-            backoff.append((DISCOUNT * words[f"k{c}"].to_numpy(float) + STRENGTH) / m)
-            share.append(np.maximum(wide[f"n{c}"].to_numpy(float) - DISCOUNT, 0) / (wide[f"m{c}"].to_numpy(float) + STRENGTH))
-        keys = words["word"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        joint = mix(wide["u"].to_numpy(np.int64).view(np.uint64) * U64(0x9E3779B97F4A7C15) + wide["w"].to_numpy(np.int64).view(np.uint64))
-        by = np.argsort(joint)
-        return cls(keys[order], np.array(unigram, np.float32)[:, order], np.array(backoff, np.float32)[:, order], np.array(rare, np.float32), joint[by], np.array(share, np.float32)[:, by])
+    def of(cls, entries: pa.Table, rare: list[float]) -> KneserNey:
+        """From the entries of some n-grams; all others count as not there."""
+        kind, key = entries.column("kind").to_numpy(), entries.column("key").to_numpy().view(np.uint64)
+        x, y = (np.array([entries.column(f"{n}{c}").to_numpy() for c in (0, 1)], np.float32) for n in "xy")
+        word, pair = (at[np.argsort(key[at])] for at in (np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)))
+        return cls(key[word], x[:, word], y[:, word], np.array(rare, np.float32), key[pair], x[:, pair])
 
     def _ratio(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Log likelihood ratio of every word."""
@@ -153,13 +193,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
-def _featured(model):
-    def score(batches):
-        for batch in batches:
-            x = model.value.features(text_column(batch))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"], *[pa.array(x[:, k]) for k in range(FEATURES)]], names=[*[n for n in batch.schema.names if n != "text"], *_COLUMNS])
+def _featured(texts: DataFrame, keep: str, model: tuple[DataFrame, list[float]]) -> DataFrame:
+    """Features of all texts (a stored table: it is scanned twice), and the column to keep with its type."""
+    entries, rare = model
+    name = keep.split()[0]
+    docs = texts.select(name, "text").mapInArrow(_blocked, f"{keep}, text string, block long")
+    bits = texts.sparkSession.sparkContext.broadcast(bitmap(entries, "key", hashed=True))
+    found = docs.mapInArrow(_wanted(bits), "block long, kind int, key long").join(entries, ["kind", "key"])
+
+    def score(key, docs, own):
+        x = KneserNey.of(own, rare).features(text_column(docs))
+        return pa.table({name: docs.column(name), **{c: x[:, k] for k, c in enumerate(_COLUMNS)}})
 
-    return score
+    return docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, f"{keep}, {_TYPES}")
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
@@ -171,13 +217,13 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic
     * NULL and empty texts have no evidence and get the calibration's value for it; so do all texts if one of the
       classes has no labelled text (then 0).
     * Repeated rows are scored each on their own. An empty table gives an empty result. Other columns are not read.
+    * Texts are scanned twice and have to be the same both times (a stored table).
     """
-    spark = documents.sparkSession
     sample, totals = labelled_sample(documents, labels, label, max_rows)
     halves = []
     for part in (0, 1):
-        other = spark.sparkContext.broadcast(KneserNey.fit(sample.filter(F.col("part") != part)))
-        halves.append(sample.filter(F.col("part") == part).select("text", "label").mapInArrow(_featured(other), f"label int, {_TYPES}").toPandas())
+        other = _model(sample.filter(F.col("part") != part))
+        halves.append(_featured(sample.filter(F.col("part") == part), "label int", other).toPandas())
     fitted = pd.concat(halves)
     y = fitted["label"].to_numpy(float)
     beta = np.array([0.0] * FEATURES + [-30.0])
@@ -185,8 +231,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic
         share = {c: totals[c] / max(1, (y == c).sum()) for c in (0, 1)}
         weight = np.where(y == 1, share[1], share[0])
         beta = _logistic(fitted[_COLUMNS].to_numpy(), y, weight * len(y) / weight.sum())
-    model = spark.sparkContext.broadcast(KneserNey.fit(sample))
-    scored = text_rows(documents).mapInArrow(_featured(model), f"doc_id long, {_TYPES}")
+    scored = _featured(text_rows(documents), "doc_id long", _model(sample))
     line = F.lit(float(beta[-1])) + sum(F.lit(float(b)) * F.col(c) for b, c in zip(beta, _COLUMNS))
     scored = scored.withColumn("score", 1 / (1 + F.exp(-line)))
     return judged(scored, THRESHOLD)
