@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windvane.llm import decontaminate, exact_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, quality, toxicity, warc
+from windvane.llm import conversation_repair, decontaminate, exact_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, quality, toxicity, warc
+from windvane.llm.crc_sql import CRC_TABLE, crc32, utf8
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,3 +109,44 @@ def op9_toxicity(spark, sf_dir):
 @query("op5_lm_score")
 def op5_lm_score(spark, sf_dir):
     return lm_score.perplexity_scores(table(spark, sf_dir, "documents"))
+
+
+_BARE = r"regexp_replace(text, '[\x20\x09-\x0D]+$', '')"
+
+
+@query("op13_conversation_repair", f"""
+WITH RECURSIVE {CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {crc32(utf8("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))"))} % 20 AS kind FROM conversations, crc_table),
+g AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM g),
+f AS (SELECT *, substr(role, 1, 1) AS initial, {_BARE} = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+        NOT regexp_matches({_BARE}, '[.!?]$') AS cut FROM o),
+t AS (SELECT *, CASE WHEN blank THEN 'b' WHEN again THEN 'd' WHEN cut THEN 't' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM f),
+m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM t GROUP BY conv_id),
+steps AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS v(p, c, q)),
+gap AS (SELECT * FROM (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'), (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')) AS v(p, q, c, a)),
+edits AS (
+  SELECT t.conv_id, t.pos, s.p, s.q, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS c, 'K' AS a FROM t JOIN steps s ON s.c = t.initial WHERE fault IN ('', 't')
+  UNION ALL SELECT t.conv_id, t.pos, s.p, s.q, 3 + CASE WHEN fault = 't' THEN 3 ELSE 0 END, 'R' FROM t JOIN steps s ON s.c IN ('u', 'a') WHERE fault IN ('', 't')
+  UNION ALL SELECT t.conv_id, t.pos, v.p, v.p, 4, 'D' FROM t, (VALUES (0), (1), (2), (3)) AS v(p)),
+moves AS (
+  SELECT conv_id, pos, e.p, gap.q, min({{'c': e.c + gap.c, 'a': e.a || gap.a}}) AS x FROM edits e JOIN gap ON gap.p = e.q GROUP BY ALL),
+paths AS (
+  SELECT m.conv_id, 0::BIGINT AS pos, gap.q, {{'c': gap.c, 'a': gap.a}} AS x FROM m, gap WHERE gap.p = 0
+  UNION ALL
+  SELECT r.conv_id, r.pos + 1, v.q, min({{'c': r.x.c + v.x.c, 'a': r.x.a || v.x.a}}) FROM paths r JOIN moves v ON v.conv_id IS NOT DISTINCT FROM r.conv_id AND v.pos = r.pos + 1 AND v.p = r.q GROUP BY ALL),
+best AS (SELECT m.conv_id, min(x) AS x FROM m JOIN paths r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.pos = m.n AND r.q IN (0, 3) GROUP BY ALL),
+letters AS (SELECT conv_id, unnest(string_split(x.a, '')) AS edit, unnest(range(len(x.a))) AS nth, len(replace(x.a, 'D', '')) % 2 AS odd FROM best WHERE x.a <> ''),
+placed AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS pos, count(*) FILTER (edit <> 'D') OVER w - 1 - odd AS place FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY nth)),
+mended AS (SELECT p.conv_id, string_agg(CASE WHEN p.edit = 'K' THEN t.role WHEN p.place % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN p.edit = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY p.nth) AS whole
+  FROM placed p LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.pos = p.pos WHERE p.edit <> 'D' GROUP BY p.conv_id)
+SELECT c.conv_id, coalesce(m.gaps, 0) AS gaps, coalesce(m.blank, 0) AS blank, coalesce(m.duplicate, 0) AS duplicate, coalesce(m.truncated, 0) AS truncated, coalesce(m.illegal, 0) AS illegal,
+       coalesce(b.x.c, 0)::BIGINT AS cost, coalesce(b.x.a, '') AS audit, sha256(coalesce(d.whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN mended d ON d.conv_id IS NOT DISTINCT FROM c.conv_id""")
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_digests(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
