@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windvane.llm import conversation_repair, decontaminate, exact_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, quality, toxicity, warc
+from windvane.llm import conversation_repair, decontaminate, exact_dedup, language_id, line_dedup, lm_score, minhash_dedup, mixing, quality, secret_scan, spelling_variants, toxicity, warc
 from windvane.llm.crc_sql import CRC_TABLE, crc32, utf8
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +150,29 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN m ON m.conv_id IS
 LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN mended d ON d.conv_id IS NOT DISTINCT FROM c.conv_id""")
 def op13_conversation_repair(spark, sf_dir):
     return conversation_repair.repair_digests(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op11_spelling_variants", f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY ALL),
+h AS (SELECT run, n, {crc32(utf8("concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run)"))} AS h FROM d, crc_table),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+g AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+e AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM g),
+one AS (SELECT DISTINCT e.word, e.n, v.word AS other, v.n AS other_n FROM e JOIN v ON v.word = e.a || e.b),
+p AS (SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM e x JOIN e y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT * FROM one UNION ALL SELECT other, other_n, word, n FROM one),
+f AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM p),
+forms AS (SELECT v.word, v.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.other_n >= 2 * v.n THEN f.other END AS form, CASE WHEN f.other_n >= 2 * v.n THEN f.other_n END AS form_n
+  FROM v LEFT JOIN f ON f.word = v.word AND f.place = 1),
+c AS (SELECT word, word AS at FROM forms UNION ALL SELECT c.word, forms.form FROM c JOIN forms ON forms.word = c.at WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.form, c.at AS root, forms.n, forms.n_near, forms.form_n FROM c JOIN forms ON forms.word = c.word JOIN forms l ON l.word = c.at AND l.form IS NULL""")
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants.variant_forms(table(spark, sf_dir, "documents"))
+
+
+@query("op12_secret_scan")
+def op12_secret_scan(spark, sf_dir):
+    return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
