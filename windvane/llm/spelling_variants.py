@@ -218,7 +218,7 @@ def variant_forms(documents: DataFrame) -> DataFrame:
     * An empty table gives an empty result. Other columns are not read.
     """
     words = saved(vocabulary(documents), "words")
-    pairs = near_pairs(words)
+    pairs = saved(near_pairs(words), "pairs")
     both = pairs.select("word", "n", "other", "other_n").unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form")))
     near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
