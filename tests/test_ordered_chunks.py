@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windvane.operators import features
-from windvane.operators.ordered_chunks import OrderedChunks, with_halo, with_rank
+from windvane.operators.ordered_chunks import FANOUT, OrderedChunks, rows_at, with_halo, with_rank
 
 
 def lopsided(seed=0, n=3000):
@@ -37,7 +37,7 @@ def test_no_chunk_outgrows_its_bound(spark):
     df = to_spark(spark, lopsided())
     layout = OrderedChunks.plan(df, ["key"], ["time_stamp", "row_id"], rows_per_chunk=100)
     sizes = layout.assign(df).groupBy("key", "_chunk").count().collect()
-    assert max(r["count"] for r in sizes) <= 2 * 100
+    assert max(r["count"] for r in sizes) <= 100
     assert sum(r["count"] for r in sizes) == 3000
 
 
@@ -67,12 +67,26 @@ def test_missing_key_and_missing_time_sort_last(spark):
 
 
 @pytest.mark.parametrize("positions", [[0, 1500, 2999], [5, 6], [3000], []])
-def test_cut_rows_match_the_sorted_table(spark, positions):
+def test_rows_at_match_the_sorted_table(spark, positions):
     pdf = lopsided(3).sort_values(["time_stamp", "row_id"]).reset_index(drop=True)
     df = to_spark(spark, pdf)
-    layout = OrderedChunks.plan(df, [], ["time_stamp", "row_id"], rows_per_chunk=200)
-    found = layout.cut_rows(df, positions)
-    assert {p: v[1] for p, v in found.items()} == {p: pdf["row_id"][p] for p in positions if p < 3000}
+    asked = spark.createDataFrame([(p,) for p in positions], "_position long")
+    found = rows_at(df, [], ["time_stamp", "row_id"], df.agg(F.count("*").alias("_rows")), asked).collect()
+    assert {r["_position"]: r["row_id"] for r in found} == {p: pdf["row_id"][p] for p in positions if p < 3000}
+
+
+def test_rows_at_in_many_histories_at_once(spark):
+    """Every history has its own positions; one holds most rows, some hold one row, one has a NULL key."""
+    pdf = lopsided(9)
+    rows = [(None if k == "a" else k, t.to_pydatetime(), int(i)) for k, t, i in zip(pdf["key"], pdf["time_stamp"], pdf["row_id"])]
+    rows += [(f"small {i}", None if i % 2 else rows[i][1], 10_000 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, time_stamp timestamp_ntz, row_id long").repartition(6, "row_id")
+    sizes = df.groupBy("key").agg(F.count("*").alias("_rows"))
+    asked = sizes.selectExpr("key", "explode(array(0L, _rows div 3, _rows - 1)) AS _position").distinct()
+    got = {(r["key"], r["_position"]): r["row_id"] for r in rows_at(df, ["key"], ["time_stamp", "row_id"], sizes, asked).collect()}
+    whole = df.selectExpr("key", "row_id", "row_number() OVER (PARTITION BY key ORDER BY time_stamp ASC NULLS LAST, row_id) - 1 AS nth").collect()
+    nth = {(r["key"], r["nth"]): r["row_id"] for r in whole}
+    assert got == {(r["key"], r["_position"]): nth[r["key"], r["_position"]] for r in asked.collect()}
 
 
 def test_halo_reaches_back_far_enough(spark):
@@ -124,4 +138,29 @@ def test_order_columns_of_any_type(spark, values, dtype):
 def test_ties_of_an_instant_are_cut_by_a_text(spark):
     df = spark.range(3000).selectExpr("'k' AS key", "timestamp_ntz'2024-05-05' AS time_stamp", "concat('row ', lpad(id, 6, '0')) AS name")
     layout = OrderedChunks.plan(df, ["key"], ["time_stamp", "name"], rows_per_chunk=100)
-    assert layout.assign(df).groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 200
+    assert layout.assign(df).groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_long_names_with_one_prefix_are_cut(spark):
+    """4,000 texts that differ only behind their first 36 bytes."""
+    df = spark.range(4000).selectExpr("'k' AS key", "concat('s3://fleet/raw/2024/Wind Farm A/data', lpad(id * 7 % 4000, 5, '0'), '.csv') AS name")
+    layout = OrderedChunks.plan(df, ["key"], ["name"], rows_per_chunk=100)
+    assert layout.located(df).groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 100
+    ranked = with_rank(df, ["key"], ["name"], rows_per_chunk=100)
+    assert ranked.filter(F.expr("rank - 1 <> int(substring(name, 37, 5))")).count() == 0
+
+
+def test_a_hundred_thousand_chunks(spark):
+    """The splitter tree is three levels deep; no chunk outgrows its bound, and lags equal those of the uncut window."""
+    df = spark.range(0, 300_000, 1, 8).selectExpr(
+        "'k' AS key", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id div 5) AS time_stamp", "(id * 7919) % 300000 AS row_id", "double(id % 91) AS x"
+    )
+    layout = OrderedChunks.plan(df, ["key"], ["time_stamp", "row_id"], halo=4, rows_per_chunk=4)
+    chunks, largest = layout.located(df).groupBy("_chunk").count().agg(F.count("*"), F.max("count")).first()
+    assert chunks >= 100_000 and largest <= 4
+    assert len(layout._tree("_low").levels) == 3 and FANOUT == 64
+    lag = "x - lag(x, 4) OVER (PARTITION BY key{} ORDER BY time_stamp, row_id)"
+    cut = with_halo(layout, df).selectExpr("row_id", "_is_halo", lag.format(", _chunk") + " AS d").filter("NOT _is_halo").drop("_is_halo")
+    whole = df.selectExpr("row_id", lag.format("") + " AS d")
+    assert cut.count() == 300_000
+    assert cut.exceptAll(whole).count() == 0

@@ -122,7 +122,7 @@ def auc(
     """
     rows = df.selectExpr(f"-double(`{score}`) AS _rank", f"double(`{label}`) AS _pos", f"1D - double(`{label}`) AS _neg")
     layout = OrderedChunks.plan(
-        rows, [], ["_rank"], sums=["_pos", "_neg"], rows_per_chunk=rows_per_chunk, min_chunks=8
+        rows, [], ["_rank"], sums=["_pos", "_neg"], rows_per_chunk=rows_per_chunk
     )
     scores = rows.groupBy("_rank").agg({"_pos": "sum", "_neg": "sum"}).selectExpr("_rank", "`sum(_pos)` AS _pos", "`sum(_neg)` AS _neg")
     upto = f"OVER (PARTITION BY {CHUNK} ORDER BY _rank ROWS UNBOUNDED PRECEDING)"

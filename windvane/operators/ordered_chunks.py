@@ -1,121 +1,165 @@
-"""Order-preserving chunks: exact ranks, prefix sums and row lags without one-task windows.
+"""Order-preserving chunks: exact ranks, prefix sums, row lags and order statistics without one-task windows.
 
 A window over a whole turbine history (or over a whole table) puts that history into one
-task. When a history is larger than ``rows_per_chunk`` it is cut along its own sort order
-into chunks of bounded size, whichever way the rows are distributed:
-
-1. each long history becomes an equal-width grid of cells over its first order column;
-2. cells are counted with a map-side-combined aggregate over the key columns only;
-3. a cell that is still too full gets its own finer grid, falling through to the next
-   order column when all its rows tie (so one hot hour, or one hot instant, is split too);
+task. A history of more than ``rows_per_chunk`` rows is cut along its own sort order into
+chunks of at most that many rows, whichever way the rows are distributed:
+
+1. histories are counted, and a hash picks about ``SAMPLES`` rows per chunk of the long ones;
+   their order values (of any sortable type, ties broken by all order columns) are splitters;
+2. rows between neighbouring splitters, a cell, are counted with map-side combine;
+3. a cell that is too full is sampled again, sixteen times as densely, until its rows cannot
+   be told apart;
 4. consecutive cells are packed into chunks.
 
-Grids and chunk numbers depend on counts. Chunks are at most ``MAX_CHUNKS`` (of more than
-``rows_per_chunk`` rows above 25 billion rows), a level of cells some hundred thousand, so
-they fit the driver and a broadcast table. Rows find their chunk by arithmetic plus
-broadcast hash joins; wide rows move only once, to the task that owns their chunk.
+Everything is a Spark table: nothing of the layout visits the driver but its depth. Splitters
+form a search tree: a node holds at most ``FANOUT`` - 1 of them in a sorted array, rows walk
+down level by level, joining (history, node) and binary-searching the array. A level is
+broadcast when its checked size allows, else shuffled by node. Wide rows move only once, to
+the task that owns their chunk.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from windvane.session import materialize, small_result, small_side
 
 ROWS_PER_CHUNK = 1_000_000
-MAX_CHUNKS = 25_000
-_CELLS_PER_CHUNK = 8
-_MIN_CELLS, _MAX_CELLS = 16, 4096
-_NULL_TIME = 2.6e17  # microseconds after every real timestamp: missing times sort last
-_CLIP = 4e307
-_STRING_PIECES = 4
-_NO_PATH = "cast(array() AS array<int>)"
+SAMPLES = 16
+FANOUT = 64
+SELECT_CELLS = 64  # cells per history, at least, when positions are looked up
 
-CHUNK, BEFORE, EXTRA, PATH = "_chunk", "_before", "_extra", "_path"
+CHUNK, BEFORE = "_chunk", "_before"
+_AT, _NODE = "_at", "_node"
 
 
-def _column_axes(name: str, dtype: T.DataType) -> tuple[list[str], bool]:
-    """SQL of DOUBLE images that together sort like an order column, NULLs last; and whether equal images mean equal values.
+def _place(order: list[str]) -> Column:
+    """A struct that sorts like the order columns, NULLs last."""
+    return F.struct(*[c for i, name in enumerate(order) for c in (F.col(f"`{name}`").isNull().alias(f"n{i}"), F.col(f"`{name}`").alias(f"v{i}"))])
 
-    Every image is exact: longs are two halves, doubles have a class (infinite, very large, NaN, NULL) before their
-    value, strings are pieces of six bytes. Strings beyond their first pieces and long decimals are not told apart.
-    """
-    x = f"`{name}`"
-    if isinstance(dtype, T.TimestampNTZType):  # plain difference, no time-zone conversion
-        return [f"coalesce(double(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', {x})), {_NULL_TIME}D)"], True
-    if isinstance(dtype, T.TimestampType):
-        return [f"coalesce(double(unix_micros({x})), {_NULL_TIME}D)"], True
-    if isinstance(dtype, T.DateType):
-        return [f"coalesce(double(unix_date({x})), 1e10D)"], True
-    if isinstance(dtype, T.LongType):
-        return [f"coalesce(double(shiftright({x}, 32)), 1e10D)", f"coalesce(double({x} & 4294967295L), 0D)"], True
-    if isinstance(dtype, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
-        return [f"coalesce(double(int({x})), 1e10D)"], True
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        d = f"double({x})"
-        kind = (
-            f"CASE WHEN {x} IS NULL THEN 4D WHEN isnan({d}) THEN 3D WHEN {d} = double('infinity') THEN 2D WHEN {d} > {_CLIP}D THEN 1D"
-            f" WHEN {d} = double('-infinity') THEN -2D WHEN {d} < -{_CLIP}D THEN -1D ELSE 0D END"
-        )
-        value = f"CASE WHEN abs({d}) <= {_CLIP}D THEN {d} WHEN abs({d}) < double('infinity') THEN {d} / 8 ELSE 0D END"
-        return [kind, value], True
-    if isinstance(dtype, T.DecimalType):
-        return [f"coalesce(double({x}), 1e39D)"], dtype.precision <= 15
-    if isinstance(dtype, T.StringType):
-        pieces = [f"double(conv(rpad(hex(substring(binary({x}), {1 + 6 * i}, 6)), 12, '0'), 16, 10))" for i in range(_STRING_PIECES)]
-        return [f"coalesce({p}, 3e14D)" for p in pieces], False
-    raise ValueError(f"cannot order chunks by {name}: {dtype.simpleString()}")
-
-
-def _axes(df: DataFrame, order: list[str]) -> list[str]:
-    """Images of the leading order columns, up to the first whose equal images may hide different values."""
-    axes: list[str] = []
-    for name in order:
-        images, exact = _column_axes(name, df.schema[name].dataType)
-        axes += images
-        if not exact:
-            break
-    return axes
+
+def _same(keys: list[str], *more: tuple[str, str]) -> Column:
+    """Row and lookup (key columns named ``_r_``) belong together."""
+    pairs = [(f"`{k}`", f"`_r_{k}`") for k in keys]
+    return F.expr(" AND ".join([f"{a} <=> {b}" for a, b in pairs] + [f"{a} = {b}" for a, b in more]) or "true")
+
+
+def _renamed(keys: list[str]) -> list[Column]:
+    return [F.col(f"`{k}`").alias(f"_r_{k}") for k in keys]
 
 
 def _ordering(order: list[str]) -> list[Column]:
-    return [F.col(name).asc_nulls_last() for name in order]
+    return [F.col(f"`{name}`").asc_nulls_last() for name in order]
+
+
+class SplitterTree:
+    """Sorted splitters per history, as one small table per level.
+
+    ``table`` has the keys, ``_j`` (1, 2, ... in order) and ``_low``; a NULL ``_low`` precedes everything.
+    """
+
+    def __init__(self, table: DataFrame, keys: list[str]):
+        self.keys = keys
+        last = table.agg(F.max("_j")).first()[0] or 0
+        block = 1
+        while block * FANOUT <= last:
+            block *= FANOUT
+        self.levels: list[DataFrame] = []
+        while last and block:
+            own = table.filter((F.col("_j") % block == 0) & (F.col("_j") % (block * FANOUT) != 0))
+            node = F.expr(f"_j div {block * FANOUT}").cast("long").alias("_r_node")
+            nodes = own.groupBy(*_renamed(keys), node).agg(F.sort_array(F.collect_list(F.struct("_j", "_low"))).alias("_list"))
+            self.levels.append(small_result(nodes.select(*[f"_r_{k}" for k in keys], "_r_node", F.col("_list._low").alias("_seps"))))
+            block //= FANOUT
+
+    def locate(self, df: DataFrame, name: str) -> DataFrame:
+        """Add the number of splitters at or before each row's ``_at``."""
+        columns = [f"`{c}`" for c in df.columns]
+        # Always 0, and not to be folded into a condition without keys.
+        out = df.withColumn(_NODE, F.pmod(F.xxhash64(_AT), F.lit(1)))
+        steps, half = [], FANOUT // 2
+        while half:
+            steps.append(half)
+            half //= 2
+        found = (
+            f"aggregate(array({', '.join(map(str, steps))}), 0, (p, s) -> CASE WHEN p + s <= size(_seps)"
+            f" AND coalesce(_seps[p + s - 1] <= {_AT}, true) THEN p + s ELSE p END)"
+        )
+        for level in self.levels:
+            met = out.join(level, _same(self.keys, (_NODE, "_r_node")), "left")
+            out = met.selectExpr(*columns, f"{_NODE} * {FANOUT} + CASE WHEN _seps IS NULL THEN 0 ELSE {found} END AS {_NODE}")
+        return out.selectExpr(*columns, f"int({_NODE}) AS `{name}`")
 
 
 @dataclass
-class _Cell:
-    key: tuple
-    path: tuple[int, ...]
-    rows: int
-    spans: list[tuple[float, float]]  # min and max position per axis
-    sums: list[float]
-    depth: int = 0  # first axis that can still separate the rows
+class _Cells:
+    """Counted cells of some histories: keys, ``_cell``, ``_low`` (NULL for the first), ``_rows``, ``_start`` and sums."""
+
+    tree: SplitterTree
+    rows: DataFrame
+    table: DataFrame
+
+    @classmethod
+    def count(cls, rows: DataFrame, keys: list[str], sums: list[str], full: int) -> "_Cells":
+        """Cells of ``rows``, which have ``_at``, ``_hash`` and ``_every``: one in so many rows becomes a splitter."""
+        picked = rows.filter(F.pmod("_hash", "_every") == 0).select(*keys, F.col(_AT).alias("_low")).distinct()
+        in_order = Window.partitionBy(*keys).orderBy("_low")
+        denser, last = 1, False
+        while True:
+            table = materialize(picked.withColumn("_j", F.row_number().over(in_order)))
+            tree = SplitterTree(table, keys)
+            located = tree.locate(rows, "_cell")
+            measures = [F.count(F.lit(1)).alias("_rows"), F.min("_hash").alias("_h0"), F.max("_hash").alias("_h1"), F.min("_every").alias("_every")]
+            measures += [F.sum(f"`{name}`").alias(f"_sum{i}") for i, name in enumerate(sums)]
+            cells = materialize(located.groupBy(*keys, "_cell").agg(*measures))
+            crowded = cells.filter((F.col("_rows") > full) & (F.col("_h0") < F.col("_h1")))
+            finest = crowded.agg(F.max(F.col("_every"))).first()[0]
+            if finest is None or last:
+                break
+            denser *= SAMPLES
+            last = finest <= denser
+            named = small_side(crowded.select(*_renamed(keys), F.col("_cell").alias("_r_cell")))
+            again = located.join(named, _same(keys, ("_cell", "_r_cell"))).filter(F.pmod("_hash", F.greatest(F.lit(1), F.expr(f"_every div {denser}"))) == 0)
+            picked = table.select(*keys, "_low").unionByName(again.select(*keys, F.col(_AT).alias("_low"))).distinct()
+        upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        low = table.select(*_renamed(keys), F.col("_j").alias("_r_cell"), "_low")
+        counted = cells.join(low, _same(keys, ("_cell", "_r_cell")), "left").select(
+            *keys, "_cell", "_low", "_rows", (F.sum("_rows").over(upto) - F.col("_rows")).alias("_start"),
+            *[(F.sum(f"_sum{i}").over(upto) - F.col(f"_sum{i}")).cast("double").alias(f"_sum{i}") for i in range(len(sums))],
+        )
+        return cls(tree, rows, counted)
 
-    def separable(self) -> bool:
-        while self.depth < len(self.spans) and self.spans[self.depth][0] >= self.spans[self.depth][1]:
-            self.depth += 1
-        return self.depth < len(self.spans)
+
+def _slim(df: DataFrame, keys: list[str], order: list[str], *more: str) -> DataFrame:
+    narrow = df.select(*dict.fromkeys([*keys, *more]), _place(order).alias(_AT))
+    return narrow.withColumn("_hash", F.xxhash64(_AT))
+
+
+def _of_histories(slim: DataFrame, histories: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the given histories, with their ``_every``."""
+    if not keys:
+        every = histories.first()["_every"]
+        return slim.withColumn("_every", F.lit(every))
+    return slim.join(small_side(histories.select(*_renamed(keys), "_every")), _same(keys)).drop(*[f"_r_{k}" for k in keys])
 
 
 @dataclass
 class OrderedChunks:
-    """Chunk layout of ``df`` for histories ``keys`` sorted by ``order``."""
+    """Chunk layout of a table for histories ``keys`` sorted by ``order``.
+
+    ``chunks`` (None if no history is long) has the keys, ``_chunk``, ``_low`` (its first order value), ``_reach``
+    (where the rows begin that its lags reach back to), ``_start`` and the sums before it.
+    """
 
     keys: list[str]
     order: list[str]
-    total: int
-    limit: int
+    total: int = 0
     halo: int = 0
     sums: list[str] = field(default_factory=list)
-    axes: list[str] = field(default_factory=list)  # DOUBLE images of the order columns, as SQL
-    grids: list[list[tuple]] = field(default_factory=list)
-    leaves: dict[tuple, list[_Cell]] = field(default_factory=dict)
-
-    # -- building ------------------------------------------------------------------
+    chunks: DataFrame | None = None
 
     @classmethod
     def plan(
@@ -127,174 +171,87 @@ class OrderedChunks:
         halo: int = 0,
         sums: list[str] | None = None,
         rows_per_chunk: int = ROWS_PER_CHUNK,
-        min_chunks: int = 1,
     ) -> "OrderedChunks":
-        sums = list(sums or [])
-        slim = df.select(*dict.fromkeys([*keys, *order, *sums]))
-        layout = cls(list(keys), list(order), 0, 1, halo, sums, _axes(df, order))
-        # One history: its size and extent come from the same pass. Several: count first,
-        # a table below the limit holds no long history.
-        whole = None if keys else layout._cell(slim.agg(*layout._measures()).first(), ())
-        layout.total = total = slim.count() if whole is None else whole.rows
-        layout.limit = max(
-            math.ceil(total / MAX_CHUNKS), min(rows_per_chunk, math.ceil(total / min_chunks)), halo, 1
-        )
-        if total > layout.limit:
-            layout._subdivide(slim, [whole] if whole else layout._long_histories(slim))
+        keys, order, sums = list(keys), list(order), list(sums or [])
+        slim = _slim(df, keys, order, *sums)
+        sizes = materialize(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+        long = F.col("_rows") > rows_per_chunk
+        total, n_long = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count_if(long)).first()
+        layout = cls(keys, order, total, halo, sums)
+        if n_long:
+            every = max(1, rows_per_chunk // SAMPLES)
+            rows = _of_histories(slim, sizes.filter(long).withColumn("_every", F.lit(every)), keys)
+            # Cells of at most half the limit, packed by the half in which they start, never exceed it.
+            half = max(1, rows_per_chunk // 2)
+            layout.chunks = layout._packed(_Cells.count(rows, keys, sums, half).table, half)
         return layout
 
-    def _measures(self) -> list[Column]:
-        measures = ["count(1) AS _rows"]
-        for i, position in enumerate(self.axes):
-            measures += [f"min({position}) AS _lo{i}", f"max({position}) AS _hi{i}"]
-        measures += [f"sum(`{name}`) AS _sum{i}" for i, name in enumerate(self.sums)]
-        return [F.expr(m) for m in measures]
-
-    def _cell(self, row, path: tuple[int, ...]) -> _Cell:
-        return _Cell(
-            tuple(row[k] for k in self.keys),
-            path,
-            row["_rows"],
-            [(row[f"_lo{i}"], row[f"_hi{i}"]) for i in range(len(self.axes))],
-            [float(row[f"_sum{i}"] or 0) for i in range(len(self.sums))],
-        )
-
-    def _long_histories(self, slim: DataFrame) -> list[_Cell]:
-        # At most total / limit <= MAX_CHUNKS histories can exceed the limit.
-        histories = slim.groupBy(*self.keys).agg(*self._measures()).filter(F.col("_rows") > self.limit)
-        return [self._cell(row, ()) for row in histories.collect()]
-
-    def _subdivide(self, slim: DataFrame, crowded: list[_Cell]) -> None:
-        leaves: dict[tuple, list[_Cell]] = defaultdict(list)
-        located = slim.selectExpr("*", f"{_NO_PATH} AS {PATH}")
-        while crowded:
-            split = [cell for cell in crowded if cell.separable()]
-            for cell in crowded:
-                if not cell.separable():
-                    leaves[cell.key].append(cell)  # indistinguishable rows stay together
-            if not split:
-                break
-            self.grids.append([self._grid(cell) for cell in split])
-            located = self._refine(located, len(self.grids) - 1, inner=True)
-            counted = located.groupBy(*self.keys, PATH).agg(*self._measures())
-            crowded = []
-            for row in counted.collect():
-                cell = self._cell(row, tuple(row[PATH]))
-                (crowded if cell.rows > self.limit else leaves[cell.key]).append(cell)
-        self.leaves = {key: sorted(cells, key=lambda c: c.path) for key, cells in leaves.items()}
-
-    def _grid(self, cell: _Cell) -> tuple:
-        low, high = cell.spans[cell.depth]
-        wanted = math.ceil(cell.rows * _CELLS_PER_CHUNK / self.limit)
-        cells = min(_MAX_CELLS, max(_MIN_CELLS, wanted))
-        step = max((high - low) / cells, math.ulp(max(abs(low), abs(high))))
-        return (*cell.key, list(cell.path), cell.depth, low, step)
-
-    # -- locating rows -------------------------------------------------------------
-
-    def _lookup(self, df: DataFrame, rows: list[tuple], extra: str) -> DataFrame:
-        """Broadcast table keyed by history and path; its row count is bounded by the layout."""
-        fields = [T.StructField(f"_r_{k}", df.schema[k].dataType) for k in self.keys]
-        fields.append(T.StructField("_r_path", T.ArrayType(T.IntegerType())))
-        schema = T.StructType(fields + T.StructType.fromDDL(extra).fields)
-        return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-
-    def _matches(self) -> Column:
-        return F.expr(" AND ".join([f"{PATH} = _r_path", *[f"`{k}` <=> `_r_{k}`" for k in self.keys]]))
-
-    def _refine(self, df: DataFrame, level: int, inner: bool = False) -> DataFrame:
-        columns = [f"`{c}`" for c in df.columns if c != PATH]
-        if level == 0 and not self.keys:  # one grid for the whole table: plain arithmetic
-            _, axis, low, step = self.grids[0][0]
-            cell = f"int(floor(({self.axes[axis]} - {low!r}D) / {step!r}D))"
-            return df.selectExpr(*columns, f"array({cell}) AS {PATH}")
-        grid = self._lookup(df, self.grids[level], "_axis int, _low double, _step double")
-        choices = " ".join(f"WHEN {i} THEN {position}" for i, position in enumerate(self.axes))
-        cell = f"int(floor((CASE _axis {choices} END - _low) / _step))"
-        deeper = f"CASE WHEN _r_path IS NULL THEN {PATH} ELSE concat({PATH}, array({cell})) END AS {PATH}"
-        return df.join(grid, self._matches(), "inner" if inner else "left").selectExpr(*columns, deeper)
-
-    def locate(self, df: DataFrame) -> DataFrame:
-        """Add the cell path of every row (empty for short histories)."""
-        located = df.selectExpr("*", f"{_NO_PATH} AS {PATH}")
-        for level in range(len(self.grids)):
-            located = self._refine(located, level)
-        return located
-
-    def _layout_rows(self) -> list[tuple]:
-        rows = []
-        for key, cells in self.leaves.items():
-            starts: dict[int, tuple] = {}  # chunk -> rows and sums before it
-            placed, before, running = [], 0, [0.0] * len(self.sums)
-            for cell in cells:
-                chunk = before // self.limit
-                starts.setdefault(chunk, (before, *running))
-                before += cell.rows
-                running = [a + b for a, b in zip(running, cell.sums)]
-                placed.append((cell, chunk, before))
-            chunks = sorted(starts)
-            rank = {chunk: i for i, chunk in enumerate(chunks)}
-            for cell, chunk, end in placed:
-                reach = rank[chunk] + 1
-                while reach < len(chunks) and starts[chunks[reach]][0] - end < self.halo:
-                    reach += 1
-                extra = [int(later) for later in chunks[rank[chunk] + 1:reach]]
-                rows.append((*key, list(cell.path), int(chunk), extra, *starts[chunk]))
-        return rows
+    def _packed(self, cells: DataFrame, half: int) -> DataFrame:
+        by_cell = Window.partitionBy(*self.keys).orderBy("_cell")
+        earlier = Window.partitionBy(*self.keys).orderBy("_start").rangeBetween(Window.unboundedPreceding, -self.halo)
+        pack = F.floor(F.col("_start") / half)
+        marked = cells.withColumns({"_reach": F.last("_low").over(earlier), "_first": F.coalesce(pack != F.lag(pack).over(by_cell), F.lit(True))})
+        chunks = marked.filter("_first").withColumn(CHUNK, F.row_number().over(by_cell) - 1)
+        return materialize(chunks.select(*self.keys, CHUNK, "_low", "_reach", "_start", *[f"_sum{i}" for i in range(len(self.sums))]))
 
     @property
     def trivial(self) -> bool:
-        return not self.leaves
+        return self.chunks is None
+
+    def _tree(self, low: str) -> SplitterTree:
+        return SplitterTree(self.chunks.filter(F.col(CHUNK) > 0).select(*self.keys, F.col(CHUNK).alias("_j"), F.col(low).alias("_low")), self.keys)
+
+    def located(self, df: DataFrame) -> DataFrame:
+        """Add ``_chunk`` of every row (0 in short histories)."""
+        if self.trivial:
+            return df.selectExpr("*", f"0 AS {CHUNK}")
+        return self._tree("_low").locate(df.withColumn(_AT, _place(self.order)), CHUNK).drop(_AT)
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add ``_chunk``, ``_extra`` (later chunks needing the row) and what precedes the chunk.
+        """Add ``_chunk`` and what precedes it in its history.
 
-        ``_before`` counts preceding rows of the history; ``_before_<name>`` sums ``sums``.
+        ``_before`` counts preceding rows; ``_before_<name>`` sums ``sums``.
         """
         names = [f"_before_{s}" for s in self.sums]
         if self.trivial:
-            sums = [f"0D AS {n}" for n in names]
-            return df.selectExpr("*", f"0 AS {CHUNK}", f"{_NO_PATH} AS {EXTRA}", f"0L AS {BEFORE}", *sums)
-        fields = ", ".join(["_c int, _e array<int>, _b bigint", *[f"_s{i} double" for i in range(len(names))]])
-        table = self._lookup(df, self._layout_rows(), fields)
-        return self.locate(df).join(table, self._matches(), "left").selectExpr(
-            *[f"`{c}`" for c in df.columns],
-            f"coalesce(_c, 0) AS {CHUNK}", f"coalesce(_e, {_NO_PATH}) AS {EXTRA}", f"coalesce(_b, 0L) AS {BEFORE}",
-            *[f"coalesce(_s{i}, 0D) AS {n}" for i, n in enumerate(names)],
+            return df.selectExpr("*", f"0 AS {CHUNK}", f"0L AS {BEFORE}", *[f"0D AS {n}" for n in names])
+        sums = [F.col(f"_sum{i}").alias(f"_r_{n}") for i, n in enumerate(names)]
+        table = self.chunks.select(*_renamed(self.keys), F.col(CHUNK).alias("_r_chunk"), F.col("_start").alias("_r_start"), *sums)
+        met = self.located(df).join(small_side(table), _same(self.keys, (CHUNK, "_r_chunk")), "left")
+        return met.selectExpr(
+            *[f"`{c}`" for c in df.columns], CHUNK, f"coalesce(_r_start, 0L) AS {BEFORE}", *[f"coalesce(`_r_{n}`, 0D) AS `{n}`" for n in names]
         )
 
     def window(self):
         return Window.partitionBy(*self.keys, CHUNK).orderBy(*_ordering(self.order))
 
-    def cut_rows(self, df: DataFrame, positions: list[int]) -> dict[int, tuple]:
-        """Order-column values of the rows at the given 0-based global positions.
 
-        Only for a single history (``keys`` empty). Each position is looked up inside the
-        one cell that holds it, so at most ``limit`` narrow rows per position are sorted.
-        """
-        wanted = sorted({p for p in positions if 0 <= p < self.total})
-        if not wanted:
-            return {}
-        slim = df.select(*self.order)
-        if self.trivial:
-            targets = [((), p, p) for p in wanted]
-            located = slim.selectExpr("*", f"{_NO_PATH} AS {PATH}")
-        else:
-            targets, before, remaining = [], 0, list(wanted)
-            for cell in self.leaves[()]:
-                while remaining and remaining[0] < before + cell.rows:
-                    position = remaining.pop(0)
-                    targets.append((cell.path, position - before, position))
-                before += cell.rows
-            located = self.locate(slim)
-        paths = {path for path, _, _ in targets}
-        wanted_paths = ", ".join(f"'{'.'.join(map(str, p))}'" for p in paths)
-        inside = located.filter(f"array_join({PATH}, '.') IN ({wanted_paths})")
-        window = Window.partitionBy(PATH).orderBy(*_ordering(self.order))
-        ranked = inside.withColumn("_nth", F.row_number().over(window) - 1)
-        hits = ranked.filter(F.col("_nth").isin([nth for _, nth, _ in targets])).collect()
-        found = {(tuple(row[PATH]), row["_nth"]): tuple(row[c] for c in self.order) for row in hits}
-        return {position: found[(path, nth)] for path, nth, position in targets}
+def rows_at(
+    df: DataFrame, keys: list[str], order: list[str], sizes: DataFrame, positions: DataFrame, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Order-column values of the rows at some 0-based positions of each history, in all histories at once.
+
+    ``sizes`` has the keys and ``_rows``, ``positions`` the keys and ``_position``; both are small, one row or a few per
+    history. Every history is divided into cells, a small share of it and at most ``rows_per_chunk`` rows, and only the
+    cells that hold a wanted position are sorted. Returns keys, ``_position`` and the order columns.
+    """
+    every = F.greatest(F.lit(1), F.least(F.expr(f"_rows div {SELECT_CELLS}"), F.lit(rows_per_chunk // SAMPLES))).cast("long")
+    slim = _slim(df, keys, order)
+    cells = _Cells.count(_of_histories(slim, sizes.withColumn("_every", every), keys), keys, [], rows_per_chunk)
+    inside = F.expr("_position >= _start AND _position < _start + _rows")
+    if keys:
+        met = cells.table.join(small_side(positions.select(*_renamed(keys), "_position")), _same(keys) & inside)
+    else:  # one history: its positions are a few numbers
+        asked = F.array(*[F.lit(r["_position"]).cast("long") for r in positions.collect()])
+        met = cells.table.withColumn("_position", F.explode(asked)).filter(inside)
+    held = materialize(met.select(
+        *([f"_r_{k}" for k in keys]), F.col("_cell").alias("_r_cell"), "_position", (F.col("_position") - F.col("_start")).alias("_nth")
+    ))
+    named = small_side(held.select(*[f"_r_{k}" for k in keys], "_r_cell").distinct())
+    within = cells.tree.locate(cells.rows, "_cell").join(named, _same(keys, ("_cell", "_r_cell"))).drop(*[f"_r_{k}" for k in keys], "_r_cell")
+    ranked = within.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(_AT)) - 1)
+    hits = ranked.join(small_side(held), _same(keys, ("_cell", "_r_cell"), ("_place", "_nth")))
+    return hits.select(*keys, "_position", *[F.col(f"{_AT}.v{i}").alias(name) for i, name in enumerate(order)])
 
 
 def with_rank(
@@ -314,6 +271,7 @@ def with_halo(layout: OrderedChunks, df: DataFrame) -> DataFrame:
     if layout.trivial:
         return df.selectExpr("*", f"0 AS {CHUNK}", "false AS _is_halo")
     columns = [f"`{c}`" for c in df.columns]
-    copies = f"posexplode(concat(array({CHUNK}), {EXTRA})) AS (_copy, _owner)"
-    spread = layout.assign(df).selectExpr(*columns, copies)
+    placed = layout._tree("_low").locate(df.withColumn(_AT, _place(layout.order)), CHUNK)
+    reaching = layout._tree("_reach").locate(placed, "_last")
+    spread = reaching.selectExpr(*columns, f"posexplode(sequence({CHUNK}, greatest({CHUNK}, _last))) AS (_copy, _owner)")
     return spread.selectExpr(*columns, f"_owner AS {CHUNK}", "_copy > 0 AS _is_halo")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windvane.functions import states
-from windvane.operators.ordered_chunks import ROWS_PER_CHUNK, OrderedChunks, with_rank
+from windvane.operators.ordered_chunks import ROWS_PER_CHUNK, rows_at, with_rank
 from windvane.session import materialize, require_columns, small_result, small_side
 
 MAX_TURBINES = 1_000_000  # far above any fleet; their sizes are placed one after another
@@ -63,11 +63,16 @@ def _split_at(df: DataFrame, order: list[str], val_from: tuple | None, test_from
     return df.withColumn("split", name)
 
 
-def _split_by_position(df: DataFrame, order: list[str], cuts: Callable[[int], tuple[int, int]], rows_per_chunk: int) -> DataFrame:
+def _split_by_position(df: DataFrame, order: list[str], cuts: Callable[[int], tuple[int, int]], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Split the table at two exact positions of its sort order, without sorting it."""
-    layout = OrderedChunks.plan(df, [], order, rows_per_chunk=rows_per_chunk, min_chunks=8)
-    val_at, test_at = cuts(layout.total)
-    found = layout.cut_rows(df, [val_at, test_at])
+    sizes = df.agg(F.count(F.lit(1)).alias("_rows"))
+    total = sizes.first()["_rows"]
+    wanted = sorted({at for at in cuts(total) if at < total})
+    found = {}
+    if wanted:
+        positions = df.sparkSession.createDataFrame([(at,) for at in wanted], "_position long")
+        found = {r["_position"]: tuple(r[c] for c in order) for r in rows_at(df, [], order, sizes, positions, rows_per_chunk).collect()}
+    val_at, test_at = cuts(total)
     return _split_at(df, order, found.get(val_at), found.get(test_at))
 
 
@@ -108,26 +113,27 @@ def turbine_time_split(
     df: DataFrame, train: float = SIZES[0], val: float = SIZES[1], test: float = SIZES[2], *,
     time_col: str = "time_stamp", tiebreak: str = "row_id", rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Chronological split inside every turbine; each turbine contributes to all parts."""
+    """Chronological split inside every turbine; each turbine contributes to all parts.
+
+    The two cut rows of all turbines are looked up together; only the narrow rows around them are sorted.
+    """
     require_columns(df, "farm_id", "asset_id", time_col, tiebreak)
     check_sizes(train, val, test)
     order, keys = [time_col, tiebreak], ["_turbine"]
     keyed = df.withColumn("_turbine", states.turbine_key(F.col("farm_id"), F.col("asset_id")))
     narrow = keyed.select(*keys, *order)
-    ranked = with_rank(narrow, keys, order, "_rank", rows_per_chunk=rows_per_chunk)
+    sizes = materialize(narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
     first = F.floor(F.col("_rows").cast("double") * F.lit(train))
-    sizes = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).select(
-        *keys, first.alias("_val_at"), (first + F.floor(F.col("_rows").cast("double") * F.lit(val))).alias("_test_at")
-    )
+    placed = sizes.select(*keys, "_rows", first.alias("_val_at"), (first + F.floor(F.col("_rows").cast("double") * F.lit(val))).alias("_test_at"))
+    asked = placed.select(*keys, F.explode(F.array_distinct(F.array("_val_at", "_test_at"))).alias("_position"), "_rows").filter("_position < _rows")
+    found = rows_at(narrow, keys, order, sizes, asked.drop("_rows"), rows_per_chunk)
     at = F.struct(*[F.col(c) for c in order])
-    nth = F.col("_rank") - 1
     cuts = (
-        ranked.join(small_result(sizes), keys)
-        .filter((nth == F.col("_val_at")) | (nth == F.col("_test_at")))
+        found.join(small_side(placed), keys)
         .groupBy(*keys)
         .agg(
-            F.max(F.when(nth == F.col("_val_at"), at)).alias("_val_from"),
-            F.max(F.when(nth == F.col("_test_at"), at)).alias("_test_from"),
+            F.max(F.when(F.col("_position") == F.col("_val_at"), at)).alias("_val_from"),
+            F.max(F.when(F.col("_position") == F.col("_test_at"), at)).alias("_test_from"),
         )
     )
 
@@ -158,10 +164,7 @@ def event_time_split(
     known = df.filter(F.col(keys[-1]).isNotNull())
     bounds = materialize(event_bounds(known, keys, time_col))
     order = ["first_time", *reversed(keys)]
-    layout = OrderedChunks.plan(bounds, [], order)
-    val_at, test_at = _cut_offs(layout.total, train, val)
-    found = layout.cut_rows(bounds, [val_at, test_at])
-    assigned = _split_at(bounds, order, found.get(val_at), found.get(test_at)).select(*keys, "split")
+    assigned = _split_by_position(bounds, order, lambda n: _cut_offs(n, train, val)).select(*keys, "split")
     return df.join(small_side(assigned), keys).select(*df.columns, "split")
 
 
