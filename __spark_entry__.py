@@ -330,6 +330,31 @@ def run_sink(spark, sf_dir):
     return writers.load_table(spark, saved["states"], "state_name string, n_rows bigint, experiment string, run_id string")
 
 
+@query("run_sink_again", sql(LAB, """
+SELECT 'pre_24h' AS experiment, 'r1' AS run_id, state_name, count(*) AS n_rows FROM lab GROUP BY state_name
+UNION ALL SELECT 'pre_24h', 'r2', state_name, count(*) FROM lab WHERE target = 1 GROUP BY state_name"""))
+def run_sink_again(spark, sf_dir):
+    """A run saved twice, the first time with other rows, beside another run: the second save replaces the first."""
+    lab, root = fleet.labelled(spark, sf_dir), scratch_folder(spark, "runs")
+    counts = lambda rows: {"states": rows.groupBy("state_name").agg(F.count(F.lit(1)).alias("n_rows"))}
+    for run_id, rows in (("r1", lab.filter("target IS NULL")), ("r2", lab.filter("target = 1")), ("r1", lab)):
+        saved = writers.save_run(counts(rows), root, "pre_24h", run_id)
+    return writers.load_table(spark, saved["states"], "state_name string, n_rows bigint, experiment string, run_id string")
+
+
+@query("checked_write", sql(PROC, """
+SELECT 'n_rows' AS check_name, count(*) AS n FROM lab
+UNION ALL SELECT 'unknown_state', count(*) FILTER (WHERE state_label NOT IN (0, 1, 2, 3, 4, 5)) FROM lab
+UNION ALL SELECT 'non_binary_target', count(*) FILTER (WHERE NOT is_excluded_buffer AND target NOT IN (0, 1)) FROM lab
+UNION ALL SELECT 'with_values.target', count(target) FROM lab UNION ALL SELECT 'with_values.event_start', count(event_start) FROM lab
+UNION ALL SELECT 'with_values.yaw_error', count(yaw_error) FROM lab"""))
+def checked_write(spark, sf_dir):
+    """Validation counts that the write of the processed table takes along."""
+    counts = writers.write_checked(fleet.processed(spark, sf_dir, 6.0), f"{scratch_folder(spark, 'checked')}/processed")
+    names = ("n_rows", "unknown_state", "non_binary_target", "with_values.target", "with_values.event_start", "with_values.yaw_error")
+    return spark.createDataFrame([(name, counts[name]) for name in names], "check_name string, n bigint")
+
+
 @query("sample_rows", sql(SCADA, "SELECT row_id, time_stamp, farm_id, asset_id, active_power, gen_speed FROM scada ORDER BY time_stamp, row_id LIMIT 5000"))
 def sample_rows(spark, sf_dir):
     table = fleet.telemetry(spark, sf_dir).select("row_id", "time_stamp", "farm_id", "asset_id", "active_power", "gen_speed")
@@ -849,6 +874,23 @@ def classification_report(spark, sf_dir):
     return metrics.classification_report(metrics.at_threshold(fleet.scores(spark, sf_dir), 0.5))
 
 
+_GROUPED = """,
+parts AS (SELECT row_id % 5 AS part, y_true, y_prob FROM sc),
+counts AS (SELECT part, count(*) FILTER (y_true = 0 AND y_prob < 0.5) AS tn, count(*) FILTER (y_true = 0 AND y_prob >= 0.5) AS fp,
+  count(*) FILTER (y_true = 1 AND y_prob < 0.5) AS fn, count(*) FILTER (y_true = 1 AND y_prob >= 0.5) AS tp FROM parts GROUP BY part),
+distinct_scores AS (SELECT part, y_prob, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM parts GROUP BY part, y_prob),
+ranked AS (SELECT part, pos, neg, sum(pos) OVER w AS above, sum(neg) OVER w AS wrong FROM distinct_scores WINDOW w AS (PARTITION BY part ORDER BY y_prob DESC)),
+areas AS (SELECT part, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round(sum((above - pos / 2) * neg) / (sum(pos) * sum(neg)), 6) END AS roc_auc,
+  CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN round(sum(pos * above / (above + wrong)) / sum(pos), 6) END AS pr_auc FROM ranked GROUP BY part)"""
+
+
+@query("metrics_by_group", sql(SCORED + _GROUPED, f"SELECT part, tn, fp, fn, tp, {_aliased(_HEAD)}, {_aliased(_RATES)}, roc_auc, pr_auc FROM counts JOIN areas USING (part)"))
+def metrics_by_group(spark, sf_dir):
+    """The metric bundle of five parts from the same passes."""
+    parts = metrics.at_threshold(fleet.scores(spark, sf_dir), 0.5).withColumn("part", F.col("row_id") % 5)
+    return _auc_rounded(metrics.metrics_by_group(parts, ["part"], score="y_prob"))
+
+
 _GRID = ", ".join(f"({t!r}::DOUBLE)" for t in metrics.default_thresholds())
 _SWEEP = _AUC + f""",
 grid AS (SELECT * FROM (VALUES {_GRID}) AS v(threshold)),
@@ -908,6 +950,15 @@ def event_timeline(spark, sf_dir):
     return _rounded(lines, [f"{s}_z" for s in signals])
 
 
+@query("event_timeline_repeated", _ORACLE["event_timeline"])
+def event_timeline_repeated(spark, sf_dir):
+    """Events listed twice give the same timelines."""
+    signals = ["vibration_raw", "nacelle_temp", "gen_speed"]
+    events = fleet.faults(spark, sf_dir)
+    lines = timeline.event_timeline(fleet.harmonized(spark, sf_dir), events.unionByName(events), signals, keep=("row_id",))
+    return _rounded(lines, [f"{s}_z" for s in signals])
+
+
 @query("prediction_timeline", sql(SCADA + FAULTS + "," + SCORED + """,
 predicted AS (SELECT s.row_id, time_stamp, farm_id, asset_id, y_prob AS y_proba FROM scada s JOIN sc ON s.row_id = sc.row_id),"""
                                   + _TIMELINE.replace("$signals", "y_proba").replace("$source", "predicted"),

@@ -107,3 +107,35 @@ def test_feature_map_from_dict():
         "standard_features": ["amb_temp", "hub_temp", "yaw_error"],
     })
     assert farms.required_channels("X") == ["time_stamp", "asset_id", "s1", "s2", "s3"]
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e9])
+def test_rolling_deviations_from_moments(spark, offset):
+    """Gaps, constant stretches, leading NULLs, bursts, NaN and infinite values, at a large offset too."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=2000).round(3)
+    x[300:420] = x[300]
+    x[700:760] *= 1000
+    x[900:1000] = 5.0 + 1e-2 * rng.normal(size=100).round(3)
+    x = x + offset
+    x[1500] = np.inf
+    missing = rng.random(2000) < 0.01
+    missing[:7] = True
+    rows = [(i, None if m else float(v)) for i, (v, m) in enumerate(zip(x, missing))]
+    rows[1600] = (1600, float("nan"))
+    df = spark.createDataFrame(rows, "row_id long, gen_speed double").selectExpr("'A' AS farm_id", "1 AS event_id", "timestamp_ntz'2024-01-01' AS time_stamp", "*")
+    columns = {f"d{w}": ("gen_speed", w) for w in (2, 6, 24, 36)}
+    out = features.rolling_deviations(df, columns, ["farm_id"], ["row_id"]).toPandas().sort_values("row_id").reset_index(drop=True)
+    values = [np.nan if v is None else v for _, v in rows]
+    odd = np.array([v is not None and not np.isfinite(v) for _, v in rows])
+    for w in (2, 6, 24, 36):
+        exact = np.array([float(np.std(np.array(values[i - w + 1 : i + 1]) - offset, ddof=1)) if i >= w - 1 else np.nan for i in range(2000)])
+        got = out[f"d{w}"].to_numpy(float)
+        whole = ~np.isnan(exact)
+        spread = np.nanmax(np.where(np.isfinite(values), values, np.nan)) - np.nanmin(values)
+        wrong = whole & ~(np.abs(got - exact) <= 1e-6 * np.abs(exact) + 1e-7 * spread + 1e-12)
+        assert not wrong.any(), (w, np.flatnonzero(wrong), got[wrong], exact[wrong], spread)
+        assert np.isnan(got[~whole]).all()
+        assert (got[300 + w : 420][whole[300 + w : 420]] == 0).all()
+        null = out[f"d{w}"].isna() & ~pd.Series([any(odd[max(0, i - w + 1) : i + 1]) for i in range(2000)])
+        assert null.sum() > 0

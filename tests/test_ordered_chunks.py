@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from windvane.operators import features
+from windvane.operators import features, ordered_chunks
 from windvane.operators.ordered_chunks import FANOUT, OrderedChunks, rows_at, with_halo, with_rank
 
 
@@ -66,8 +66,10 @@ def test_missing_key_and_missing_time_sort_last(spark):
     assert by_rank == known + [i for i in range(200) if i % 3 == 0]
 
 
+@pytest.mark.parametrize("gathered", [1 << 16, 500, 0])
 @pytest.mark.parametrize("positions", [[0, 1500, 2999], [5, 6], [3000], []])
-def test_rows_at_match_the_sorted_table(spark, positions):
+def test_rows_at_match_the_sorted_table(spark, monkeypatch, positions, gathered):
+    monkeypatch.setattr(ordered_chunks, "GATHER_ROWS", gathered)
     pdf = lopsided(3).sort_values(["time_stamp", "row_id"]).reset_index(drop=True)
     df = to_spark(spark, pdf)
     asked = spark.createDataFrame([(p,) for p in positions], "_position long")
@@ -75,8 +77,10 @@ def test_rows_at_match_the_sorted_table(spark, positions):
     assert {r["_position"]: r["row_id"] for r in found} == {p: pdf["row_id"][p] for p in positions if p < 3000}
 
 
-def test_rows_at_in_many_histories_at_once(spark):
+@pytest.mark.parametrize("gathered", [1 << 16, 500, 0])
+def test_rows_at_in_many_histories_at_once(spark, monkeypatch, gathered):
     """Every history has its own positions; one holds most rows, some hold one row, one has a NULL key."""
+    monkeypatch.setattr(ordered_chunks, "GATHER_ROWS", gathered)
     pdf = lopsided(9)
     rows = [(None if k == "a" else k, t.to_pydatetime(), int(i)) for k, t, i in zip(pdf["key"], pdf["time_stamp"], pdf["row_id"])]
     rows += [(f"small {i}", None if i % 2 else rows[i][1], 10_000 + i) for i in range(40)]

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from windvane import config, session
-from windvane.operators import quality, selection, timeline
+from windvane.operators import ordered_chunks, quality, selection, timeline
+from windvane.sources import fleet
 
 T0 = datetime(2024, 6, 1)
 
@@ -172,3 +173,24 @@ def test_nan_is_missing(spark):
     assert quality.missingness(df).first()["missing_fraction"] == 0.5
     row = quality.feature_coverage(df, {"x": ["amb_temp"]}).first()
     assert (row["non_null"], row["non_zero"]) == (2, 2)
+
+
+def test_events_listed_twice_count_once(spark):
+    harmonized, events = fleet.harmonized(spark, "/root/testdata/sf0.001"), fleet.faults(spark, "/root/testdata/sf0.001")
+    once = timeline.event_timeline(harmonized, events, ["nacelle_temp"], keep=("row_id",))
+    twice = timeline.event_timeline(harmonized, events.unionByName(events), ["nacelle_temp"], keep=("row_id",))
+    assert once.count() > 0 and once.exceptAll(twice).count() == 0 == twice.exceptAll(once).count()
+
+
+@pytest.mark.parametrize("gathered", [1 << 16, 20])
+def test_quantiles_of_tied_values(spark, monkeypatch, gathered):
+    """A third of a group is one value; another group has a value once; cells and gathered groups agree with numpy."""
+    monkeypatch.setattr(ordered_chunks, "GATHER_ROWS", gathered)
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in np.where(rng.random(900) < 0.34, 4.25, rng.normal(size=900).round(2))] + [("b", 1.5)] + [("c", float(v)) for v in rng.integers(0, 3, 300)]
+    df = spark.createDataFrame(rows + [("a", None), ("d", None), (None, 2.0), (None, 6.0)], "k string, v double")
+    got = {(r["k"], r["quantile"]): r["value"] for r in quality.exact_quantiles(df, ["k"], "v", (0.0, 0.1, 0.5, 0.9, 1.0)).collect()}
+    values = {}
+    for k, v in rows + [(None, 2.0), (None, 6.0)]:
+        values.setdefault(k, []).append(v)
+    assert got == {(k, q): pytest.approx(float(np.quantile(v, q))) for k, v in values.items() for q in (0.0, 0.1, 0.5, 0.9, 1.0)}

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from windvane import config
-from windvane.operators import features, harmonize
+from windvane.operators import features, harmonize, quality
 from windvane.plans.preprocess import preprocess
-from windvane.sources import readers, writers
+from windvane.sources import fleet, readers, writers
 
 
 def write(path, text):
@@ -158,3 +158,51 @@ def test_inspection(spark, tmp_path):
 def test_fixed_schema_matches_groups():
     names = readers.processed_schema().fieldNames()
     assert names[:3] == list(config.IDENTITY_COLUMNS) and names[-8:] == list(config.LABEL_COLUMNS)
+
+
+def test_saving_a_run_again_replaces_it(spark, tmp_path):
+    first = spark.createDataFrame([(1, 0.5), (2, 0.25)], "n int, f1 double")
+    listed = spark.createDataFrame([("m", ["a", "b"])], "name string, features array<string>")
+    for table in (first, first.limit(1), first):
+        saved = writers.save_run({"board": table, "meta": listed}, str(tmp_path), "pre_24h", "r1")
+    writers.save_run({"board": first, "meta": listed}, str(tmp_path), "pre_24h", "r2")
+    board = writers.load_table(spark, saved["board"], "n int, f1 double, experiment string, run_id string")
+    assert sorted((r["run_id"], r["n"]) for r in board.collect()) == [("r1", 1), ("r1", 2), ("r2", 1), ("r2", 2)]
+    assert writers.load_json(spark, saved["meta"]).count() == 2
+
+
+def _scanned(df):
+    """Rows that the file scan of a plan gave on."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_master_is_clustered_by_turbine_and_time(spark, tmp_path):
+    """The window of one event reads less than a quarter of the rows; the whole table is unchanged."""
+    table = fleet.processed(spark, "/root/testdata/sf0.1", 6.0)
+    checks = writers.write_checked(table, str(tmp_path / "processed"))
+    writers.create_master(spark, str(tmp_path / "processed"), str(tmp_path / "master"))
+    master = readers.read_processed(spark, str(tmp_path / "master"))
+    assert master.count() == checks["n_rows"] == 100_000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        window = master.filter("farm_id = 'A' AND asset_id = '3' AND time_stamp BETWEEN timestamp_ntz'2024-01-10' AND timestamp_ntz'2024-01-14'")
+        kept = window.count()
+        assert 0 < kept <= _scanned(window.select("time_stamp", "active_power")) < 25_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_write_checks_equal_the_reports(spark, tmp_path):
+    table = fleet.processed(spark, "/root/testdata/sf0.001", 6.0)
+    odd = table.withColumns({
+        "state_label": F.when(F.col("wind_speed") > 20, 9).otherwise(F.col("state_label")),
+        "target": F.when(F.col("wind_speed") < 3, 0.5).otherwise(F.col("target")),
+        "yaw_error": F.when(F.col("wind_speed") > 10, float("nan")).otherwise(F.col("yaw_error")),
+    })
+    checks = writers.write_checked(odd, str(tmp_path / "processed"))
+    report = {r["rule"]: r["violations"] for r in quality.label_validation(odd).collect()}
+    assert {k: checks[k] for k in report} == report and report["unknown_state"] > 0 and report["non_binary_target"] > 0
+    coverage = {r["column"]: r["non_null"] for r in quality.feature_coverage(odd).collect()}
+    assert {k: checks[f"with_values.{k}"] for k in ("yaw_error", "target", "wind_speed")} == {k: coverage[k] for k in ("yaw_error", "target", "wind_speed")}

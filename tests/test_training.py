@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from windvane import config
-from windvane.operators import selection, splits
+from windvane.operators import metrics, selection, splits
 from windvane.plans import experiments, training
 from windvane.sources import writers
 
@@ -124,3 +124,29 @@ def test_tournament(table):
     rows = results.collect()
     assert [r["model_name"] for r in rows] == [r.name for r in runs] and rows[0]["test_f1"] >= rows[1]["test_f1"]
     assert rows[0]["train_recall"] is not None and experiments.snapshot(runs[0]).first()["f1"] == rows[0]["test_f1"]
+
+
+def test_parts_are_partitions_of_the_prepared_table(table):
+    df, _ = table
+    for name in ("train", "val", "test"):
+        plan = splits.parts(df, name)._jdf.queryExecution().executedPlan().toString()
+        assert "split#" in plan.split("PartitionFilters: [")[1].split("]")[0] and f"= {name})" in plan
+
+
+def test_tournament_scores_once_and_equals_single_runs(spark, table):
+    df, columns = table
+    experiment = config.experiment("pre_24h")
+    board, runs = experiments.tournament(df, columns, experiment, overrides=SHORT)
+    rows = {r["model_name"]: r for r in board.collect()}
+    assert set(rows) == set(experiment.models) and runs[0].name == board.first()["model_name"]
+    for run in runs:
+        row = rows[run.name]
+        for part in ("train", "val", "test"):
+            alone = run.model.evaluate_detailed(splits.parts(df, part)).first()
+            for m in ("precision", "recall", "f1"):
+                assert row[f"{part}_{m}"] == pytest.approx(alone[m])
+        assert row["test_roc_auc"] == pytest.approx(alone["roc_auc"]) and row["threshold"] == run.model.threshold
+        val = run.model.score(splits.parts(df, "val"))
+        assert run.model.tuning["f1"] == pytest.approx(metrics.best_threshold(val, "label", "y_prob").first()["f1"])
+    sweep = experiments.winner_sweep(runs[0])
+    assert sweep.count() == len(metrics.default_thresholds()) and sweep.first()["model_name"] == runs[0].name

@@ -6,9 +6,10 @@ prefix sums over distinct scores, chunked so that no task sees all of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windvane import config
@@ -52,9 +53,9 @@ def at_threshold(df: DataFrame, threshold: float, score: str = "y_prob", name: s
 
 # -- counts and rates --------------------------------------------------------------------
 
-def confusion_counts(df: DataFrame, label: str = "y_true", predicted: str = "y_pred") -> DataFrame:
+def confusion_counts(df: DataFrame, label: str = "y_true", predicted: str = "y_pred", keys: Sequence[str] = ()) -> DataFrame:
     y, p = F.col(label), F.col(predicted)
-    return df.agg(
+    return df.groupBy(*keys).agg(
         F.count_if((y == 0) & (p == 0)).alias("tn"), F.count_if((y == 0) & (p == 1)).alias("fp"),
         F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tp"),
     )
@@ -78,6 +79,26 @@ def binary_metrics(
     return _beside(bundle, auc(df, label, score, rows_per_chunk=rows_per_chunk))
 
 
+def metrics_by_group(
+    df: DataFrame, keys: Sequence[str], label: str = "y_true", predicted: str = "y_pred", score: str | None = None,
+    *, rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """``binary_metrics`` of every group (say, model and part), all from the same passes."""
+    keys = list(keys)
+    bundle = confusion_counts(df, label, predicted, keys).selectExpr("*", *rates.aliased(rates.HEADLINE), *rates.aliased(rates.CONFUSION))
+    if score is None:
+        return bundle.selectExpr("*", "double(NULL) AS roc_auc", "double(NULL) AS pr_auc")
+    areas = auc_by_group(df, keys, label, score, rows_per_chunk=rows_per_chunk)
+    return _joined(bundle, areas, keys)
+
+
+def _joined(table: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Columns of one row per group beside every row of the group; NULL keys meet."""
+    named = groups.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return table.join(named, same, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def _beside(table: DataFrame, single: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row, as a scalar subquery."""
     looked_up = table.withColumn("_single", single.select(F.struct("*")).scalar())
@@ -114,25 +135,34 @@ def classification_report(df: DataFrame, label: str = "y_true", predicted: str =
 def auc(
     df: DataFrame, label: str = "y_true", score: str = "y_prob", *, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
-    """Exact ROC AUC (ties count half) and average precision (step sum); NULL for one class.
+    """Exact ROC AUC (ties count half) and average precision (step sum); NULL for one class."""
+    return auc_by_group(df, [], label, score, rows_per_chunk=rows_per_chunk)
+
+
+def auc_by_group(
+    df: DataFrame, keys: Sequence[str], label: str = "y_true", score: str = "y_prob", *, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """``auc`` of every group.
 
     Rows collapse to distinct scores with map-side combine, so a score shared by a third of
     the rows is one record. Positives and negatives above a chunk of scores come with the
     chunk layout; the running sums restart in every chunk.
     """
-    rows = df.selectExpr(f"-double(`{score}`) AS _rank", f"double(`{label}`) AS _pos", f"1D - double(`{label}`) AS _neg")
+    keys = list(keys)
+    named = [f"`{k}`" for k in keys]
+    rows = df.selectExpr(*named, f"-double(`{score}`) AS _rank", f"double(`{label}`) AS _pos", f"1D - double(`{label}`) AS _neg")
     layout = OrderedChunks.plan(
-        rows, [], ["_rank"], sums=["_pos", "_neg"], rows_per_chunk=rows_per_chunk
+        rows, keys, ["_rank"], sums=["_pos", "_neg"], rows_per_chunk=rows_per_chunk
     )
-    scores = rows.groupBy("_rank").agg({"_pos": "sum", "_neg": "sum"}).selectExpr("_rank", "`sum(_pos)` AS _pos", "`sum(_neg)` AS _neg")
-    upto = f"OVER (PARTITION BY {CHUNK} ORDER BY _rank ROWS UNBOUNDED PRECEDING)"
+    scores = rows.groupBy(*keys, "_rank").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+    upto = f"OVER (PARTITION BY {', '.join([*named, CHUNK])} ORDER BY _rank ROWS UNBOUNDED PRECEDING)"
     ranked = layout.assign(scores).selectExpr(
-        "_pos", "_neg", f"_before__pos + sum(_pos) {upto} AS _tp", f"_before__neg + sum(_neg) {upto} AS _fp"
-    )
-    totals = ranked.selectExpr(
-        "sum(_pos) AS p", "sum(_neg) AS n", "sum((_tp - _pos / 2) * _neg) AS roc", "sum(_pos * _tp / (_tp + _fp)) AS ap"
+        *named, "_pos", "_neg", f"_before__pos + sum(_pos) {upto} AS _tp", f"_before__neg + sum(_neg) {upto} AS _fp"
     )
+    sums = {"p": "sum(_pos)", "n": "sum(_neg)", "roc": "sum((_tp - _pos / 2) * _neg)", "ap": "sum(_pos * _tp / (_tp + _fp))"}
+    totals = ranked.groupBy(*keys).agg(*[F.expr(value).alias(name) for name, value in sums.items()])
     return totals.selectExpr(
+        *named,
         "CASE WHEN p > 0 AND n > 0 THEN roc / (p * n) END AS roc_auc", "CASE WHEN p > 0 AND n > 0 THEN ap / p END AS pr_auc"
     )
 
@@ -167,11 +197,21 @@ def threshold_sweep(
     df: DataFrame, label: str = "y_true", score: str = "y_prob", thresholds: Iterable[float] | None = None,
     *, with_auc: bool = True, rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Metrics at every candidate threshold from one pass over the scores.
+    """Metrics at every candidate threshold from one pass over the scores."""
+    table = sweep_by_group(df, [], label, score, thresholds, with_auc=False)
+    return _beside(table, auc(df, label, score, rows_per_chunk=rows_per_chunk)) if with_auc else table
+
+
+def sweep_by_group(
+    df: DataFrame, keys: Sequence[str], label: str = "y_true", score: str = "y_prob", thresholds: Iterable[float] | None = None,
+    *, with_auc: bool = True, rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """``threshold_sweep`` of every group.
 
     Each score falls into the bucket of the largest threshold it reaches, so the data is
     reduced to one count pair per bucket before anything is shuffled.
     """
+    keys = list(keys)
     grid = default_thresholds() if thresholds is None else sorted({float(t) for t in thresholds})
     if not grid:
         raise ValueError("no candidate thresholds")
@@ -179,22 +219,26 @@ def threshold_sweep(
         raise ValueError("thresholds must lie in [0, 1]")
     steps = F.array(*[F.lit(t) for t in grid])
     reached = F.expr(_thresholds_reached(score, grid))
-    histogram = df.groupBy(reached.alias("bucket")).agg(
+    histogram = df.groupBy(*keys, reached.alias("bucket")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    # At most len(grid) + 1 rows from here on; empty buckets are filled in.
-    slots = df.sparkSession.range(0, len(grid) + 1, 1, 1).selectExpr("int(id) AS bucket")
-    filled = slots.join(F.broadcast(histogram), "bucket", "left").na.fill(0, ["pos", "neg"])
-    upward = "OVER (PARTITION BY 0 ORDER BY bucket DESC ROWS UNBOUNDED PRECEDING)"
+    # At most len(grid) + 1 rows of a group from here on; empty buckets are filled in.
+    named = [f"`{k}`" for k in keys]
+    listed = histogram.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("pos", "neg")))).alias("_of"))
+    filled = listed.selectExpr(*named, "_of", f"explode(sequence(0, {len(grid)})) AS bucket").selectExpr(
+        *named, "bucket", "coalesce(_of[bucket].pos, 0L) AS pos", "coalesce(_of[bucket].neg, 0L) AS neg"
+    )
+    group = f"PARTITION BY {', '.join(named) or '0'}"
+    upward = f"OVER ({group} ORDER BY bucket DESC ROWS UNBOUNDED PRECEDING)"
     counted = filled.selectExpr(
-        "bucket", f"sum(pos) {upward} AS tp", f"sum(neg) {upward} AS fp",
-        "sum(pos) OVER (PARTITION BY 0) AS p", "sum(neg) OVER (PARTITION BY 0) AS n",
+        *named, "bucket", f"sum(pos) {upward} AS tp", f"sum(neg) {upward} AS fp",
+        f"sum(pos) OVER ({group}) AS p", f"sum(neg) OVER ({group}) AS n",
     ).filter("bucket > 0")
     table = counted.select(
-        F.element_at(steps, F.col("bucket")).alias("threshold"), "tp", "fp",
+        *keys, F.element_at(steps, F.col("bucket")).alias("threshold"), "tp", "fp",
         (F.col("n") - F.col("fp")).alias("tn"), (F.col("p") - F.col("tp")).alias("fn"),
-    ).selectExpr("threshold", *COUNTS, *rates.aliased(rates.HEADLINE), *rates.aliased(rates.CONFUSION)).select(*SWEEP_COLUMNS)
-    return _beside(table, auc(df, label, score, rows_per_chunk=rows_per_chunk)) if with_auc else table
+    ).selectExpr(*named, "threshold", *COUNTS, *rates.aliased(rates.HEADLINE), *rates.aliased(rates.CONFUSION)).select(*keys, *SWEEP_COLUMNS)
+    return _joined(table, auc_by_group(df, keys, label, score, rows_per_chunk=rows_per_chunk), keys) if with_auc else table
 
 
 def best_of_sweep(sweep: DataFrame, optimize_for: str = "f1") -> DataFrame:
@@ -205,6 +249,15 @@ def best_of_sweep(sweep: DataFrame, optimize_for: str = "f1") -> DataFrame:
     return ranked.limit(1).withColumns({"optimize_for": F.lit(optimize_for), "best_score": F.col(optimize_for)})
 
 
+def best_by_group(sweep: DataFrame, keys: Sequence[str], optimize_for: str = "f1") -> DataFrame:
+    """``best_of_sweep`` of every group of a keyed sweep."""
+    if optimize_for not in config.TUNABLE_METRICS:
+        raise ValueError(f"unsupported optimize_for={optimize_for!r}; known: {sorted(config.TUNABLE_METRICS)}")
+    order = [F.desc(optimize_for), F.desc("recall"), F.desc("precision"), F.asc("threshold")]
+    ranked = sweep.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter("_place = 1").drop("_place").withColumns({"optimize_for": F.lit(optimize_for), "best_score": F.col(optimize_for)})
+
+
 def best_threshold(
     df: DataFrame, label: str = "y_true", score: str = "y_prob", optimize_for: str = "f1",
     thresholds: Iterable[float] | None = None, *, rows_per_chunk: int = ROWS_PER_CHUNK,

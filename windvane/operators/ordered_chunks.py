@@ -21,16 +21,18 @@ the task that owns their chunk.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from windvane.session import materialize, small_result, small_side
+from windvane.session import materialize, measured, small_result, small_side
 
 ROWS_PER_CHUNK = 1_000_000
 SAMPLES = 16
 FANOUT = 64
-SELECT_CELLS = 64  # cells per history, at least, when positions are looked up
+# Order statistics: cells per long history, at least, and rows of a history that may be sorted as one record.
+SELECT_CELLS, GATHER_ROWS = 64, 1 << 16
 
 CHUNK, BEFORE = "_chunk", "_before"
 _AT, _NODE = "_at", "_node"
@@ -58,12 +60,11 @@ def _ordering(order: list[str]) -> list[Column]:
 class SplitterTree:
     """Sorted splitters per history, as one small table per level.
 
-    ``table`` has the keys, ``_j`` (1, 2, ... in order) and ``_low``; a NULL ``_low`` precedes everything.
+    ``table`` has the keys, ``_j`` (1, 2, ... in order, ``last`` at most) and ``_low``; a NULL ``_low`` precedes everything.
     """
 
-    def __init__(self, table: DataFrame, keys: list[str]):
+    def __init__(self, table: DataFrame, keys: list[str], last: int):
         self.keys = keys
-        last = table.agg(F.max("_j")).first()[0] or 0
         block = 1
         while block * FANOUT <= last:
             block *= FANOUT
@@ -109,19 +110,18 @@ class _Cells:
         in_order = Window.partitionBy(*keys).orderBy("_low")
         denser, last = 1, False
         while True:
-            table = materialize(picked.withColumn("_j", F.row_number().over(in_order)))
-            tree = SplitterTree(table, keys)
+            table, most = measured(picked.withColumn("_j", F.row_number().over(in_order)), last=F.max("_j"))
+            tree = SplitterTree(table, keys, most["last"] or 0)
             located = tree.locate(rows, "_cell")
             measures = [F.count(F.lit(1)).alias("_rows"), F.min("_hash").alias("_h0"), F.max("_hash").alias("_h1"), F.min("_every").alias("_every")]
             measures += [F.sum(f"`{name}`").alias(f"_sum{i}") for i, name in enumerate(sums)]
-            cells = materialize(located.groupBy(*keys, "_cell").agg(*measures))
-            crowded = cells.filter((F.col("_rows") > full) & (F.col("_h0") < F.col("_h1")))
-            finest = crowded.agg(F.max(F.col("_every"))).first()[0]
-            if finest is None or last:
+            crowded = (F.col("_rows") > full) & (F.col("_h0") < F.col("_h1"))
+            cells, most = measured(located.groupBy(*keys, "_cell").agg(*measures), every=F.max(F.when(crowded, F.col("_every"))))
+            if most["every"] is None or last:
                 break
             denser *= SAMPLES
-            last = finest <= denser
-            named = small_side(crowded.select(*_renamed(keys), F.col("_cell").alias("_r_cell")))
+            last = most["every"] <= denser
+            named = small_side(cells.filter(crowded).select(*_renamed(keys), F.col("_cell").alias("_r_cell")))
             again = located.join(named, _same(keys, ("_cell", "_r_cell"))).filter(F.pmod("_hash", F.greatest(F.lit(1), F.expr(f"_every div {denser}"))) == 0)
             picked = table.select(*keys, "_low").unionByName(again.select(*keys, F.col(_AT).alias("_low"))).distinct()
         upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -140,9 +140,8 @@ def _slim(df: DataFrame, keys: list[str], order: list[str], *more: str) -> DataF
 
 def _of_histories(slim: DataFrame, histories: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the given histories, with their ``_every``."""
-    if not keys:
-        every = histories.first()["_every"]
-        return slim.withColumn("_every", F.lit(every))
+    if not keys:  # one history: whole table
+        return slim.withColumn("_every", F.lit(histories.first()["_every"]))
     return slim.join(small_side(histories.select(*_renamed(keys), "_every")), _same(keys)).drop(*[f"_r_{k}" for k in keys])
 
 
@@ -160,6 +159,7 @@ class OrderedChunks:
     halo: int = 0
     sums: list[str] = field(default_factory=list)
     chunks: DataFrame | None = None
+    last: int = 0  # highest chunk number
 
     @classmethod
     def plan(
@@ -174,16 +174,16 @@ class OrderedChunks:
     ) -> "OrderedChunks":
         keys, order, sums = list(keys), list(order), list(sums or [])
         slim = _slim(df, keys, order, *sums)
-        sizes = materialize(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
         long = F.col("_rows") > rows_per_chunk
-        total, n_long = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count_if(long)).first()
-        layout = cls(keys, order, total, halo, sums)
-        if n_long:
+        sizes, found = measured(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), total=F.sum("_rows"), long=F.count_if(long))
+        layout = cls(keys, order, found["total"] or 0, halo, sums)
+        if found["long"]:
             every = max(1, rows_per_chunk // SAMPLES)
             rows = _of_histories(slim, sizes.filter(long).withColumn("_every", F.lit(every)), keys)
             # Cells of at most half the limit, packed by the half in which they start, never exceed it.
             half = max(1, rows_per_chunk // 2)
-            layout.chunks = layout._packed(_Cells.count(rows, keys, sums, half).table, half)
+            layout.chunks, most = measured(layout._packed(_Cells.count(rows, keys, sums, half).table, half), last=F.max(CHUNK))
+            layout.last = most["last"]
         return layout
 
     def _packed(self, cells: DataFrame, half: int) -> DataFrame:
@@ -192,14 +192,14 @@ class OrderedChunks:
         pack = F.floor(F.col("_start") / half)
         marked = cells.withColumns({"_reach": F.last("_low").over(earlier), "_first": F.coalesce(pack != F.lag(pack).over(by_cell), F.lit(True))})
         chunks = marked.filter("_first").withColumn(CHUNK, F.row_number().over(by_cell) - 1)
-        return materialize(chunks.select(*self.keys, CHUNK, "_low", "_reach", "_start", *[f"_sum{i}" for i in range(len(self.sums))]))
+        return chunks.select(*self.keys, CHUNK, "_low", "_reach", "_start", *[f"_sum{i}" for i in range(len(self.sums))])
 
     @property
     def trivial(self) -> bool:
         return self.chunks is None
 
     def _tree(self, low: str) -> SplitterTree:
-        return SplitterTree(self.chunks.filter(F.col(CHUNK) > 0).select(*self.keys, F.col(CHUNK).alias("_j"), F.col(low).alias("_low")), self.keys)
+        return SplitterTree(self.chunks.filter(F.col(CHUNK) > 0).select(*self.keys, F.col(CHUNK).alias("_j"), F.col(low).alias("_low")), self.keys, self.last)
 
     def located(self, df: DataFrame) -> DataFrame:
         """Add ``_chunk`` of every row (0 in short histories)."""
@@ -232,11 +232,30 @@ def rows_at(
     """Order-column values of the rows at some 0-based positions of each history, in all histories at once.
 
     ``sizes`` has the keys and ``_rows``, ``positions`` the keys and ``_position``; both are small, one row or a few per
-    history. Every history is divided into cells, a small share of it and at most ``rows_per_chunk`` rows, and only the
-    cells that hold a wanted position are sorted. Returns keys, ``_position`` and the order columns.
+    history. A history above ``GATHER_ROWS`` rows is divided into cells, a small share of it and at most
+    ``rows_per_chunk`` rows, and only the cells that hold a wanted position are sorted. Returns keys, ``_position`` and the order columns.
     """
-    every = F.greatest(F.lit(1), F.least(F.expr(f"_rows div {SELECT_CELLS}"), F.lit(rows_per_chunk // SAMPLES))).cast("long")
     slim = _slim(df, keys, order)
+    long = sizes.filter(F.col("_rows") > GATHER_ROWS)
+    short = sizes.filter(F.col("_rows") <= GATHER_ROWS)
+    named = [F.col(f"_r_{k}").alias(k) for k in keys]
+    parts = []
+    if short.head(1):
+        # Histories of a bounded size, gathered and sorted each in one record.
+        own = slim if not keys else slim.join(small_side(short.select(*_renamed(keys))), _same(keys), "left_semi")
+        lists = own.groupBy(*_renamed(keys)).agg(F.sort_array(F.collect_list(_AT)).alias("_list"))
+        asked = positions.withColumnsRenamed({k: f"_p_{k}" for k in keys})
+        met = F.expr(" AND ".join(f"`_r_{k}` <=> `_p_{k}`" for k in keys)) if keys else F.col("_position") < F.size("_list")
+        parts.append(lists.join(small_side(asked), met).select(*named, "_position", F.col("_list")[F.col("_position").cast("int")].alias(_AT)))
+    if long.head(1):
+        parts.append(_rows_in_cells(slim, keys, long, positions, rows_per_chunk))
+    found = reduce(DataFrame.unionByName, parts) if parts else positions.filter("false").join(slim.select(_AT).limit(0))
+    return found.select(*keys, "_position", *[F.col(f"{_AT}.v{i}").alias(name) for i, name in enumerate(order)])
+
+
+def _rows_in_cells(slim: DataFrame, keys: list[str], sizes: DataFrame, positions: DataFrame, rows_per_chunk: int) -> DataFrame:
+    """Keys, ``_position`` and ``_at`` of the rows at positions of long histories."""
+    every = F.greatest(F.lit(1), F.least(F.expr(f"_rows div {SELECT_CELLS}"), F.lit(rows_per_chunk // SAMPLES))).cast("long")
     cells = _Cells.count(_of_histories(slim, sizes.withColumn("_every", every), keys), keys, [], rows_per_chunk)
     inside = F.expr("_position >= _start AND _position < _start + _rows")
     if keys:
@@ -244,14 +263,16 @@ def rows_at(
     else:  # one history: its positions are a few numbers
         asked = F.array(*[F.lit(r["_position"]).cast("long") for r in positions.collect()])
         met = cells.table.withColumn("_position", F.explode(asked)).filter(inside)
-    held = materialize(met.select(
-        *([f"_r_{k}" for k in keys]), F.col("_cell").alias("_r_cell"), "_position", (F.col("_position") - F.col("_start")).alias("_nth")
+    held = small_result(met.select(
+        *[f"_r_{k}" for k in keys], F.col("_cell").alias("_r_cell"), "_position", (F.col("_position") - F.col("_start")).alias("_nth")
     ))
-    named = small_side(held.select(*[f"_r_{k}" for k in keys], "_r_cell").distinct())
-    within = cells.tree.locate(cells.rows, "_cell").join(named, _same(keys, ("_cell", "_r_cell"))).drop(*[f"_r_{k}" for k in keys], "_r_cell")
-    ranked = within.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(_AT)) - 1)
-    hits = ranked.join(small_side(held), _same(keys, ("_cell", "_r_cell"), ("_place", "_nth")))
-    return hits.select(*keys, "_position", *[F.col(f"{_AT}.v{i}").alias(name) for i, name in enumerate(order)])
+    within = cells.tree.locate(cells.rows, "_cell").join(held, _same(keys, ("_cell", "_r_cell")), "left_semi")
+    # Rows that repeat an order value are one from here on.
+    values = within.groupBy(*keys, "_cell", _AT).agg(F.count(F.lit(1)).alias("_times"))
+    upto = Window.partitionBy(*keys, "_cell").orderBy(_AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.withColumn("_upto", F.sum("_times").over(upto))
+    covers = F.expr("_nth < _upto AND _nth >= _upto - _times")
+    return ranked.join(held, _same(keys, ("_cell", "_r_cell")) & covers).select(*keys, "_position", _AT)
 
 
 def with_rank(

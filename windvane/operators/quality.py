@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windvane import config
-from windvane.operators.ordered_chunks import BEFORE, CHUNK, ROWS_PER_CHUNK, OrderedChunks
+from windvane.operators.ordered_chunks import ROWS_PER_CHUNK, rows_at
 from windvane.operators.selection import feature_columns
-from windvane.session import require_columns, small_result
+from windvane.session import materialize, require_columns, small_side
 
 
 def _as_rows(one_row: DataFrame, entries: dict[str, dict[str, Column]], label: str) -> DataFrame:
@@ -137,15 +138,20 @@ def schema_validation(df: DataFrame, groups: dict[str, Sequence[str]] = COLUMN_G
     )
 
 
-def label_validation(df: DataFrame) -> DataFrame:
-    """Violations per labelling rule; all zero on a sound table."""
-    require_columns(df, *config.LABEL_COLUMNS)
+def label_rules() -> dict[str, Column]:
+    """What breaks each labelling rule."""
     known = list(config.STATE_CODES.values())
     odd_target = F.col("target").isNotNull() & ~F.col("target").isin(0.0, 1.0)
-    rules = {
+    return {
         "unknown_state": F.col("state_label").isNotNull() & ~F.col("state_label").isin(known),
         "non_binary_target": ~F.col("is_excluded_buffer") & odd_target,
     }
+
+
+def label_validation(df: DataFrame) -> DataFrame:
+    """Violations per labelling rule; all zero on a sound table."""
+    require_columns(df, *config.LABEL_COLUMNS)
+    rules = label_rules()
     counted = df.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
     return _as_rows(counted, {name: {"violations": F.col(name)} for name in rules}, "rule")
 
@@ -175,43 +181,23 @@ def exact_quantiles(
     df: DataFrame, keys: Sequence[str], column: str, quantiles: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0),
     *, rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group, without gathering a group.
+    """Exact, linearly interpolated quantiles per group, without gathering a large group.
 
-    Values collapse to (group, value, count) with map-side combine; cumulative counts run
-    chunk by chunk, and only the values at the wanted positions survive.
+    The two values around every quantile are looked up by their positions (``rows_at``): only values near them are
+    shuffled, however many distinct ones there are, and equal values are counted before they move.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(column).cast("double").alias("_value")).filter("_value IS NOT NULL AND NOT isnan(_value)")
-    layout = OrderedChunks.plan(rows, keys, ["_value"], rows_per_chunk=rows_per_chunk)
-    values = layout.assign(rows.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_times")))
-    running = Window.partitionBy(*keys, CHUNK).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    upto = values.select(*keys, "_value", "_times", (F.col(BEFORE) + F.sum("_times").over(running)).alias("_upto"))
-    totals = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    sized = upto.join(small_result(totals), match)
-    first, until = F.col("_upto") - F.col("_times"), F.col("_upto")
-
-    def covers(position: Column) -> Column:
-        return (first <= position) & (position < until)
-
-    def position(q: Column) -> Column:
-        return q * (F.col("_n") - 1)
-
-    ranks = F.array(*[F.lit(float(q)) for q in quantiles])
-    hit = F.filter(ranks, lambda q: covers(F.floor(position(q))) | covers(F.ceil(position(q))))
-    exploded = sized.filter(F.size(hit) > 0).select("*", F.explode(hit).alias("_q"))
-    at = position(F.col("_q"))
-
-    def value_at(place: Column) -> Column:
-        return F.max(F.when(covers(place), F.col("_value")))
-
-    picked = exploded.groupBy(*keys, "_q", "_n").agg(
-        value_at(F.floor(at)).alias("_low"), value_at(F.ceil(at)).alias("_high")
-    )
-    interpolated = F.col("_low") + (F.col("_high") - F.col("_low")) * (at - F.floor(at))
-    return picked.select(*keys, F.col("_q").alias("quantile"), interpolated.alias("value"))
+    sizes = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    asked = sizes.filter("_rows > 0").withColumn("quantile", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
+    asked = asked.withColumn("_exact", F.col("quantile") * (F.col("_rows") - 1))
+    at = F.explode(F.array_distinct(F.array(F.floor("_exact"), F.ceil("_exact")))).alias("_position")
+    found = rows_at(rows, keys, ["_value"], sizes, asked.select(*keys, at).distinct(), rows_per_chunk)
+    listed = found.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.map_from_entries(F.collect_list(F.struct("_position", "_value"))).alias("_at"))
+    match = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]) if keys else F.lit(True)
+    low, high = (F.col("_at")[place("_exact").cast("long")] for place in (F.floor, F.ceil))
+    value = low + (high - low) * (F.col("_exact") - F.floor("_exact"))
+    return asked.join(small_side(listed), match).select(*keys, "quantile", value.alias("value"))
 
 
 def box_summary(df: DataFrame, key: str, column: str, **options) -> DataFrame:

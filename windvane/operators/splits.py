@@ -65,12 +65,12 @@ def _split_at(df: DataFrame, order: list[str], val_from: tuple | None, test_from
 
 def _split_by_position(df: DataFrame, order: list[str], cuts: Callable[[int], tuple[int, int]], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Split the table at two exact positions of its sort order, without sorting it."""
-    sizes = df.agg(F.count(F.lit(1)).alias("_rows"))
-    total = sizes.first()["_rows"]
+    total = df.count()
     wanted = sorted({at for at in cuts(total) if at < total})
     found = {}
     if wanted:
         positions = df.sparkSession.createDataFrame([(at,) for at in wanted], "_position long")
+        sizes = df.sparkSession.createDataFrame([(total,)], "_rows long")
         found = {r["_position"]: tuple(r[c] for c in order) for r in rows_at(df, [], order, sizes, positions, rows_per_chunk).collect()}
     val_at, test_at = cuts(total)
     return _split_at(df, order, found.get(val_at), found.get(test_at))

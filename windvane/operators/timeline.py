@@ -36,7 +36,7 @@ def sorted_event_index(df: DataFrame, source_col: str | None = None) -> DataFram
 def _window_join(df: DataFrame, events: DataFrame, time: Column, before: float, after: float) -> DataFrame:
     """Telemetry rows inside each event's window, by (farm, asset) and time.
 
-    Events are spread over the days their window touches and joined on (farm, asset, day),
+    An event listed more than once counts once. Events are spread over the days their window touches and joined on (farm, asset, day),
     so a row meets only events near it, and a hot turbine is divided. The span of all
     windows is a literal filter that reaches the telemetry scan.
     """
@@ -45,7 +45,7 @@ def _window_join(df: DataFrame, events: DataFrame, time: Column, before: float,
     named = events.select(
         F.col("farm_id").alias("_e_farm"), F.col("asset_id").alias("_e_asset"), F.col("event_id").alias("_e_event"),
         F.col("event_label").alias("_e_label"), F.col("event_start").alias("_e_start"), F.col("event_end").alias("_e_end"),
-    ).filter(F.col("_e_start").isNotNull())
+    ).filter(F.col("_e_start").isNotNull()).distinct()
     same = (F.col("farm_id") == F.col("_e_farm")) & (F.col("asset_id") == F.col("_e_asset"))
     inside = (time >= low) & (time <= high)
     named = materialize(named)

@@ -29,13 +29,13 @@ def build_processed(
 def preprocess(
     spark: SparkSession, raw_root: str, processed_path: str, *,
     master_path: str | None = None, farms: FarmMap = FarmMap(), overwrite: bool = False,
-    buffer_before_hours: float = 0.0, buffer_after_hours: float = 0.0,
+    buffer_before_hours: float = 0.0, buffer_after_hours: float = 0.0, checks: dict[str, int] | None = None,
 ) -> str:
     """Read every farm, harmonize, derive, label and write; optionally consolidate.
 
     The harmonized table is written once as Parquet: it is a fraction of the raw text, it fixes
     the scan-order row ids, and the passes that size the histories read only the columns they
-    count. The copy goes when the run ends.
+    count. The copy goes when the run ends. ``checks`` receives the validation counts that the write takes.
     """
     if master_path is not None:
         writers.check_master_path(processed_path, master_path)
@@ -46,7 +46,9 @@ def preprocess(
             harmonized, readers.read_event_info(spark, raw_root, farms),
             buffer_before_hours=buffer_before_hours, buffer_after_hours=buffer_after_hours, event_order="event_seq",
         )
-        writers.write_processed(processed, processed_path, overwrite=overwrite)
+        counts = writers.write_checked(processed, processed_path, overwrite=overwrite)
+        if checks is not None:
+            checks.update(counts)
     finally:
         remove_folder(spark, folder)
     if master_path is not None:

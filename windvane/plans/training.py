@@ -104,6 +104,9 @@ class FaultModel:
         ensure_checkpoint_dir(train.sparkSession)
         weighted = train.withColumn("weight", _weight(self.model_type, train))
         self.fitted = _estimator(self.model_type, self.params, self.rows, self.seed).fit(weighted)
+        if self.model_type in ("logistic", "rf"):
+            # The training summary holds the session, which can't travel to executors once it has observed a write.
+            self.fitted.stages[-1]._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
         return self
 
     def _require_fit(self) -> PipelineModel:
@@ -125,9 +128,12 @@ class FaultModel:
             raise ValueError(f"unsupported optimize_for={optimize_for!r}")
         scores = self._scores(val)
         metrics.check_inputs(scores, "label", "y_prob")
-        self.sweep = metrics.threshold_sweep(scores, "label", "y_prob", thresholds)
-        self.tuning = metrics.best_of_sweep(self.sweep, optimize_for).first().asDict()
-        self.threshold = float(self.tuning["threshold"])
+        sweep = metrics.threshold_sweep(scores, "label", "y_prob", thresholds)
+        return self.tuned(metrics.best_of_sweep(sweep, optimize_for).first().asDict(), sweep)
+
+    def tuned(self, tuning: dict, sweep: DataFrame) -> float:
+        """Take the threshold of a sweep's best row."""
+        self.tuning, self.sweep, self.threshold = tuning, sweep, float(tuning["threshold"])
         return self.threshold
 
     def fit_and_tune(self, train: DataFrame, val: DataFrame, optimize_for: str = "f1", thresholds=None) -> float:

@@ -5,21 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 128 << 20
 
 
+def _text_size() -> Column:
+    return F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes (as text).
 
     The row limit stops the check early; a larger table is returned unhinted, so Spark
     shuffles the join (with AQE skew handling) instead.
     """
-    size = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
-    rows, taken = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    rows, taken = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_text_size()), F.lit(0))).first()
     return F.broadcast(df) if rows <= max_rows and taken <= max_bytes else df
 
 
@@ -43,6 +46,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize``, with aggregates of the rows taken in the same job."""
+    seen = Observation()
+    copy = materialize(df.observe(seen, *[m.alias(name) for name, m in metrics.items()]))
+    found = seen.get
+    if not found:  # an empty plan may drop the observation
+        found = copy.agg(*[m.alias(name) for name, m in metrics.items()]).first().asDict()
+    return copy, found
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder next to the checkpoints, reachable by every executor; it goes when the session's JVM ends."""
     ensure_checkpoint_dir(spark)
@@ -64,15 +77,16 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
-def stored(df: DataFrame, folder: str) -> DataFrame:
-    """``df`` written once as Parquet and read back: unlike a checkpoint, later scans are pruned and filtered."""
-    df.write.parquet(folder)
+def stored(df: DataFrame, folder: str, *parts: str) -> DataFrame:
+    """``df`` written once as Parquet (partitioned by ``parts``) and read back: unlike a checkpoint, later scans are pruned and filtered."""
+    df.write.partitionBy(*parts).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def small_result(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``small_side`` of an aggregate: computed once, then checked and joined from its copy."""
-    return small_side(materialize(df), max_rows)
+def small_result(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``small_side`` of an aggregate: computed once, sized by the same job, and joined from its copy."""
+    copy, size = measured(df, rows=F.count(F.lit(1)), bytes=F.coalesce(F.sum(_text_size()), F.lit(0)))
+    return F.broadcast(copy) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else copy
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
