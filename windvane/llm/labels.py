@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from windvane.llm.common import maybe_in, saved, text_rows
@@ -11,10 +11,10 @@ from windvane.llm.language_id import held_out
 FOLDS, HELD_OUT = 3, 1
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[DataFrame, dict[int, int]]:
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int | None = None) -> tuple[DataFrame, dict[int, int]]:
     """text, label and part (each 0 or 1) of about ``max_rows`` documents of each label, at most, none held out; and all labels' totals.
 
-    The bound is the classifiers' documented parameter; a label with fewer rows gives all of them. Rows are chosen by
+    The bounds are the classifiers' documented parameters (``max_bytes`` of text per label, if given); a label with fewer rows gives all of them. Rows are chosen by
     a hash of their id, so reruns agree. Of several labels of an id the largest counts; NULL ids and NULL labels don't.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -26,7 +26,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, max_row
     chosen = known.filter(draw < share).withColumn("part", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)).cast("int"))
     chosen = saved(chosen.withColumnRenamed("doc_id", "_id"), "chosen")
     likely = maybe_in(text_rows(documents), "doc_id", chosen, "_id")
-    return saved(likely.join(chosen, F.col("doc_id") == F.col("_id")).select("text", "label", "part"), "labelled"), totals
+    found = saved(likely.join(chosen, F.col("doc_id") == F.col("_id")).select("text", "label", "part"), "labelled")
+    if max_bytes is None:
+        return found, totals
+    # A few ten thousand rows: sizes and hashes only are put in order.
+    upto = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("label").orderBy("mark", "part").rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("mark", F.xxhash64("text")).withColumn("upto", upto).filter(F.col("upto") <= max_bytes).select("text", "label", "part"), totals
 
 
 def judged(scored: DataFrame, threshold: float) -> DataFrame:

@@ -7,8 +7,10 @@ is a calibrated function of the difference of its log likelihoods per word: of t
 stretch of ``STRETCH`` words and of one word, since a few words make a long text toxic. Words are seen twice, as they
 are and as their first ``STEM`` bytes, so that compounds and inflections of one stem share their evidence.
 
-All n-grams of the sample count, also those seen once. The models are Spark tables; every block of texts looks up the
-entries of its own distinct n-grams, so neither the driver nor a task holds a whole model.
+All n-grams of the sample count, also those seen once. They are counted once, per label and half of the sample; the two
+half models (for calibration) and the whole one are sums of those counts. The sample is bounded in documents and bytes,
+hence also the model: at most a bigram for every word and every stem, ten to twelve bytes each. It is packed into sorted
+arrays by Spark, part by part, and broadcast; a bigram is the pair of 32-bit hashes of its words.
 """
 
 from __future__ import annotations
@@ -19,45 +21,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windvane.llm.common import BITMAP_BITS, bitmap, saved, text_column, text_rows
+from windvane.llm.common import saved, text_column, text_rows
 from windvane.llm.labels import judged, labelled_sample
-from windvane.llm.lm_score import _blocked
 from windvane.llm.words import U64, mix, words_of
 
 MAX_ROWS = 10_000  # labelled documents per class, at most
+MAX_BYTES = 48 << 20  # of their texts per class, at most
 DISCOUNT = 0.75
 SHARED = 10.0  # shared backoff counts of every word, split by the classes' sizes
 STRENGTH = 50.0  # of the backoff from bigrams to words
 STRETCH = 8
 STEM = 5
 THRESHOLD = 0.7
-_START = U64(0x5BD1E995)
+_START = U64(0x5BD1E995)  # stands before a text's first word
+_HALF = U64(32)
 
 
-def _bigrams(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word before each word (a start mark at a text's begin), and their joint hash."""
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    first = (np.cumsum(counts) - counts)[counts > 0]
-    before[first] = _START
-    return before, mix(before * U64(0x9E3779B97F4A7C15) + hashes)
+def _bigrams(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The word before each word (a start mark at a text's begin) and the word, as one number."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[(np.cumsum(counts) - counts)[counts > 0]] = _START
+    return (before << _HALF) | words
 
 
 def _streams(column: pa.Array):
-    """Runs of texts: (first, last, words per text, hashes of words, hashes of stems)."""
+    """Runs of texts: (first, last, words per text, 32-bit hashes of words, of stems)."""
     for whole, stem in zip(words_of(column, kind="letters"), words_of(column, kind="letters", prefix=STEM)):
-        yield (*whole, mix(stem[3] ^ U64(0xA5A5A5A55A5A5A5A)))
+        yield (*whole[:3], whole[3] >> _HALF, mix(stem[3] ^ U64(0xA5A5A5A55A5A5A5A)) >> _HALF)
 
 
 def _count(batches):
-    names = ["u", "w", "label", "n"]
+    """Bigrams of runs of texts with their counts; ``of`` is twice the label and the half of the sample."""
     for batch in batches:
-        labels = batch.column(1).to_numpy()
+        of = batch.column(1).to_numpy()
         for first, last, counts, *streams in _streams(text_column(batch)):
-            for hashes in streams if len(streams[0]) else ():
-                before, _ = _bigrams(hashes, counts)
-                label = np.repeat(labels[first:last], counts)
-                yield pa.RecordBatch.from_arrays([pa.array(before.view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(label, pa.int32()), pa.array(np.ones(len(label), np.int64))], names=names)
+            for words in streams if len(streams[0]) else ():
+                pairs, own = _bigrams(words, counts), np.repeat(of[first:last], counts)
+                for k in np.unique(own):
+                    key, n = np.unique(pairs[own == k], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(n.astype(np.int32))], names=["key", "of", "n"])
+
+
+def counted(sample: DataFrame) -> DataFrame:
+    """key and n00, n01, n10, n11 (label, half) of every bigram."""
+    found = sample.select("text", (F.col("label") * 2 + F.col("part")).alias("of")).mapInArrow(_count, "key long, of int, n int")
+    sums = [F.sum(F.when(F.col("of") == 2 * c + h, F.col("n")).otherwise(0)).cast("int").alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)]
+    return saved(found.groupBy("key").agg(*sums), "pairs")
 
 
 def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,94 +78,80 @@ def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _model(texts: DataFrame) -> tuple[DataFrame, list[float]]:
-    """From ``text`` and ``label``: all entries of both classes' models, and the two probabilities of a word that has none.
+def _packed(table: DataFrame, key: str, values: list[str], kind) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their values (one row a column); parts are packed in tasks and arrive as a few binary records."""
+
+    def pack(batches):
+        parts = [[b.column(i).to_numpy() for i in range(1 + len(values))] for b in batches]
+        if parts:
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            numbers = np.stack(columns[1:]) if kind else np.stack(columns[1:]).astype(np.min_scalar_type(max(int(np.max(columns[1:])), 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([int(columns[0][0])]), pa.array([columns[0].tobytes()]), pa.array([numbers.tobytes()]), pa.array([numbers.dtype.str])], names=["first", "keys", "numbers", "type"])
+
+    placed = table.select(key, *values).repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    rows = placed.mapInArrow(pack, "first long, keys binary, numbers binary, type string").toArrow().sort_by("first")
+    keys = [np.frombuffer(k.as_py(), np.int64) for k in rows.column("keys")]
+    numbers = [np.frombuffer(n.as_py(), t.as_py()).reshape(len(values), -1) for n, t in zip(rows.column("numbers"), rows.column("type"))]
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros((len(values), 0), np.float32)
+    return np.concatenate(keys), np.concatenate(numbers, axis=1)
 
-    Entries have kind and key: words (0) with two probabilities x and two backoff weights y, bigrams (1) with two
-    discounted shares x. Counting, continuation counts and sums are Spark aggregates.
+
+def model_of(pairs: DataFrame, halves: tuple[int, ...]) -> KneserNey:
+    """Both classes' models from the counts of one or both halves of the sample.
+
+    Continuation counts and sums are Spark aggregates over the bigrams; words get two probabilities and two backoff
+    weights, bigrams keep their two counts.
     """
-    n = [F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
-    pairs = saved(texts.select("text", "label").mapInArrow(_count, "u long, w long, label int, n long").groupBy("u", "w").agg(*n), "pairs")
+    total = lambda c: sum((F.col(f"n{c}{h}") for h in halves), F.lit(0))
+    used = pairs.select("key", total(0).alias("n0"), total(1).alias("n1")).filter("n0 + n1 > 0")
+    ends = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")
+    starts = F.shiftrightunsigned("key", 32).alias("word")
     seen = [F.sum((F.col(f"n{c}") > 0).cast("long")) for c in (0, 1)]
-    ends = pairs.groupBy(F.col("w").alias("word")).agg(seen[0].alias("c0"), seen[1].alias("c1"), F.count(F.lit(1)).alias("c"))
-    starts = pairs.groupBy(F.col("u").alias("word")).agg(seen[0].alias("k0"), seen[1].alias("k1"), F.sum("n0").alias("m0"), F.sum("n1").alias("m1"))
-    kinds = ends.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("c0", "c1", "c")], F.count(F.lit(1)), *[F.coalesce(F.sum((F.col(x) > 0).cast("long")), F.lit(0)) for x in ("c0", "c1")]).first()
-    total, vocabulary, of_class = kinds[2] or 1, kinds[3] or 1, (kinds[4] or 1, kinds[5] or 1)
-    x, y, share, rare = [], [], [], []
+    after = used.groupBy(ends).agg(seen[0].alias("c0"), seen[1].alias("c1"), F.count(F.lit(1)).alias("c"))
+    before = used.groupBy(starts).agg(seen[0].alias("k0"), seen[1].alias("k1"), F.sum("n0").alias("m0"), F.sum("n1").alias("m1"))
+    table = saved(after.join(before, "word", "outer").fillna(0), "words")
+    kinds = table.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("c0", "c1", "c")], F.count_if(F.col("c") > 0), *[F.count_if(F.col(x) > 0) for x in ("c0", "c1")]).first()
+    every, vocabulary, of_class = kinds[2] or 1, kinds[3] or 1, (kinds[4] or 1, kinds[5] or 1)
+    values, rare = [], []
     for c in (0, 1):
-        part = (kinds[c] or 1) / total
+        part = (kinds[c] or 1) / every
         mass = kinds[c] + SHARED * vocabulary * part
-        own = F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0)) + F.col("c") * (DISCOUNT * of_class[c] / total) + SHARED * part
-        x.append((own / mass).cast("float").alias(f"x{c}"))
-        # A word that is in no table has the shared counts only.
-        rare.append(SHARED * part / mass)
+        own = F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0)) + F.col("c") * (DISCOUNT * of_class[c] / every) + SHARED * part
+        values.append((own / mass).cast("float").alias(f"x{c}"))
+        rare.append(SHARED * part / mass)  # a word that is in no table has the shared counts only
+    for c in (0, 1):
         m = F.col(f"m{c}") + STRENGTH
-        y.append(((F.col(f"k{c}") * DISCOUNT + STRENGTH) / m).cast("float").alias(f"y{c}"))
-        share.append((F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / m).cast("float").alias(f"x{c}"))
-    words = ends.join(starts, "word", "outer").fillna(0).select(F.lit(0).alias("kind"), F.col("word").alias("key"), *x, *y)
-    wide = pairs.join(starts.select(F.col("word").alias("u"), "m0", "m1"), "u").mapInArrow(_joined, "key long, n0 long, n1 long, m0 long, m1 long")
-    wide = wide.select(F.lit(1).alias("kind"), "key", *share, *[F.lit(0.0).cast("float").alias(f"y{c}") for c in (0, 1)])
-    return saved(words.unionByName(wide), "entries"), rare
-
-
-def _joined(batches):
-    """Bigrams with the joint hash of their words."""
-    names = ["n0", "n1", "m0", "m1"]
-    for batch in batches:
-        u, w = (batch.column(batch.schema.get_field_index(c)).to_numpy().view(np.uint64) for c in ("u", "w"))
-        key = mix(u * U64(0x9E3779B97F4A7C15) + w)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[batch.column(batch.schema.get_field_index(c)) for c in names]], names=["key", *names])
-
-
-def _wanted(bits):
-    """Distinct n-grams of every block (of a batch) that may have an entry: block, kind, key."""
-
-    def find(batches):
-        for batch in batches:
-            column, blocks = text_column(batch), batch.column(batch.schema.get_field_index("block")).to_numpy()
-            for block in np.unique(blocks):
-                rows = np.flatnonzero(blocks == block)
-                found = ([np.array([_START])], [])
-                for _, _, counts, *streams in _streams(column.slice(rows[0], len(rows))):
-                    for hashes in streams if len(streams[0]) else ():
-                        found[0].append(np.unique(hashes))
-                        found[1].append(np.unique(_bigrams(hashes, counts)[1]))
-                for kind in (0, 1) if found[1] else ():
-                    keys = np.unique(np.concatenate(found[kind]))
-                    bit = keys & U64(BITMAP_BITS - 1)
-                    keys = keys[(bits.value[bit >> U64(6)] >> (bit & U64(63)) & U64(1)).astype(bool)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64))], names=["block", "kind", "key"])
-
-    return find
+        values += [((F.col(f"k{c}") * DISCOUNT + STRENGTH) / m).cast("float").alias(f"y{c}"), m.cast("float").alias(f"m{c}")]
+    words, numbers = _packed(table.select("word", *values), "word", ["x0", "x1", "y0", "y1", "m0", "m1"], np.float32)
+    keys, n = _packed(used, "key", ["n0", "n1"], None)
+    # Keys are unsigned: those with the highest bit come last.
+    turn = int(np.searchsorted(keys, 0))
+    keys, n = np.concatenate([keys[turn:], keys[:turn]]).view(np.uint64), np.concatenate([n[:, turn:], n[:, :turn]], axis=1)
+    return KneserNey(words.view(np.uint64), numbers, np.array(rare, np.float32), keys, n)
 
 
 class KneserNey:
-    """Two classes' models as sorted tables: words (two probabilities, two backoff weights), bigrams (two discounted shares)."""
+    """Two classes' models as sorted arrays: words (two probabilities, backoff weights and masses), bigrams (two counts)."""
 
-    def __init__(self, words, unigram, backoff, rare, pairs, share):
-        self.words, self.unigram, self.backoff, self.rare, self.pairs, self.share = words, unigram, backoff, rare, pairs, share
-
-    @classmethod
-    def of(cls, entries: pa.Table, rare: list[float]) -> KneserNey:
-        """From the entries of some n-grams; all others count as not there."""
-        kind, key = entries.column("kind").to_numpy(), entries.column("key").to_numpy().view(np.uint64)
-        x, y = (np.array([entries.column(f"{n}{c}").to_numpy() for c in (0, 1)], np.float32) for n in "xy")
-        word, pair = (at[np.argsort(key[at])] for at in (np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)))
-        return cls(key[word], x[:, word], y[:, word], np.array(rare, np.float32), key[pair], x[:, pair])
+    def __init__(self, words, numbers, rare, pairs, counts):
+        self.words, self.numbers, self.rare, self.pairs, self.counts = words, numbers, rare, pairs, counts
 
     def _ratio(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Log likelihood ratio of every word."""
-        before, joint = _bigrams(hashes, counts)
-        at, there = _look(self.words, hashes)
-        from_, known = _look(self.words, before)
+        joint, back = np.unique(_bigrams(hashes, counts), return_inverse=True)
+        at, there = _look(self.words, joint & U64(0xFFFFFFFF))
+        from_, known = _look(self.words, joint >> _HALF)
         pair, met = _look(self.pairs, joint)
         logs = []
         for c in (0, 1):
-            p = np.where(there, self.unigram[c][at], self.rare[c]) if len(self.words) else np.full(len(hashes), self.rare[c])
-            p = p * np.where(known, self.backoff[c][from_], 1.0) if len(self.words) else p
-            p = p + np.where(met, self.share[c][pair], 0.0) if len(self.pairs) else p
+            p = np.where(there, self.numbers[c][at], self.rare[c]) if len(self.words) else np.full(len(joint), self.rare[c])
+            p = p * np.where(known, self.numbers[2 + c][from_], 1.0) if len(self.words) else p
+            if len(self.pairs):
+                share = np.maximum(self.counts[c][pair] - DISCOUNT, 0.0) / self.numbers[4 + c][from_]
+                p = p + np.where(met, share, 0.0)
             logs.append(np.log(p))
-        return logs[1] - logs[0]
+        return (logs[1] - logs[0])[back]
 
     def features(self, column: pa.Array) -> np.ndarray:
         """Per text: log likelihood ratio per word, of the highest stretch, of the highest word, log of the number of words."""
@@ -193,19 +189,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
-def _featured(texts: DataFrame, keep: str, model: tuple[DataFrame, list[float]]) -> DataFrame:
-    """Features of all texts (a stored table: it is scanned twice), and the column to keep with its type."""
-    entries, rare = model
+def _featured(texts: DataFrame, keep: str, model: KneserNey) -> DataFrame:
+    """Features of all texts, and the column to keep with its type."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
     name = keep.split()[0]
-    docs = texts.select(name, "text").mapInArrow(_blocked, f"{keep}, text string, block long")
-    bits = texts.sparkSession.sparkContext.broadcast(bitmap(entries, "key", hashed=True))
-    found = docs.mapInArrow(_wanted(bits), "block long, kind int, key long").join(entries, ["kind", "key"])
 
-    def score(key, docs, own):
-        x = KneserNey.of(own, rare).features(text_column(docs))
-        return pa.table({name: docs.column(name), **{c: x[:, k] for k, c in enumerate(_COLUMNS)}})
+    def score(batches):
+        for batch in batches:
+            x = shared.value.features(text_column(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(FEATURES)]], names=[name, *_COLUMNS])
 
-    return docs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, f"{keep}, {_TYPES}")
+    return texts.select(name, "text").mapInArrow(score, f"{keep}, {_TYPES}")
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
@@ -217,13 +211,12 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic
     * NULL and empty texts have no evidence and get the calibration's value for it; so do all texts if one of the
       classes has no labelled text (then 0).
     * Repeated rows are scored each on their own. An empty table gives an empty result. Other columns are not read.
-    * Texts are scanned twice and have to be the same both times (a stored table).
     """
-    sample, totals = labelled_sample(documents, labels, label, max_rows)
+    sample, totals = labelled_sample(documents, labels, label, max_rows, MAX_BYTES)
+    pairs = counted(sample)
     halves = []
     for part in (0, 1):
-        other = _model(sample.filter(F.col("part") != part))
-        halves.append(_featured(sample.filter(F.col("part") == part), "label int", other).toPandas())
+        halves.append(_featured(sample.filter(F.col("part") == part), "label int", model_of(pairs, (1 - part,))).toPandas())
     fitted = pd.concat(halves)
     y = fitted["label"].to_numpy(float)
     beta = np.array([0.0] * FEATURES + [-30.0])
@@ -231,7 +224,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic
         share = {c: totals[c] / max(1, (y == c).sum()) for c in (0, 1)}
         weight = np.where(y == 1, share[1], share[0])
         beta = _logistic(fitted[_COLUMNS].to_numpy(), y, weight * len(y) / weight.sum())
-    scored = _featured(text_rows(documents), "doc_id long", _model(sample))
+    scored = _featured(text_rows(documents), "doc_id long", model_of(pairs, (0, 1)))
     line = F.lit(float(beta[-1])) + sum(F.lit(float(b)) * F.col(c) for b, c in zip(beta, _COLUMNS))
     scored = scored.withColumn("score", 1 / (1 + F.exp(-line)))
     return judged(scored, THRESHOLD)
