@@ -45,12 +45,71 @@ def test_classifiers(spark):
         assert function(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def _sample(spark, rows):
+    sample = spark.createDataFrame(rows, "text string, label int, part int")
+    pairs = toxicity.counted(sample)
+    return toxicity.Sample(pairs, toxicity.packed_words(pairs))
+
+
 def test_toxicity_keeps_rare_ngrams(spark):
     """Every word and bigram of the sample has an entry, also those seen once."""
-    docs = spark.createDataFrame([("vile brute once", 1), ("calm kind words", 0)], "text string, label int")
-    entries, _ = toxicity._model(docs)
+    sample = _sample(spark, [("vile brute once", 1, 0), ("calm kind words", 0, 1)])
+    model = sample.model(2)
     # Per stream six words, the start mark (shared by both), and six bigrams.
-    assert {r["kind"]: r["count"] for r in entries.groupBy("kind").count().collect()} == {0: 13, 1: 12}
+    assert (len(model.words), len(model.pairs)) == (13, 12)
     held = spark.createDataFrame([(1, "brute once"), (2, "kind words"), (3, "")], "doc_id long, text string")
-    ratio = {r["doc_id"]: r["x0"] for r in toxicity._featured(held, "doc_id long", toxicity._model(docs)).collect()}
+    shared = spark.sparkContext.broadcast(sample)
+    ratio = {r["doc_id"]: r["x0"] for r in toxicity._featured(held, "doc_id long", shared, 2).collect()}
     assert ratio[1] > 0 > ratio[2] and ratio[3] == 0
+
+
+def test_kneser_ney_against_counts_by_hand(spark):
+    """Probabilities of both classes from dictionaries; the models of the halves too."""
+    rows = [("so bad so bad you fool", 1, 0), ("you fool, so it goes", 1, 1), ("it is so kind of you", 0, 0), ("so kind you fool nobody", 0, 1), ("kind kind words", 0, 0)]
+    sample = _sample(spark, rows)
+    asked = "so bad of you fool unseen words kind"
+    for which, halves in enumerate(toxicity.MODELS):
+        pairs = ({}, {})
+        for text, label, part in rows:
+            if part in halves:
+                for stream in (lambda w: ("w", w), lambda w: ("s", w[:5])):
+                    own = [stream(w) for w in "".join(c if c.isalnum() else " " for c in text).split()]
+                    for u, w in zip(["start", *own], own):
+                        pairs[label][u, w] = pairs[label].get((u, w), 0) + 1
+        union = set(pairs[0]) | set(pairs[1])
+        words = {w for _, w in union}
+        ends = lambda of, w: sum(x == w for _, x in of)
+        logs = []
+        for c in (0, 1):
+            part = len(pairs[c]) / len(union)
+            mass = len(pairs[c]) + toxicity.SHARED * len(words) * part
+            kinds = len({w for _, w in pairs[c]})
+
+            def single(w):
+                own = ends(pairs[c], w)
+                return (max(own - 0.75, 0) + ends(union, w) * 0.75 * kinds / len(union) + toxicity.SHARED * part) / mass
+
+            def after(u, w):
+                m = [sum(n for (x, _), n in pairs[k].items() if x == u) for k in (0, 1)]
+                total = m[c] + sum(m) * toxicity.SHARED * part + toxicity.STRENGTH * part
+                back = sum(x == u for x, _ in pairs[c]) * 0.75 + toxicity.STRENGTH * part
+                own, both = pairs[c].get((u, w), 0), sum(p.get((u, w), 0) for p in pairs)
+                return (max(own - 0.75, 0) + toxicity.SHARED * part * both + back * single(w)) / total
+
+            for u in ("start", ("w", "so"), ("s", "kind")):
+                seen = sum(after(u, w) for w in words)
+                assert math.isclose(seen + (1 - sum(map(single, words))) * (after(u, None) / single(None)), 1.0, rel_tol=1e-9)
+            logs.append([math.log(after(u, w)) for stream in (lambda w: ("w", w), lambda w: ("s", w[:5])) for own in [[stream(w) for w in asked.split()]] for u, w in zip(["start", *own], own)])
+        wanted = (sum(logs[1]) - sum(logs[0])) / len(asked.split())
+        held = spark.createDataFrame([(1, asked)], "doc_id long, text string")
+        got = toxicity._featured(held, "doc_id long", spark.sparkContext.broadcast(sample), which).first()["x0"]
+        assert math.isclose(got, wanted, rel_tol=1e-4), which
+
+
+def test_toxicity_with_one_class_and_repeated_texts(spark):
+    docs = spark.createDataFrame([(i, "some words " * (40_000 if i == 3 else 1)) for i in (1, 2, 3, 3, None)] + [(9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "doc_id long, toxic int")
+    rows = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(rows) == 6 and all(r["score"] < 1e-9 and r["predicted"] == 0 for r in rows)
+    both = toxicity.toxicity_scores(docs, labels.unionByName(spark.createDataFrame([(7, 1)], "doc_id long, toxic int"))).collect()
+    assert len(both) == 6

@@ -1,20 +1,24 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
 Bigram counts of toxic and of ordinary training texts give two interpolated Kneser-Ney models. Each class backs off
-from bigrams to its own continuation counts, and these to continuation counts that both classes share, so an
-expression that is rare in either class is smoothed to nearly the same value in both and says little. A text's score
+from bigrams to its own continuation counts, and both levels add counts that the classes share in proportion to their
+sizes, so an expression that is rare in either class is smoothed to nearly the same value in both and says little. A text's score
 is a calibrated function of the difference of its log likelihoods per word: of the whole text and of its most toxic
 stretch of ``STRETCH`` words and of one word, since a few words make a long text toxic. Words are seen twice, as they
 are and as their first ``STEM`` bytes, so that compounds and inflections of one stem share their evidence.
 
 All n-grams of the sample count, also those seen once. They are counted once, per label and half of the sample; the two
 half models (for calibration) and the whole one are sums of those counts. The sample is bounded in documents and bytes,
-hence also the model: at most a bigram for every word and every stem, ten to twelve bytes each. It is packed into sorted
-arrays by Spark, part by part, and broadcast; a bigram is the pair of 32-bit hashes of its words.
+hence also the model: at most a bigram for every word and every stem, six bytes each when compressed. Tasks pack it into
+sorted, compressed arrays, part by part; the driver only hands these on as one broadcast. A bigram is the pair of
+31-bit hashes of its words.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,13 +32,18 @@ from windvane.llm.words import U64, mix, words_of
 MAX_ROWS = 10_000  # labelled documents per class, at most
 MAX_BYTES = 48 << 20  # of their texts per class, at most
 DISCOUNT = 0.75
-SHARED = 10.0  # shared backoff counts of every word, split by the classes' sizes
-STRENGTH = 50.0  # of the backoff from bigrams to words
+SHARED = 10.0  # shared backoff counts of every word, and of every occurrence of a bigram, split by the classes' sizes
+STRENGTH = 50.0  # of the backoff from bigrams to words, split likewise
 STRETCH = 8
 STEM = 5
 THRESHOLD = 0.7
 _START = U64(0x5BD1E995)  # stands before a text's first word
-_HALF = U64(32)
+_BITS = U64(31)
+_MASK = U64((1 << 31) - 1)
+# Halves of the sample that a model counts: one of them, or both.
+MODELS = ((0,), (1,), (0, 1))
+# Per word: bigrams that end in it (of each class, of any), bigrams that begin with it, and how often these occur.
+STATS = ("c0", "c1", "c", "k0", "k1", "m0", "m1")
 
 
 def _bigrams(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -42,13 +51,13 @@ def _bigrams(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[(np.cumsum(counts) - counts)[counts > 0]] = _START
-    return (before << _HALF) | words
+    return (before << _BITS) | words
 
 
 def _streams(column: pa.Array):
-    """Runs of texts: (first, last, words per text, 32-bit hashes of words, of stems)."""
+    """Runs of texts: (first, last, words per text, 31-bit hashes of words, of stems)."""
     for whole, stem in zip(words_of(column, kind="letters"), words_of(column, kind="letters", prefix=STEM)):
-        yield (*whole[:3], whole[3] >> _HALF, mix(stem[3] ^ U64(0xA5A5A5A55A5A5A5A)) >> _HALF)
+        yield (*whole[:3], whole[3] >> U64(33), mix(stem[3] ^ U64(0xA5A5A5A55A5A5A5A)) >> U64(33))
 
 
 def _count(batches):
@@ -63,11 +72,68 @@ def _count(batches):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(n.astype(np.int32))], names=["key", "of", "n"])
 
 
+def _squeezed(sorted_keys: np.ndarray, numbers: list[np.ndarray]) -> bytes:
+    """Sorted keys (as steps of their upper and their lower bits) and non-negative numbers, compressed."""
+    upper, lower = (sorted_keys >> _BITS).astype(np.uint32), (sorted_keys & _MASK).astype(np.uint32)
+    small = [n.astype(np.min_scalar_type(int(n.max(initial=0)))) for n in numbers]
+    arrays = [np.diff(upper, prepend=np.uint32(0)), lower, *small]
+    return pickle.dumps([(a.dtype.str, zlib.compress(a.tobytes(), 1)) for a in arrays])
+
+
+def _unpacked(blobs: list[bytes], columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers (a row a column) of parts in order."""
+    keys, numbers = [np.zeros(0, np.uint64)], [np.zeros((columns, 0), np.uint8)]
+    for blob in blobs:
+        arrays = [np.frombuffer(zlib.decompress(data), kind) for kind, data in pickle.loads(blob)]
+        keys.append((np.cumsum(arrays[0], dtype=np.uint64) << _BITS) | arrays[1].astype(np.uint64))
+        numbers.append(np.stack(arrays[2:]))
+    return np.concatenate(keys), np.concatenate(numbers, axis=1)
+
+
+def _pack(batches):
+    """One record per task: its sorted keys and their numbers."""
+    parts = [[b.column(i).to_numpy() for i in range(b.num_columns)] for b in batches]
+    if parts:
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        yield pa.RecordBatch.from_arrays([pa.array([int(columns[0][0])]), pa.array([_squeezed(columns[0].view(np.uint64), columns[1:])])], names=["first", "blob"])
+
+
+def _packed(table: DataFrame, name: str) -> DataFrame:
+    """A table of keys (first column, range-partitioned) and numbers as compressed parts."""
+    return saved(table.sortWithinPartitions(table.columns[0]).mapInArrow(_pack, "first long, blob binary"), name)
+
+
 def counted(sample: DataFrame) -> DataFrame:
-    """key and n00, n01, n10, n11 (label, half) of every bigram."""
+    """Parts of the sorted bigrams with n00, n01, n10, n11 (label, half)."""
     found = sample.select("text", (F.col("label") * 2 + F.col("part")).alias("of")).mapInArrow(_count, "key long, of int, n int")
-    sums = [F.sum(F.when(F.col("of") == 2 * c + h, F.col("n")).otherwise(0)).cast("int").alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)]
-    return saved(found.groupBy("key").agg(*sums), "pairs")
+    sums = [F.sum(F.when(F.col("of") == 2 * c + h, F.col("n")).otherwise(0)).alias(f"n{c}{h}") for c in (0, 1) for h in (0, 1)]
+    # The ranges also serve the aggregate: there is one shuffle.
+    return _packed(found.repartitionByRange("key").groupBy("key").agg(*sums), "pairs")
+
+
+def _stats(batches):
+    """Partial ``STATS`` of every model for the words of a part."""
+    names = ["word", *[f"{s}_{v}" for v in range(len(MODELS)) for s in STATS]]
+    for batch in batches:
+        for blob in batch.column(1).to_pylist():
+            keys, n = _unpacked([blob], 4)
+            counts = [[sum(n[2 * c + h].astype(np.int64) for h in halves) for c in (0, 1)] for halves in MODELS]
+            for word, ends in ((keys & _MASK, True), (keys >> _BITS, False)):
+                known, at = np.unique(word, return_inverse=True)
+                columns = []
+                for n0, n1 in counts:
+                    seen = [np.bincount(at, x > 0, len(known)).astype(np.int64) for x in (n0, n1, n0 + n1)]
+                    times = [np.bincount(at, x, len(known)).astype(np.int64) for x in (n0, n1)]
+                    none = np.zeros(len(known), np.int64)
+                    columns += [*seen, none, none, none, none] if ends else [none, none, none, *seen[:2], *times]
+                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *map(pa.array, columns)], names=names)
+
+
+def packed_words(pairs: DataFrame) -> DataFrame:
+    """Parts of the sorted words with their ``STATS`` of every model."""
+    names = [f"{s}_{v}" for v in range(len(MODELS)) for s in STATS]
+    found = pairs.mapInArrow(_stats, "word long, " + ", ".join(f"{n} long" for n in names))
+    return _packed(found.repartitionByRange("word").groupBy("word").agg(*[F.sum(n).alias(n) for n in names]), "words")
 
 
 def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,77 +144,57 @@ def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def _packed(table: DataFrame, key: str, values: list[str], kind) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their values (one row a column); parts are packed in tasks and arrive as a few binary records."""
+class Sample:
+    """The packed counts of a sample, as they are broadcast; a Python worker unpacks one model at a time."""
 
-    def pack(batches):
-        parts = [[b.column(i).to_numpy() for i in range(1 + len(values))] for b in batches]
-        if parts:
-            columns = [np.concatenate(c) for c in zip(*parts)]
-            numbers = np.stack(columns[1:]) if kind else np.stack(columns[1:]).astype(np.min_scalar_type(max(int(np.max(columns[1:])), 1)))
-            yield pa.RecordBatch.from_arrays([pa.array([int(columns[0][0])]), pa.array([columns[0].tobytes()]), pa.array([numbers.tobytes()]), pa.array([numbers.dtype.str])], names=["first", "keys", "numbers", "type"])
-
-    placed = table.select(key, *values).repartitionByRange(F.col(key)).sortWithinPartitions(key)
-    rows = placed.mapInArrow(pack, "first long, keys binary, numbers binary, type string").toArrow().sort_by("first")
-    keys = [np.frombuffer(k.as_py(), np.int64) for k in rows.column("keys")]
-    numbers = [np.frombuffer(n.as_py(), t.as_py()).reshape(len(values), -1) for n, t in zip(rows.column("numbers"), rows.column("type"))]
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros((len(values), 0), np.float32)
-    return np.concatenate(keys), np.concatenate(numbers, axis=1)
+    def __init__(self, pairs: DataFrame, words: DataFrame):
+        self.pairs, self.words = ([r["blob"] for r in parts.orderBy("first").collect()] for parts in (pairs, words))
+        self._model: tuple = (None, None)
 
+    def __getstate__(self):
+        return self.pairs, self.words
 
-def model_of(pairs: DataFrame, halves: tuple[int, ...]) -> KneserNey:
-    """Both classes' models from the counts of one or both halves of the sample.
+    def __setstate__(self, state):
+        (self.pairs, self.words), self._model = state, (None, None)
 
-    Continuation counts and sums are Spark aggregates over the bigrams; words get two probabilities and two backoff
-    weights, bigrams keep their two counts.
-    """
-    total = lambda c: sum((F.col(f"n{c}{h}") for h in halves), F.lit(0))
-    used = pairs.select("key", total(0).alias("n0"), total(1).alias("n1")).filter("n0 + n1 > 0")
-    ends = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")
-    starts = F.shiftrightunsigned("key", 32).alias("word")
-    seen = [F.sum((F.col(f"n{c}") > 0).cast("long")) for c in (0, 1)]
-    after = used.groupBy(ends).agg(seen[0].alias("c0"), seen[1].alias("c1"), F.count(F.lit(1)).alias("c"))
-    before = used.groupBy(starts).agg(seen[0].alias("k0"), seen[1].alias("k1"), F.sum("n0").alias("m0"), F.sum("n1").alias("m1"))
-    table = saved(after.join(before, "word", "outer").fillna(0), "words")
-    kinds = table.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("c0", "c1", "c")], F.count_if(F.col("c") > 0), *[F.count_if(F.col(x) > 0) for x in ("c0", "c1")]).first()
-    every, vocabulary, of_class = kinds[2] or 1, kinds[3] or 1, (kinds[4] or 1, kinds[5] or 1)
-    values, rare = [], []
-    for c in (0, 1):
-        part = (kinds[c] or 1) / every
-        mass = kinds[c] + SHARED * vocabulary * part
-        own = F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0)) + F.col("c") * (DISCOUNT * of_class[c] / every) + SHARED * part
-        values.append((own / mass).cast("float").alias(f"x{c}"))
-        rare.append(SHARED * part / mass)  # a word that is in no table has the shared counts only
-    for c in (0, 1):
-        m = F.col(f"m{c}") + STRENGTH
-        values += [((F.col(f"k{c}") * DISCOUNT + STRENGTH) / m).cast("float").alias(f"y{c}"), m.cast("float").alias(f"m{c}")]
-    words, numbers = _packed(table.select("word", *values), "word", ["x0", "x1", "y0", "y1", "m0", "m1"], np.float32)
-    keys, n = _packed(used, "key", ["n0", "n1"], None)
-    # Keys are unsigned: those with the highest bit come last.
-    turn = int(np.searchsorted(keys, 0))
-    keys, n = np.concatenate([keys[turn:], keys[:turn]]).view(np.uint64), np.concatenate([n[:, turn:], n[:, :turn]], axis=1)
-    return KneserNey(words.view(np.uint64), numbers, np.array(rare, np.float32), keys, n)
+    def model(self, which: int) -> KneserNey:
+        if self._model[0] != which:
+            self._model = (which, KneserNey(self, which))
+        return self._model[1]
 
 
 class KneserNey:
-    """Two classes' models as sorted arrays: words (two probabilities, backoff weights and masses), bigrams (two counts)."""
-
-    def __init__(self, words, numbers, rare, pairs, counts):
-        self.words, self.numbers, self.rare, self.pairs, self.counts = words, numbers, rare, pairs, counts
+    """Both classes' models of some halves: words (two probabilities, backoff weights and masses) and bigrams (two counts)."""
+
+    def __init__(self, sample: Sample, which: int):
+        self.pairs, n = _unpacked(sample.pairs, 4)
+        self.counts = [sum(n[2 * c + h].astype(np.uint32) for h in MODELS[which]) for c in (0, 1)]
+        self.words, stats = _unpacked(sample.words, len(MODELS) * len(STATS))
+        c0, c1, c, k0, k1, m0, m1 = (stats[which * len(STATS) + i].astype(np.float64) for i in range(len(STATS)))
+        every, vocabulary = max(c.sum(), 1), max((c > 0).sum(), 1)
+        self.parts = [max(x.sum(), 1) / every for x in (c0, c1)]
+        self.unigram, self.backoff, self.mass, self.rare = [], [], [], []
+        for own, k, m, part in ((c0, k0, m0, self.parts[0]), (c1, k1, m1, self.parts[1])):
+            mass = own.sum() + SHARED * vocabulary * part
+            self.unigram.append(((np.maximum(own - DISCOUNT, 0) + c * (DISCOUNT * max((own > 0).sum(), 1) / every) + SHARED * part) / mass).astype(np.float32))
+            self.rare.append(SHARED * part / mass)  # a word that is in no table has the shared counts only
+            total = m + (m0 + m1) * (SHARED * part) + STRENGTH * part
+            self.backoff.append(((k * DISCOUNT + STRENGTH * part) / total).astype(np.float32))
+            self.mass.append(total.astype(np.float32))
 
     def _ratio(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Log likelihood ratio of every word."""
         joint, back = np.unique(_bigrams(hashes, counts), return_inverse=True)
-        at, there = _look(self.words, joint & U64(0xFFFFFFFF))
-        from_, known = _look(self.words, joint >> _HALF)
+        at, there = _look(self.words, joint & _MASK)
+        from_, known = _look(self.words, joint >> _BITS)
         pair, met = _look(self.pairs, joint)
         logs = []
         for c in (0, 1):
-            p = np.where(there, self.numbers[c][at], self.rare[c]) if len(self.words) else np.full(len(joint), self.rare[c])
-            p = p * np.where(known, self.numbers[2 + c][from_], 1.0) if len(self.words) else p
+            p = np.where(there, self.unigram[c][at], self.rare[c]) if len(self.words) else np.full(len(joint), self.rare[c])
+            p = p * np.where(known, self.backoff[c][from_], 1.0) if len(self.words) else p
             if len(self.pairs):
-                share = np.maximum(self.counts[c][pair] - DISCOUNT, 0.0) / self.numbers[4 + c][from_]
+                n0, n1 = (self.counts[k][pair].astype(float) for k in (0, 1))
+                share = (np.maximum((n0, n1)[c] - DISCOUNT, 0.0) + SHARED * self.parts[c] * (n0 + n1)) / self.mass[c][from_]
                 p = p + np.where(met, share, 0.0)
             logs.append(np.log(p))
         return (logs[1] - logs[0])[back]
@@ -189,14 +235,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
-def _featured(texts: DataFrame, keep: str, model: KneserNey) -> DataFrame:
-    """Features of all texts, and the column to keep with its type."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def _featured(texts: DataFrame, keep: str, shared, which: int) -> DataFrame:
+    """Features of all texts by one of the models, and the column to keep with its type."""
     name = keep.split()[0]
 
     def score(batches):
         for batch in batches:
-            x = shared.value.features(text_column(batch))
+            x = shared.value.model(which).features(text_column(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(FEATURES)]], names=[name, *_COLUMNS])
 
     return texts.select(name, "text").mapInArrow(score, f"{keep}, {_TYPES}")
@@ -214,9 +259,9 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic
     """
     sample, totals = labelled_sample(documents, labels, label, max_rows, MAX_BYTES)
     pairs = counted(sample)
-    halves = []
-    for part in (0, 1):
-        halves.append(_featured(sample.filter(F.col("part") == part), "label int", model_of(pairs, (1 - part,))).toPandas())
+    shared = documents.sparkSession.sparkContext.broadcast(Sample(pairs, packed_words(pairs)))
+    # Each half is scored by the counts of the other.
+    halves = [_featured(sample.filter(F.col("part") == part), "label int", shared, 1 - part).toPandas() for part in (0, 1)]
     fitted = pd.concat(halves)
     y = fitted["label"].to_numpy(float)
     beta = np.array([0.0] * FEATURES + [-30.0])
@@ -224,7 +269,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic
         share = {c: totals[c] / max(1, (y == c).sum()) for c in (0, 1)}
         weight = np.where(y == 1, share[1], share[0])
         beta = _logistic(fitted[_COLUMNS].to_numpy(), y, weight * len(y) / weight.sum())
-    scored = _featured(text_rows(documents), "doc_id long", model_of(pairs, (0, 1)))
+    scored = _featured(text_rows(documents), "doc_id long", shared, MODELS.index((0, 1)))
     line = F.lit(float(beta[-1])) + sum(F.lit(float(b)) * F.col(c) for b, c in zip(beta, _COLUMNS))
     scored = scored.withColumn("score", 1 / (1 + F.exp(-line)))
     return judged(scored, THRESHOLD)
