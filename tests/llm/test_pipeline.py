@@ -241,3 +241,49 @@ def test_near_pair_whose_keys_have_other_leaders(spark):
     assert expected[last[0]] == expected[last[1]] == min(last)
     found = minhash_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == expected
+
+
+PASSAGE = "a passage of some twenty words that two documents share but for one of them at its very end where they do differ"
+
+
+def near_copies(spark, ids):
+    texts = [f"{PASSAGE} {PASSAGE} so {word}" for word in ("one", "two", "three", "four")]
+    rows = [(i, t, "en", "a") for i, t in zip(ids, texts)]
+    return spark.createDataFrame([*rows, (50, "something else that has nothing to do with any of the others here", "en", "a")], SCHEMA).withColumn("n_chars", F.lit(1).cast("long"))
+
+
+@pytest.mark.parametrize("ids", [(None, None, None, None), (7, 7, 7, 7), (3, None, 2, 2), (1, 2, 3, 4)])
+def test_one_near_copy_stays_whatever_the_ids(spark, folder, ids):
+    docs = near_copies(spark, ids)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, folder).collect()
+    assert len(kept) == 2 and sum(r["doc_id"] == 50 for r in kept) == 1
+    known = [i for i in ids if i is not None]
+    assert (min(known) if known else None) in [r["doc_id"] for r in kept]
+    again = corpus_pipeline.drop_near_copies(spark, docs.repartition(3), folder).collect()
+    assert {(r["doc_id"], r["text"]) for r in again} == {(r["doc_id"], r["text"]) for r in kept}
+
+
+def test_language_stage_keeps_all_if_nothing_is_learned(spark, folder):
+    rows = [(i, f"text number {i}", None, "a") for i in range(20)] + [(30, "12 ...", None, "a"), (31, None, None, "a")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.lit(1).cast("long"))
+    out = corpus_pipeline.identify_language(spark, docs, folder)
+    assert {r["doc_id"] for r in out.collect()} == set(range(20)) and out.filter("lang IS NOT NULL").count() == 0
+
+
+def test_short_items_with_every_allowed_substitution(spark):
+    """Items of 5 to 13 words: all choices of substituted words that leave 75 % are found, one more is not."""
+    from itertools import combinations
+
+    items, docs, wanted = [], [], set()
+    for n in range(5, 14):
+        words_ = [f"item{n}word{k}" for k in range(n)]
+        items.append((n, " ".join(words_)))
+        allowed = n - -(-75 * n // 100)
+        for k in (allowed, allowed + 1):
+            for places in combinations(range(n), k):
+                doc = len(docs)
+                docs.append((doc, " ".join(["before", *[f"x{i}" if i in places else w for i, w in enumerate(words_)], "after"])))
+                if k == allowed:
+                    wanted.add((doc, n))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == wanted

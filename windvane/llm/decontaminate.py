@@ -3,7 +3,8 @@
 Fixed masks select ``WEIGHT`` word positions out of a short span and ignore the others, so a substituted word spoils only
 the seeds that look at it. Seeds of all benchmark items and of all documents are joined; every seed hit names a
 diagonal (document position minus item position), and along it whole texts are compared word by word: an overlap
-counts where a window of ``WINDOW`` words (the whole item, if shorter) has at least ``PERCENT`` equal words.
+counts where a window of ``WINDOW`` words (the whole item, if shorter) has at least ``PERCENT`` equal words. Items
+shorter than the masks' span get one mask for every choice of as many words as have to be equal, so none is missed.
 
 Before the join, document seeds are checked against three bitmaps of fixed size over the benchmark's seeds, so only
 likely hits are shuffled, however large the corpus; a larger benchmark only makes the check less sharp.
@@ -11,6 +12,8 @@ likely hits are shuffled, however large the corpus; a larger benchmark only make
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +29,8 @@ WEIGHT = 5
 WINDOW = 13
 PERCENT = 75
 _FACTOR = mix(np.arange(7001, 7001 + SPAN, dtype=U64)) | U64(1)
+# With twelve words, the only three substitutions that all masks meet leave these words.
+_TWELVE, _TWELVE_MASK = 12, (0, 1, 2, 5, 6)
 _SHIFTS = (0, 20, 40)
 _KEY = ["doc_id", "mark", "size"]
 
@@ -39,9 +44,13 @@ def _seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mix(total)
 
 
-def _short_masks(lengths: list[int]) -> list[tuple[int, ...]]:
-    """Items shorter than a span have one seed over all their words."""
-    return [tuple(range(n)) for n in lengths if n not in (0, WEIGHT)]
+def _masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of ``n`` words."""
+    if n < WEIGHT:
+        return []
+    if n < SPAN:
+        return list(combinations(range(n), -(-PERCENT * n // 100)))
+    return [*MASKS, _TWELVE_MASK] if n == _TWELVE else list(MASKS)
 
 
 def _texts(batches):
@@ -60,7 +69,7 @@ def _item_seeds(batches):
         n = len(hashes)
         if n < WEIGHT:
             continue
-        masks = MASKS if n >= SPAN else [MASKS[0], *_short_masks([n])]
+        masks = _masks(n)
         seeds = [_seeds(hashes, mask) for mask in masks]
         where = np.concatenate([np.arange(len(s)) for s in seeds])
         yield pa.RecordBatch.from_arrays(
@@ -156,9 +165,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_column: str = "d
     items = saved(items.withColumn("item", F.xxhash64(F.monotonically_increasing_id())), "items")
     seeds = items.select("item", "item_id", F.col("item_text").alias("text")).mapInArrow(_item_seeds, "seed long, item long, item_id long, item_pos int, n int")
     seeds = saved(seeds, "seeds")
-    lengths = [r["n"] for r in seeds.filter(F.col("n") < SPAN).select("n").distinct().collect()]
+    lengths = [r["n"] for r in seeds.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().orderBy("n").collect()]
     tables = [bitmap(seeds.select(F.shiftrightunsigned("seed", s).alias("seed")), "seed", hashed=True) for s in _SHIFTS]
-    masks = [*MASKS, *_short_masks(sorted(lengths))]
+    masks = list(dict.fromkeys(mask for n in lengths for mask in _masks(n)))
     hits = docs.select("doc_id", "text", *content_key()).mapInArrow(_document_seeds(spark.sparkContext.broadcast(tables), masks), "doc_id long, mark long, size int, seed long, pos long")
     met = hits.join(seeds.select("seed", "item", "item_pos"), "seed").select(*_KEY, "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
     pairs = saved(met.groupBy(*_KEY, "item").agg(F.collect_set("diagonal").alias("diagonals")), "pairs")

@@ -113,7 +113,7 @@ class LanguageModel:
         return cls(languages, priors - np.logaddexp.reduce(priors), np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
 
     def score(self, texts: DataFrame) -> DataFrame:
-        """``row`` (all columns, as a struct), lang_pred, score: posterior of that language; ties go to the first by code point."""
+        """``row`` (all columns, as a struct), lang_pred, score: posterior of that language, ties go to the first by code point; and letter (has the text one?)."""
         model = texts.sparkSession.sparkContext.broadcast((self.languages, self.priors, self.matrix))
 
         def predict(batches):
@@ -143,12 +143,12 @@ class LanguageModel:
                 known = (letters > 0) & bool(languages)
                 names = [languages[best[i]] if known[i] else "und" for i in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0) if languages else np.zeros(batch.num_rows))],
-                    names=["row", "lang_pred", "score"],
+                    [batch.column(0), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0) if languages else np.zeros(batch.num_rows)), pa.array(letters > 0)],
+                    names=["row", "lang_pred", "score", "letter"],
                 )
 
         kind = texts.schema["row"].dataType.simpleString()
-        return texts.select("row", "text").mapInArrow(predict, f"row {kind}, lang_pred string, score double")
+        return texts.select("row", "text").mapInArrow(predict, f"row {kind}, lang_pred string, score double, letter boolean")
 
 
 def held_out(id_column: str, parts: int, remainder: int) -> F.Column:
@@ -157,7 +157,7 @@ def held_out(id_column: str, parts: int, remainder: int) -> F.Column:
 
 
 def predicted(documents: DataFrame, keep: list[str], parts: int = 5, remainder: int = 0) -> DataFrame:
-    """Predict the language of every whole text: ``row`` with the columns to keep, lang_pred, score.
+    """Predict the language of every whole text: ``row`` with the columns to keep, lang_pred, score, letter.
 
     Learns from text and non-null lang of the rows that are not held out.
 

@@ -226,13 +226,13 @@ def _within(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_groups(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, mark, size (of its text), n_shingles, component_id, kept.
+    """One row per document: doc_id, mark, size (of its text), n_shingles, component_id, kept, comp.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; sets are five-word shingles (the whole sequence if shorter).
 
     * Texts that are NULL or without words have an empty set, link with nothing and are kept.
     * ``component_id`` is the smallest id reachable (NULL only if the whole component has no id); kept says that the
-      row has that id.
+      row has that id. ``comp`` names the component itself, also where ids are missing or shared (NULL for an empty set).
     * Repeated rows are in one component; rows that repeat id and text have the same result.
     * An empty table gives an empty result. Other columns are not read.
     """
@@ -289,9 +289,9 @@ def near_groups(documents: DataFrame, id_column: str = "doc_id", text_column: st
     named = classes.select("cid", "digest", "least_id").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     named = saved(named, "components")
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(least, "comp").select("digest", "component_id")
+    of_class = named.join(least, "comp").select("digest", "component_id", "comp")
     # In two steps, so that a class with very many rows is spread over the leaves that hold it.
     held = filled.select("digest", "leaf").distinct().join(of_class, "digest")
     joined = signed.join(held, ["digest", "leaf"], "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "mark", "size", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", "mark", "size", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "comp")

@@ -72,7 +72,7 @@ r AS (SELECT doc_id AS node, doc_id AS least FROM documents UNION SELECT p.a, r.
 c AS (SELECT node, min(least) AS component_id FROM r GROUP BY node)
 SELECT s.doc_id, len(shingles) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.node = s.doc_id""")
 def op6_minhash_dedup(spark, sf_dir):
-    return minhash_dedup.near_groups(table(spark, sf_dir, "documents")).drop("mark", "size")
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents")).drop("mark", "size", "comp")
 
 
 @query("op10_decontaminate")
