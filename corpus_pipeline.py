@@ -16,9 +16,12 @@ from windvane.llm.common import content_key, maybe_in, saved, shared_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is undetermined (no text, no letter) go; a missing lang is filled in."""
-    found = language_id.predicted(docs, docs.columns).filter("lang_pred <> 'und'")
-    return found.select(*[F.coalesce("row.lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    """Documents without a letter (or text) go, since they have no language; a missing lang is filled in.
+
+    If there is nothing to learn from (no lang outside the held-out fifth), no other document goes and langs stay as they are.
+    """
+    found = language_id.predicted(docs, docs.columns).filter("letter")
+    return found.select(*[F.coalesce("row.lang", F.nullif("lang_pred", F.lit("und"))).alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +49,17 @@ def _without(rows: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id stays; of rows that repeat id and text, one."""
+    """Of each near-duplicate group one document stays, that with the smallest id (NULL last; then by text); of rows that repeat id and text, one."""
     groups = saved(minhash_dedup.near_groups(docs), "near")
     key = ["doc_id", "mark", "size"]
-    repeated = saved(groups.filter("kept").groupBy(*key).count().filter("count > 1").select(*key), "repeated")
+    linked = groups.filter("comp IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("first")
+    staying = saved(linked.groupBy("comp").agg(first).select("first.doc_id", "first.mark", "first.size"), "staying")
+    # By what names a row, not by component: a large one is spread.
+    going = saved(_without(linked.select(*key).distinct(), staying), "going")
+    repeated = saved(_without(groups.select(*key), going).groupBy(*key).count().filter("count > 1").select(*key), "repeated")
     rows = _rows(docs)
-    single = _without(rows, groups.filter("NOT kept").select(*key).distinct().unionByName(repeated))
+    single = _without(rows, going.unionByName(repeated))
     again = _without(maybe_in(rows, "mark", repeated, "mark"), repeated, "left_semi").dropDuplicates(key)
     return _unpacked(single.unionByName(again), docs)
 
