@@ -80,14 +80,17 @@ def _squeezed(sorted_keys: np.ndarray, numbers: list[np.ndarray]) -> bytes:
     return pickle.dumps([(a.dtype.str, zlib.compress(a.tobytes(), 1)) for a in arrays])
 
 
-def _unpacked(blobs: list[bytes], columns: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and numbers (a row a column) of parts in order."""
-    keys, numbers = [np.zeros(0, np.uint64)], [np.zeros((columns, 0), np.uint8)]
+def _unpacked(blobs: list[bytes], sums: list[list[int]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys of parts in order, and for each list of columns their sum, in the smallest type."""
+    keys, totals = [np.zeros(0, np.uint64)], [[np.zeros(0, np.uint8)] for _ in sums]
     for blob in blobs:
-        arrays = [np.frombuffer(zlib.decompress(data), kind) for kind, data in pickle.loads(blob)]
-        keys.append((np.cumsum(arrays[0], dtype=np.uint64) << _BITS) | arrays[1].astype(np.uint64))
-        numbers.append(np.stack(arrays[2:]))
-    return np.concatenate(keys), np.concatenate(numbers, axis=1)
+        arrays = pickle.loads(blob)
+        column = lambda i: np.frombuffer(zlib.decompress(arrays[i][1]), arrays[i][0])
+        keys.append((np.cumsum(column(0), dtype=np.uint64) << _BITS) | column(1).astype(np.uint64))
+        for parts, columns in zip(totals, sums):
+            total = sum(column(2 + i).astype(np.uint64) for i in columns)
+            parts.append(total.astype(np.min_scalar_type(int(total.max(initial=0)))))
+    return np.concatenate(keys), [np.concatenate(parts) for parts in totals]
 
 
 def _pack(batches):
