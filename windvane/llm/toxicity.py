@@ -119,7 +119,7 @@ def _stats(batches):
     names = ["word", *[f"{s}_{v}" for v in range(len(MODELS)) for s in STATS]]
     for batch in batches:
         for blob in batch.column(1).to_pylist():
-            keys, n = _unpacked([blob], 4)
+            keys, n = _unpacked([blob], [[i] for i in range(4)])
             counts = [[sum(n[2 * c + h].astype(np.int64) for h in halves) for c in (0, 1)] for halves in MODELS]
             for word, ends in ((keys & _MASK, True), (keys >> _BITS, False)):
                 known, at = np.unique(word, return_inverse=True)
@@ -162,6 +162,7 @@ class Sample:
 
     def model(self, which: int) -> KneserNey:
         if self._model[0] != which:
+            self._model = (None, None)  # its memory goes before the next one is unpacked
             self._model = (which, KneserNey(self, which))
         return self._model[1]
 
@@ -170,10 +171,9 @@ class KneserNey:
     """Both classes' models of some halves: words (two probabilities, backoff weights and masses) and bigrams (two counts)."""
 
     def __init__(self, sample: Sample, which: int):
-        self.pairs, n = _unpacked(sample.pairs, 4)
-        self.counts = [sum(n[2 * c + h].astype(np.uint32) for h in MODELS[which]) for c in (0, 1)]
-        self.words, stats = _unpacked(sample.words, len(MODELS) * len(STATS))
-        c0, c1, c, k0, k1, m0, m1 = (stats[which * len(STATS) + i].astype(np.float64) for i in range(len(STATS)))
+        self.pairs, self.counts = _unpacked(sample.pairs, [[2 * c + h for h in MODELS[which]] for c in (0, 1)])
+        self.words, stats = _unpacked(sample.words, [[which * len(STATS) + i] for i in range(len(STATS))])
+        c0, c1, c, k0, k1, m0, m1 = (x.astype(np.float64) for x in stats)
         every, vocabulary = max(c.sum(), 1), max((c > 0).sum(), 1)
         self.parts = [max(x.sum(), 1) / every for x in (c0, c1)]
         self.unigram, self.backoff, self.mass, self.rare = [], [], [], []
