@@ -1068,6 +1068,53 @@ def _one_bit_query(name, select, model, **params):
         return scored.groupBy("bit").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("y_prob"), 3).alias("y_prob"))
 
 
+# The scores of the one-bit tree in place of those of the fleet.
+_TREE_SCORES = SCORED.replace("sc AS", "raw AS") + """,
+cells AS (SELECT CAST(y_prob >= 0.5 AS INTEGER) AS bit, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM raw GROUP BY 1),
+totals AS (SELECT sum(pos) AS p, sum(neg) AS n FROM cells),
+sc AS (SELECT row_id, y_true, (pos / p) / (pos / p + neg / n) AS y_prob FROM raw JOIN cells ON bit = CAST(raw.y_prob >= 0.5 AS INTEGER), totals)"""
+
+
+def _one_bit_tree(spark, sf_dir):
+    rows = fleet.scores(spark, sf_dir).selectExpr("int(y_prob >= 0.5) AS bit", "y_true AS target")
+    table = selection.assemble(rows, ["bit"], keep=("bit",))
+    return training.FaultModel("rf", {"n_estimators": 1, "max_depth": 1, "bootstrap": False}).fit(table), table
+
+
+@query("one_bit_predictions", sql(_TREE_SCORES, "SELECT y_true AS label, CAST(y_prob >= 0.5 AS INTEGER) AS y_pred, count(*) AS n_rows FROM sc GROUP BY 1, 2"))
+def one_bit_predictions(spark, sf_dir):
+    model, table = _one_bit_tree(spark, sf_dir)
+    return model.predict(table, 0.5).groupBy(F.col("label").cast("int").alias("label"), "y_pred").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("one_bit_tuning", sql(_TREE_SCORES + _SWEEP, """
+SELECT threshold, f1, recall, precision, roc_auc, pr_auc FROM sweep ORDER BY f1 DESC, recall DESC, precision DESC, threshold LIMIT 1"""))
+def one_bit_tuning(spark, sf_dir):
+    """The threshold that tuning picks, with its metrics."""
+    model, table = _one_bit_tree(spark, sf_dir)
+    model.tune(table)
+    row = tuple(float(model.tuning[m]) for m in ("threshold", "f1", "recall", "precision", "roc_auc", "pr_auc"))
+    return _auc_rounded(spark.createDataFrame([row], "threshold double, f1 double, recall double, precision double, roc_auc double, pr_auc double"))
+
+
+@query("one_bit_evaluation", sql(_TREE_SCORES + _CUT.replace("$t", "CAST(0.5 AS DOUBLE)") + _AUC,
+                                 f"SELECT {_aliased({k: v for k, v in {**_HEAD, **_RATES}.items() if k in ('precision', 'recall', 'f1', 'balanced_accuracy', 'specificity')})}, (SELECT roc_auc FROM areas) AS roc_auc, (SELECT pr_auc FROM areas) AS pr_auc, CAST(0.5 AS DOUBLE) AS threshold FROM counts"))
+def one_bit_evaluation(spark, sf_dir):
+    model, table = _one_bit_tree(spark, sf_dir)
+    return _auc_rounded(model.evaluate(table, 0.5))
+
+
+@query("one_bit_importance", sql(_ONE_BIT + """,
+odds AS (SELECT max(CASE WHEN bit = 1 THEN ln((pos / p) / (neg / n)) END) - max(CASE WHEN bit = 0 THEN ln((pos / p) / (neg / n)) END) AS gain FROM cells, totals),
+spread AS (SELECT stddev_pop(CAST(y_prob >= 0.5 AS INTEGER)) AS s FROM sc)""",
+                                 "SELECT 'bit' AS feature, round(gain * s, 2) AS coefficient, round(abs(gain * s), 2) AS abs_importance FROM odds, spread"))
+def one_bit_importance(spark, sf_dir):
+    """The linear model's coefficient on the scaled input, in closed form: the log odds ratio times the input's deviation."""
+    rows = fleet.scores(spark, sf_dir).selectExpr("int(y_prob >= 0.5) AS bit", "y_true AS target")
+    model = training.FaultModel("logistic", {"C": 1e6}).fit(selection.assemble(rows, ["bit"]))
+    return _rounded(training.top_features(model.importance(["bit"])), ["coefficient", "abs_importance"], 2)
+
+
 _one_bit_query("one_bit_logistic", _BALANCED, "logistic", C=1e6)
 _one_bit_query("one_bit_tree", _BALANCED, "rf", n_estimators=1, max_depth=1, bootstrap=False)
 _one_bit_query("one_bit_boosting", _BOOSTED, "gbt", n_estimators=1, max_depth=1)
