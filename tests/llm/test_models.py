@@ -113,3 +113,15 @@ def test_toxicity_with_one_class_and_repeated_texts(spark):
     assert len(rows) == 6 and all(r["score"] < 1e-9 and r["predicted"] == 0 for r in rows)
     both = toxicity.toxicity_scores(docs, labels.unionByName(spark.createDataFrame([(7, 1)], "doc_id long, toxic int"))).collect()
     assert len(both) == 6
+
+
+def test_language_model_sums_to_one(spark):
+    """All known words, the end, and the one type of unseen words have probability 1 together."""
+    held = [i for i in range(100_000, 103_000) if _remainder(i, 5) == 1]
+    known = sorted({w for i, t in TEXTS.items() if _remainder(i, 5) != 1 for w in t.split()})
+    asked = dict(zip(held, ["", "neverseen", *known]))
+    docs = spark.createDataFrame([*TEXTS.items(), *asked.items()], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in lm_score.perplexity_scores(docs).collect()}
+    end = next(score[i] for i, w in asked.items() if not w)
+    total = 10**end + sum(10 ** (score[i] - end) for i, w in asked.items() if w)
+    assert math.isclose(total, 1.0, rel_tol=1e-5)
