@@ -161,3 +161,18 @@ def test_exact_quantiles(spark, rows_per_chunk):
     assert {k for k, _ in got} == set(groups)
     box = {r["k"]: r for r in quality.box_summary(df, "k", "v", rows_per_chunk=rows_per_chunk).collect()}
     assert set(box) == set(groups) and box["a"]["n_values"] == 501
+
+
+def test_quantiles_read_their_input_once(spark):
+    """Few distinct values in many rows, and a value that is costly to compute: box numbers take one pass over the rows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(200_000).selectExpr("id % 2 AS k", "double(id % 50) AS v").mapInArrow(counted, "k long, v double")
+    box = {r["k"]: r for r in quality.box_summary(df, "k", "v", rows_per_chunk=10).collect()}
+    assert [box[0][c] for c in ("n_values", "minimum", "median", "maximum")] == [100_000, 0.0, 24.0, 48.0]
+    assert read.value == 200_000

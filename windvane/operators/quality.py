@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windvane import config
-from windvane.operators.ordered_chunks import ROWS_PER_CHUNK, rows_at
+from windvane.operators.ordered_chunks import ROWS_PER_CHUNK, _renamed, _same
 from windvane.operators.selection import feature_columns
-from windvane.session import materialize, require_columns, small_side
+from windvane.session import materialize, require_columns, small_result, small_side
 
 
 def _as_rows(one_row: DataFrame, entries: dict[str, dict[str, Column]], label: str) -> DataFrame:
@@ -183,29 +182,52 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, without gathering a large group.
 
-    The two values around every quantile are looked up by their positions (``rows_at``): only values near them are
-    shuffled, however many distinct ones there are, and equal values are counted before they move.
+    Keys and values are read once, and equal values are counted before they move: later passes grow with the distinct
+    values. Only values near a wanted position are sorted.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(column).cast("double").alias("_value")).filter("_value IS NOT NULL AND NOT isnan(_value)")
-    sizes = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
-    asked = sizes.filter("_rows > 0").withColumn("quantile", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
-    asked = asked.withColumn("_exact", F.col("quantile") * (F.col("_rows") - 1))
+    narrow = df.select(*keys, F.col(column).cast("double").alias("_value"))
+    return _quantiles(narrow, keys, quantiles, rows_per_chunk)
+
+
+def _quantiles(narrow: DataFrame, keys: list[str], quantiles: Sequence[float], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """``exact_quantiles`` of a written table of keys and ``_value``."""
+    rows = narrow.filter("_value IS NOT NULL AND NOT isnan(_value)")
+    counts = materialize(rows.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_times")))
+    most = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    pieces = max(1, -(-most // rows_per_chunk))
+    # Approximate quantiles of the distinct values cut a group into pieces; only pieces that hold a wanted position are sorted.
+    cuts = F.array_distinct(F.percentile_approx("_value", [i / pieces for i in range(1, pieces)] or [0.5], max(10_000, 20 * pieces)))
+    splitters = small_side(counts.groupBy(*keys).agg(cuts.alias("_seps")).select(*_renamed(keys), "_seps"))
+    steps = ", ".join(str(1 << i) for i in range(pieces.bit_length(), -1, -1))
+    piece = f"aggregate(array({steps}), 0, (p, s) -> CASE WHEN p + s <= size(_seps) AND _seps[p + s - 1] <= _value THEN p + s ELSE p END)"
+    placed = counts.join(splitters, _same(keys)).selectExpr(*[f"`{k}`" for k in keys], "_value", "_times", f"{piece} AS _piece")
+    upto = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = materialize(placed.groupBy(*keys, "_piece").agg(F.sum("_times").alias("_rows")).withColumn("_start", F.sum("_rows").over(upto) - F.col("_rows")))
+    sizes = totals.groupBy(*keys).agg(F.sum("_rows").alias("_rows"))
+    asked = sizes.withColumn("quantile", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
+    asked = asked.withColumn("_exact", F.col("quantile") * (F.col("_rows") - 1)).drop("_rows")
     at = F.explode(F.array_distinct(F.array(F.floor("_exact"), F.ceil("_exact")))).alias("_position")
-    found = rows_at(rows, keys, ["_value"], sizes, asked.select(*keys, at).distinct(), rows_per_chunk)
-    listed = found.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.map_from_entries(F.collect_list(F.struct("_position", "_value"))).alias("_at"))
-    match = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]) if keys else F.lit(True)
+    positions = asked.select(*_renamed(keys), at).distinct()
+    held = totals.join(positions, _same(keys) & F.expr("_position >= _start AND _position < _start + _rows"))
+    held = small_result(held.select(*_renamed(keys), F.col("_piece").alias("_r_piece"), "_position", (F.col("_position") - F.col("_start")).alias("_nth")))
+    within = placed.join(held, _same(keys, ("_piece", "_r_piece")), "left_semi")
+    inside = Window.partitionBy(*keys, "_piece").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = within.withColumn("_upto", F.sum("_times").over(inside))
+    found = ranked.join(held, _same(keys, ("_piece", "_r_piece")) & F.expr("_nth < _upto AND _nth >= _upto - _times")).select(*keys, "_position", "_value")
+    listed = found.groupBy(*_renamed(keys)).agg(F.map_from_entries(F.collect_list(F.struct("_position", "_value"))).alias("_at"))
     low, high = (F.col("_at")[place("_exact").cast("long")] for place in (F.floor, F.ceil))
     value = low + (high - low) * (F.col("_exact") - F.floor("_exact"))
-    return asked.join(small_side(listed), match).select(*keys, "quantile", value.alias("value"))
+    return asked.join(small_side(listed), _same(keys)).select(*keys, "quantile", value.alias("value"))
 
 
 def box_summary(df: DataFrame, key: str, column: str, **options) -> DataFrame:
     """Box-plot numbers per group: count, minimum, quartiles, maximum."""
     names = {0.0: "minimum", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "maximum"}
-    quantiles = exact_quantiles(df, [key], column, tuple(names), **options)
+    narrow = materialize(df.select(key, F.col(column).cast("double").alias("_value")))
+    quantiles = _quantiles(narrow, [key], tuple(names), **options)
     boxes = quantiles.groupBy(key).agg(*[F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(n) for q, n in names.items()])
-    counts = df.groupBy(key).agg(F.count(column).alias("n_values")).filter(F.col("n_values") > 0)
+    counts = narrow.groupBy(key).agg(F.count("_value").alias("n_values")).filter(F.col("n_values") > 0)
     return counts.join(boxes, key)
 
 
