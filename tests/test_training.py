@@ -150,3 +150,32 @@ def test_tournament_scores_once_and_equals_single_runs(spark, table):
         assert run.model.tuning["f1"] == pytest.approx(metrics.best_threshold(val, "label", "y_prob").first()["f1"])
     sweep = experiments.winner_sweep(runs[0])
     assert sweep.count() == len(metrics.default_thresholds()) and sweep.first()["model_name"] == runs[0].name
+
+
+def test_trees_answer_a_level_in_one_pass(spark):
+    """A fit's jobs grow with the depth, not with nodes or forest; margins summed anew are the margins carried along."""
+    from windvane.plans import trees
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 3)).round(2)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > -0.2)).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], "a double, b double, c double, target int").repartition(3)
+    table = selection.assemble(df, ["a", "b", "c"])
+    tracker = spark.sparkContext.statusTracker()
+    jobs = {}
+    for count in (3, 40):
+        spark.sparkContext.setJobGroup(f"forest-{count}", "")
+        forest = training.FaultModel("rf", {"n_estimators": count, "max_depth": 4}).fit(table)
+        jobs[count] = len(tracker.getJobIdsForGroup(f"forest-{count}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[40] == jobs[3]
+    assert forest.evaluate(table).first()["roc_auc"] > 0.95
+    params = {"n_estimators": 7, "max_depth": 3, "subsample": 0.8}
+    carried = training.FaultModel("gbt", params).fit(table).fitted.model
+    kept, trees.CHAIN = trees.CHAIN, 2
+    try:
+        anew = training.FaultModel("gbt", params).fit(table).fitted.model
+    finally:
+        trees.CHAIN = kept
+    assert (carried.feature == anew.feature).all() and (carried.cut == anew.cut).all()
+    assert carried.value == pytest.approx(anew.value)
