@@ -125,3 +125,11 @@ def test_language_model_sums_to_one(spark):
     end = next(score[i] for i, w in asked.items() if not w)
     total = 10**end + sum(10 ** (score[i] - end) for i, w in asked.items() if w)
     assert math.isclose(total, 1.0, rel_tol=1e-5)
+
+
+def test_toxicity_of_texts_learned_from(spark):
+    """A word says the same in a text that was learned from, whose bigrams were seen once, as in a new one."""
+    sample = _sample(spark, [(f"left{i} brute right{i}", 1, i % 2) for i in range(20)] + [(f"left{i} kind right{i}", 0, i % 2) for i in range(20, 60)])
+    asked = spark.createDataFrame([(1, "left3 brute right3"), (2, "new brute words"), (3, "left33 kind right33")], "doc_id long, text string")
+    top = {r["doc_id"]: r["x2"] for r in toxicity._featured(asked, "doc_id long", spark.sparkContext.broadcast(sample), 2).collect()}
+    assert top[1] > 0.9 * top[2] > 0 and top[3] < 0.5 * top[1]

@@ -185,39 +185,44 @@ class KneserNey:
             self.backoff.append(((k * DISCOUNT + STRENGTH * part) / total).astype(np.float32))
             self.mass.append(total.astype(np.float32))
 
-    def _ratio(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Log likelihood ratio of every word."""
+    def _ratio(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood ratio of every word after the one before it, and of the word by itself."""
         joint, back = np.unique(_bigrams(hashes, counts), return_inverse=True)
         at, there = _look(self.words, joint & _MASK)
         from_, known = _look(self.words, joint >> _BITS)
         pair, met = _look(self.pairs, joint)
-        logs = []
+        logs, single = [], []
         for c in (0, 1):
             p = np.where(there, self.unigram[c][at], self.rare[c]) if len(self.words) else np.full(len(joint), self.rare[c])
+            single.append(np.log(p))
             p = p * np.where(known, self.backoff[c][from_], 1.0) if len(self.words) else p
             if len(self.pairs):
                 n0, n1 = (self.counts[k][pair].astype(float) for k in (0, 1))
                 share = (np.maximum((n0, n1)[c] - DISCOUNT, 0.0) + SHARED * self.parts[c] * (n0 + n1)) / self.mass[c][from_]
                 p = p + np.where(met, share, 0.0)
             logs.append(np.log(p))
-        return (logs[1] - logs[0])[back]
+        return (logs[1] - logs[0])[back], (single[1] - single[0])[back]
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """Per text: log likelihood ratio per word, of the highest stretch, of the highest word, log of the number of words."""
+        """Per text: log likelihood ratio per word, of the highest stretch, of the highest word, log of the number of words.
+
+        Stretch and word take the larger ratio of both levels: the counts that the classes share level a bigram seen a few
+        times, which must not hide what its word says.
+        """
         out = np.zeros((len(column), FEATURES))
-        for first, last, counts, words, stems in _streams(column):
-            if not len(words):
+        for first, last, counts, *streams in _streams(column):
+            if not len(streams[0]):
                 continue
-            ratio = self._ratio(words, counts) + self._ratio(stems, counts)
-            running = np.concatenate([[0.0], np.cumsum(ratio)])
+            ratio, peak = (sum(r) for r in zip(*[(both, np.maximum(both, own)) for both, own in (self._ratio(words, counts) for words in streams)]))
+            running, peaks = (np.concatenate([[0.0], np.cumsum(r)]) for r in (ratio, peak))
             filled = np.flatnonzero(counts)
             start = (np.cumsum(counts) - counts)[filled]
             end = start + counts[filled]
             # A stretch ends at a word and holds up to STRETCH words of the same text.
             begin = np.maximum(np.arange(len(ratio)) + 1 - STRETCH, np.repeat(start, counts[filled]))
-            stretch = (running[1:] - running[begin]) / STRETCH
+            stretch = (peaks[1:] - peaks[begin]) / STRETCH
             out[first + filled] = np.stack(
-                [(running[end] - running[start]) / counts[filled], np.maximum.reduceat(stretch, start), np.maximum.reduceat(ratio, start), np.log1p(counts[filled])], axis=1
+                [(running[end] - running[start]) / counts[filled], np.maximum.reduceat(stretch, start), np.maximum.reduceat(peak, start), np.log1p(counts[filled])], axis=1
             )
         return out
 
