@@ -179,3 +179,21 @@ def test_trees_answer_a_level_in_one_pass(spark):
         trees.CHAIN = kept
     assert (carried.feature == anew.feature).all() and (carried.cut == anew.cut).all()
     assert carried.value == pytest.approx(anew.value)
+
+
+def test_logistic_reaches_the_optimum_of_collinear_inputs(spark):
+    """Newton steps end at the optimum itself, in a few passes, also with inputs that nearly repeat each other and one that is constant."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=500) + 1e6
+    x = np.column_stack([a, 2 * a + 1e-3 * rng.normal(size=500), np.full(500, 0.1)])
+    y = (a - 1e6 + rng.normal(size=500) > 1).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], "a double, b double, c double, target int")
+    model = training.FaultModel("logistic", {"C": 10.0}).fit(selection.assemble(df, ["a", "b", "c"]))
+    w = np.array([r["coefficient"] for r in model.importance(["a", "b", "c"], sort=False).collect()])
+    z = np.column_stack([(x[:, :2] - x[:, :2].mean(0)) / x[:, :2].std(0), np.zeros(500)])
+    s = np.where(y == 1, 500 / (2 * y.sum()), 500 / (2 * (500 - y.sum())))
+    p = 1 / (1 + np.exp(-(z @ w + model.fitted.intercept)))
+    assert np.abs(w + 10 * z.T @ (s * (p - y))).max() < 1e-3 and abs((s * (p - y)).sum()) < 1e-3
+    assert w[2] == 0 and model.fitted.passes <= 15
+    one = training.FaultModel("logistic").fit(selection.assemble(df.filter("target = 1"), ["a", "b", "c"]))
+    assert one.score(selection.assemble(df, ["a", "b", "c"])).filter("y_prob < 1").count() == 0
