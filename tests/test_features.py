@@ -139,3 +139,18 @@ def test_rolling_deviations_from_moments(spark, offset):
         assert (got[300 + w : 420][whole[300 + w : 420]] == 0).all()
         null = out[f"d{w}"].isna() & ~pd.Series([any(odd[max(0, i - w + 1) : i + 1]) for i in range(2000)])
         assert null.sum() > 0
+
+
+def test_window_tasks_hold_few_chunks(spark, monkeypatch):
+    """Windows are spread by rows, not by the bytes that are shuffled before the rows grow."""
+    monkeypatch.setattr(features, "WINDOW_ROWS", 100)
+    df = spark.range(4000).select(
+        F.col("id").alias("row_id"), F.lit("A").alias("farm_id"), (F.col("id") % 2).alias("event_id"),
+        F.timestamp_micros(F.col("id") * 600_000_000).cast("timestamp_ntz").alias("time_stamp"), (F.col("id") % 13).cast("double").alias("gearbox_oil_temp"),
+    )
+    cut = features.temporal_features(df, rows_per_chunk=100)
+    sizes = [r["count"] for r in cut.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 600
+    trend = "`gearbox_oil_temp` - lag(`gearbox_oil_temp`, 144) OVER (PARTITION BY event_id ORDER BY time_stamp)"
+    plain = {r["row_id"]: r["v"] for r in df.selectExpr("row_id", f"{trend} AS v").collect()}
+    assert {r["row_id"]: r["temp_trend_24h"] for r in cut.collect()} == plain

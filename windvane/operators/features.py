@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from windvane import config
 from windvane.functions import sensors
-from windvane.operators.ordered_chunks import CHUNK, ROWS_PER_CHUNK, OrderedChunks, with_halo
+from windvane.operators.ordered_chunks import CHUNK, OrderedChunks, with_halo
 
 HISTORY = ["farm_id", "event_id"]
 FILE = "source_file"
 ORDER = ["time_stamp", "row_id"]
+WINDOW_ROWS = 100_000  # rows of a chunk: a task sorts them twice, with all window columns
 
 
 def history_keys(df: DataFrame) -> list[str]:
@@ -113,7 +114,7 @@ def temporal_features(
     wanted: set[str] | None = None,
     keys: list[str] | None = None,
     order: list[str] = ORDER,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Lags, trends and rolling deviations over each history (file, if named), in one shuffle.
 
@@ -132,6 +133,11 @@ def temporal_features(
     chosen = lambda columns: {name: x for name, x in columns.items() if wanted is None or name in wanted}
     lags = {name: F.expr(sql) for name, sql in chosen(_lag_columns(have, history)).items()}
     cut = df if layout.trivial else with_halo(layout, df)
+    # A fixed number of partitions keeps few chunks in a task: joined by their shuffled bytes, they would be as many as fit
+    # before the window columns widen the rows. Up to 200 are written without sorting, in next to no memory.
+    full = layout.total // max(rows_per_chunk, WINDOW_ROWS)
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, min(200, 4 * full), full // 2)
+    cut = cut.repartition(parts, *place) if place else cut
     out = rolling_deviations(cut.withColumns(lags), chosen(_deviation_columns(have)), place, order)
     return out if layout.trivial else out.filter("NOT _is_halo").drop(CHUNK, "_is_halo")
 
@@ -142,7 +148,7 @@ def fill_missing(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.selectExpr(*[f"nanvl(coalesce(`{c}`, 0D), 0D) AS `{c}`" if c in filled else f"`{c}`" for c in df.columns])
 
 
-def derive_features(df: DataFrame, *, rows_per_chunk: int = ROWS_PER_CHUNK, fill: bool = True) -> DataFrame:
+def derive_features(df: DataFrame, *, rows_per_chunk: int = WINDOW_ROWS, fill: bool = True) -> DataFrame:
     """Physics and temporal features, then every remaining missing value becomes 0."""
     derived = temporal_features(physics_features(df), rows_per_chunk=rows_per_chunk)
     if not fill:

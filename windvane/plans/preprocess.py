@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from windvane.config import FarmMap
-from windvane.operators.features import derive_features
+from windvane.operators.features import WINDOW_ROWS, derive_features
 from windvane.operators.harmonize import normalize_units
 from windvane.operators.labeling import label_states
-from windvane.operators.ordered_chunks import ROWS_PER_CHUNK
 from windvane.session import remove_folder, scratch_folder, stored
 from windvane.sources import readers, writers
 
@@ -16,7 +15,7 @@ from windvane.sources import readers, writers
 def build_processed(
     harmonized: DataFrame, events: DataFrame, *,
     buffer_before_hours: float = 0.0, buffer_after_hours: float = 0.0,
-    event_order: str | None = None, rows_per_chunk: int = ROWS_PER_CHUNK,
+    event_order: str | None = None, rows_per_chunk: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Features and labels of unit-normalized telemetry (needs event_id and row_id)."""
     featured = derive_features(harmonized, rows_per_chunk=rows_per_chunk)

@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windvane import config
-from windvane.operators.features import derive_features
+from windvane.operators.features import WINDOW_ROWS, derive_features
 from windvane.operators.harmonize import normalize_units
 from windvane.operators.labeling import label_states
-from windvane.operators.ordered_chunks import ROWS_PER_CHUNK
 
 TURBINES = 15
 FAULT_FROM = "2024-01-12"
@@ -72,7 +71,7 @@ def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def processed(spark: SparkSession, sf_dir: str, buffer_hours: float = 0.0, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def processed(spark: SparkSession, sf_dir: str, buffer_hours: float = 0.0, rows_per_chunk: int = WINDOW_ROWS) -> DataFrame:
     featured = derive_features(harmonized(spark, sf_dir), rows_per_chunk=rows_per_chunk)
     return label_states(
         featured, faults(spark, sf_dir), buffer_before_hours=buffer_hours, buffer_after_hours=buffer_hours
