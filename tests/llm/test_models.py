@@ -127,6 +127,20 @@ def test_language_model_sums_to_one(spark):
     assert math.isclose(total, 1.0, rel_tol=1e-5)
 
 
+def test_language_model_reads_the_word_before(spark):
+    """The words of the training texts in another order score lower, and what follows a word sums to one with the end."""
+    held = [i for i in range(100_000, 103_000) if _remainder(i, 5) == 1]
+    known = sorted({w for i, t in TEXTS.items() if _remainder(i, 5) != 1 for w in t.split()})
+    asked = dict(zip(held, ["", "stupid", "bad stupid words bad", "bad words stupid bad", "stupid neverseen", *(f"stupid {w}" for w in known)]))
+    docs = spark.createDataFrame([*TEXTS.items(), *asked.items()], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in lm_score.perplexity_scores(docs).collect()}
+    score = {w: rows[i]["score"] for i, w in asked.items()}
+    before, other = (next(rows[i] for i, w in asked.items() if w == t) for t in ("bad stupid words bad", "bad words stupid bad"))
+    assert before["score"] > other["score"] + 1 and math.isclose(before["base_score"], other["base_score"])
+    total = 10 ** score[""] + sum(10 ** (score[f"stupid {w}"] - score["stupid"]) for w in ["neverseen", *known])
+    assert math.isclose(total, 1.0, rel_tol=1e-5)
+
+
 def test_toxicity_of_texts_learned_from(spark):
     """A word says the same in a text that was learned from, whose bigrams were seen once, as in a new one."""
     sample = _sample(spark, [(f"left{i} brute right{i}", 1, i % 2) for i in range(20)] + [(f"left{i} kind right{i}", 0, i % 2) for i in range(20, 60)])
