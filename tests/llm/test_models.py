@@ -3,6 +3,11 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from windvane.llm import lm_score, quality, toxicity
 
@@ -141,6 +146,38 @@ def test_language_model_reads_the_word_before(spark):
     assert math.isclose(total, 1.0, rel_tol=1e-5)
 
 
+def test_language_model_blocks_of_a_batch(monkeypatch):
+    """Blocks number the rows of a scan in order, whole and alike in every scan, without a column handed from task to task."""
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 10)
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    texts = [["aaaa", None, "bbbb", "cccc", ""], [], ["d" * 35, "e", "f"]]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(len(t))), "text": pa.array(t, pa.string())}) for t in texts]
+    found = [(block - (3 << 32), column.to_pylist(), rows.column(0).to_pylist()) for block, column, rows in lm_score._blocks(batches)]
+    assert found == [(0, ["aaaa", "", "bbbb", "cccc"], [0, 1, 2, 3]), (1, [""], [4]), (2, ["d" * 35], [0]), (3, ["e", "f"], [1, 2])]
+
+
+def test_language_model_takes_texts_to_python_once_a_scan(spark):
+    """Two Python nodes above one another hold the texts of a task twice; spelling cells are not written to files."""
+    docs, _ = _tables(spark)
+    stored = []
+    plan = lm_score.perplexity_scores(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1, plan
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lm_score, "saved", lambda df, name, save=lm_score.saved: stored.append(name) or save(df, name))
+        lm_score.perplexity_scores(docs)
+    assert stored == ["first", "seated", "second", "seated"]
+
+
+def test_language_model_writes_fewer_files_than_parts(spark):
+    """A bucket holds several parts, each whole in one file, and grouping by part still needs no shuffle."""
+    parts = 10 * lm_score.LEAST_PARTS
+    table = lm_score._bucketed(spark.range(4 * parts).select((F.col("id") % parts).cast("int").alias("part"), "id"), parts)
+    rows = table.select("part", F.input_file_name().alias("file")).distinct().collect()
+    assert len(rows) == parts and len({r["file"] for r in rows}) <= parts // lm_score.PARTS_A_BUCKET
+    grouped = table.groupBy("part").count()
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString() and {r["count"] for r in grouped.collect()} == {4}
+
+
 def test_toxicity_of_texts_learned_from(spark):
     """A word says the same in a text that was learned from, whose bigrams were seen once, as in a new one."""
     sample = _sample(spark, [(f"left{i} brute right{i}", 1, i % 2) for i in range(20)] + [(f"left{i} kind right{i}", 0, i % 2) for i in range(20, 60)])

@@ -27,7 +27,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windvane.llm.common import saved, shared_folder, text_column, text_rows
@@ -41,6 +41,7 @@ SWEEPS, BURN_IN = 8, 4
 DRAWS = 3  # of the context seating and of the word seating that prices words
 BLOCK_BYTES = 15 << 20
 PART_BYTES, LEAST_PARTS = 8 << 20, 16  # of text for every part
+PARTS_A_BUCKET = 4  # a task takes the parts of its bucket one after another and writes one file for all
 GROUP_BYTES = 8 << 20  # of the table of questions in Parquet
 WORDS_AT_ONCE = 1 << 16
 CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.7, 1.0
@@ -143,13 +144,11 @@ class Spelling:
         return cls([(np.zeros(1, np.int64), np.full((1, SYMBOLS), 1 / SYMBOLS))])
 
     @classmethod
-    def fit(cls, cells: DataFrame) -> Spelling:
-        """From cells (context and symbol as one number) with customers; chains are tasks."""
-        spark = cells.sparkSession
-        found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
-        if not len(found):
+    def fit(cls, spark: SparkSession, cells: np.ndarray, customers: np.ndarray) -> Spelling:
+        """From cells in order (context and symbol as one number) with customers; chains are tasks."""
+        if not len(cells):
             return cls.uniform()
-        data = spark.sparkContext.broadcast((found["cell"].to_numpy(np.int64), found["n"].to_numpy()))
+        data = spark.sparkContext.broadcast((cells, customers))
 
         def run(batches):
             for batch in batches:
@@ -206,16 +205,6 @@ def _spelled(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return codes, context, word, weight
 
 
-def _blocked(batches):
-    """Rows with the number of their block: consecutive rows of one batch, about BLOCK_BYTES of text."""
-    block = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        sizes = np.diff(raw_bytes(text_column(batch))[1])
-        numbers = block + (np.cumsum(sizes) - sizes) // BLOCK_BYTES
-        block = int(numbers[-1]) + 1 if len(numbers) else block
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "block"])
-
-
 def pack(*columns: np.ndarray) -> bytes:
     """Arrays as one compressed value: first all lowest bytes of an array, then all second ones, so that small numbers cost little."""
     raw = [np.array([len(c) for c in columns], np.int64).tobytes()]
@@ -267,13 +256,15 @@ def _numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _blocks(batches):
-    """For every block of every batch: its number, texts, and rows."""
+    """Blocks of consecutive rows of one batch, about BLOCK_BYTES of text: number, texts, and rows. Every scan of a table numbers them alike."""
+    block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        blocks = batch.column(batch.schema.get_field_index("block")).to_numpy()
-        for block in np.unique(blocks):
-            rows = np.flatnonzero(blocks == block)
-            part = batch.slice(rows[0], len(rows))
-            yield int(block), text_column(part), part
+        sizes = np.diff(raw_bytes(text_column(batch))[1])
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BLOCK_BYTES, prepend=-1))
+        for first, last in zip(cuts, [*cuts[1:], len(sizes)]):
+            part = batch.slice(first, last - first)
+            yield block, text_column(part), part
+            block += 1
 
 
 def _held(part: pa.RecordBatch) -> np.ndarray:
@@ -531,9 +522,10 @@ def _last_seating(model, others: float):
 def _word_prices(words: DataFrame, model, tables: float) -> tuple:
     """A round of spelling model and word seating over words with their customers: the model, its tables, the words seated, and what prices follow from besides."""
     spark, words = words.sparkSession, words.select("part", "blob")
-    cells = saved(words.mapInArrow(_seated(model, tables), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
-    tables = float(cells.filter("cell < 0").agg(F.sum("n")).first()[0] or 0)
-    model = spark.sparkContext.broadcast(Spelling.fit(cells.filter("cell >= 0")))
+    found = words.mapInArrow(_seated(model, tables), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
+    cells, customers = found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    tables = float(customers[cells < 0].sum())
+    model = spark.sparkContext.broadcast(Spelling.fit(spark, cells[cells >= 0], customers[cells >= 0]))
     seated = saved(words.mapInArrow(_last_seating(model, tables), _MESSAGE), "seated")
     # The tables of this very seating: what they discount from all words is what the base shares out, so it sums to 1.
     customers, spelled, opened = seated.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in "xyz"]).first()
@@ -568,7 +560,8 @@ def _scores(train_tokens: int, distinct: int, end_count: int, end: float):
 def _bucketed(df: DataFrame, parts: int) -> DataFrame:
     """``df`` written once by part and read back so that grouping by part needs no shuffle."""
     spark, name = df.sparkSession, f"asked_{uuid.uuid4().hex}"
-    writer = df.repartition(parts, "part").write.bucketBy(parts, "part").option("parquet.block.size", GROUP_BYTES)
+    buckets = max(LEAST_PARTS, -(-parts // PARTS_A_BUCKET))
+    writer = df.repartition(buckets, "part").write.bucketBy(buckets, "part").option("parquet.block.size", GROUP_BYTES)
     writer.option("path", shared_folder(spark, "asked")).saveAsTable(name)
     stored = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # only the name: the files go when the session ends
@@ -603,7 +596,7 @@ def perplexity_scores(documents: DataFrame) -> DataFrame:
     learned = F.when(~held_out("doc_id", FOLDS, HELD_OUT), 1)
     ends, size = documents.agg(F.count(learned), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).cast("long")).first()
     parts = max(LEAST_PARTS, -(-size // PART_BYTES))
-    docs = text_rows(documents).withColumn("held_out", held_out("doc_id", FOLDS, HELD_OUT)).mapInArrow(_blocked, "doc_id long, text string, held_out boolean, block long")
+    docs = text_rows(documents).withColumn("held_out", held_out("doc_id", FOLDS, HELD_OUT))
     asked = _bucketed(docs.mapInArrow(_asked(parts), "part int, block long, blob binary"), parts)
     _collect_shuffles(spark)
     first = saved(asked.groupBy("part").applyInArrow(_first_seating(parts), _MESSAGE), "first")
