@@ -1,6 +1,8 @@
 """Scores against counts by hand, and classifiers on separable texts."""
 
 import math
+import random
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -178,6 +180,50 @@ def test_language_model_writes_fewer_files_than_parts(spark):
     assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString() and {r["count"] for r in grouped.collect()} == {4}
 
 
+def _asked_of(monkeypatch, texts, held):
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batches = [pa.RecordBatch.from_pydict({"text": t, "held_out": h}) for t, h in zip(texts, held)]
+    return pa.Table.from_batches(lm_score._asked(1)(iter(batches)))
+
+
+def test_language_model_adds_pairs_by_runs_of_blocks(monkeypatch):
+    """Counts of a part against a dictionary, however few pairs are unpacked at once, and every block's own pairs among them."""
+    draw = random.Random(5)
+    texts = [[" ".join(draw.choices("abcdefgh", k=draw.randint(0, 9))) for _ in range(6)] for _ in range(7)]
+    held = [[draw.random() < 0.3 for _ in t] for t in texts]
+    asked, counts = _asked_of(monkeypatch, texts, held), Counter()
+    for text, out in ((t, o) for b, h in zip(texts, held) for t, o in zip(b, h)):
+        for pair in zip(["", *text.split()], text.split()):
+            counts[pair] += not out
+    for at_once in (1, 20, 1 << 20):
+        monkeypatch.setattr(lm_score, "KEYS_AT_ONCE", at_once)
+        own = lm_score._Merged(asked)
+        size, data = own.spelled()
+        named = [w.decode() for w in (data.tobytes()[e - n : e] for n, e in zip(size, size.cumsum()))]
+        before = {int(h) >> 16: w for h, w in zip(own.words, named)}
+        pairs = [(before[int(own.contexts[c])], named[w]) for w, c in zip(own.word, own.context)]
+        assert dict(zip(pairs, own.pair_count.tolist())) == dict(counts)
+        for block, at in zip(texts, own.pair_at(), strict=True):
+            assert {pairs[i] for i in at} == {p for t in block for p in zip(["", *t.split()], t.split())}
+
+
+def test_language_model_memory_follows_distinct_pairs(monkeypatch):
+    """Pairs that come in every block, as those of a frequent word do, are held once."""
+    draw, words = random.Random(7), [f"w{i}" for i in range(200)]
+    asked = _asked_of(monkeypatch, [[" ".join(draw.choices(words, k=30_000))]], [[False]])
+    monkeypatch.setattr(lm_score, "KEYS_AT_ONCE", 1 << 10, raising=False)
+
+    def peak(blocks):
+        table = pa.concat_tables([asked.set_column(1, "block", pa.array([i])) for i in range(blocks)])
+        tracemalloc.start()
+        lm_score._Merged(table)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(60) < 2 * peak(6)
+
+
 def test_toxicity_of_texts_learned_from(spark):
     """A word says the same in a text that was learned from, whose bigrams were seen once, as in a new one."""
     sample = _sample(spark, [(f"left{i} brute right{i}", 1, i % 2) for i in range(20)] + [(f"left{i} kind right{i}", 0, i % 2) for i in range(20, 60)])

@@ -44,6 +44,7 @@ PART_BYTES, LEAST_PARTS = 8 << 20, 16  # of text for every part
 PARTS_A_BUCKET = 4  # a task takes the parts of its bucket one after another and writes one file for all
 GROUP_BYTES = 8 << 20  # of the table of questions in Parquet
 WORDS_AT_ONCE = 1 << 16
+KEYS_AT_ONCE = 1 << 20
 CONTEXT_DISCOUNT, CONTEXT_STRENGTH = 0.7, 1.0
 WORD_DISCOUNT, WORD_STRENGTH = 0.7, 10.0
 SYMBOL_DISCOUNT, SYMBOL_STRENGTH = 0.5, 1.0
@@ -321,23 +322,81 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
 
 
+class _Sums:
+    """Distinct keys in order with the sums of their values, which come some at a time: memory follows the distinct keys."""
+
+    def __init__(self, kind: type):
+        self.keys, self.values = np.zeros(0, kind), np.zeros(0, np.int64)
+        self._more, self._size = [], 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self._more.append((keys, values))
+        self._size += len(keys)
+        if self._size > max(len(self.keys), KEYS_AT_ONCE):
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._size:
+            keys, values = (np.concatenate([own, *more]) for own, more in zip((self.keys, self.values), zip(*self._more)))
+            self._more, self._size = [], 0
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            self.keys, self.values = keys[first], np.add.reduceat(values[order], first)
+        return self.keys, self.values
+
+
 class _Merged:
-    """Words and pairs of a part with their training counts in all blocks, and where each block's own are among them."""
+    """Words and pairs of a part with their training counts in all blocks, and where each block's own are among them.
+
+    A very frequent word has a pair with nearly every word of every block: pairs are unpacked and added by runs of blocks.
+    """
 
     def __init__(self, table: pa.Table):
         table = table.sort_by("block")
-        self.blocks = table.column("block").to_pylist()
-        asked = [unpack(b, *_ASKED) for b in table.column("blob").to_pylist()]
-        self.word_edges, self.pair_edges = (np.cumsum([0, *(len(x[i]) for x in asked)]) for i in (0, 5))
-        hashes = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked])
-        n, self._size, self._spelled, followed, contexts, m = (np.concatenate([x[i] for x in asked]) for i in range(1, 7))
-        del asked
+        self.blocks, self._blobs = table.column("block").to_pylist(), table.column("blob")
+        found, run, self._runs, contexts, pairs = [], [], [], _Sums(np.uint64), _Sums(np.int64)
+        for i, blob in enumerate(self._blobs):
+            differences, *words, context, m = unpack(blob.as_py(), *_ASKED)
+            found.append((np.cumsum(differences, dtype=np.uint64), *words))
+            run.append((context, m))
+            if i + 1 == len(self.blocks) or sum(len(c) for c, _ in run) > KEYS_AT_ONCE:
+                self._runs.append((i + 1 - len(run), i + 1))
+                named = self._keep(self._runs[-1], run)
+                contexts.add(named, np.zeros(len(named), np.int64))
+                run = []
+        self.word_edges = np.cumsum([0, *(len(x[0]) for x in found)])
+        hashes, n, self._size, self._spelled, self._followed = (np.concatenate(x) for x in zip(*found))
+        del found
         self.words, self.word_at = _distinct(hashes)
         self.count = np.bincount(self.word_at, n, minlength=len(self.words)).astype(np.int64)
-        self.contexts, at = _distinct(contexts)
-        pairs, self.pair_at = _distinct(np.repeat(self.word_at.astype(np.int64), followed) * max(len(self.contexts), 1) + at)
-        self.word, self.context = np.divmod(pairs, max(len(self.contexts), 1))
-        self.pair_count = np.bincount(self.pair_at, m, minlength=len(pairs)).astype(np.int64)
+        self.contexts = contexts.sums()[0]
+        for blocks in self._runs:
+            pairs.add(*self._pairs(blocks))
+        self._keys, self.pair_count = pairs.sums()
+        self.word, self.context = (x.astype(np.int32) for x in np.divmod(self._keys, max(len(self.contexts), 1)))
+
+    def _keep(self, blocks: tuple[int, int], found: list[tuple]) -> np.ndarray:
+        """Contexts and training counts of a run's pairs, the last run's only; returns the distinct contexts."""
+        context, m = (np.concatenate(x) for x in zip(*found))
+        self._kept = (blocks, *_distinct(context), m)
+        return self._kept[1]
+
+    def _pairs(self, blocks: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a run of blocks, each as one number, in their order, and their training counts there."""
+        if self._kept[0] != blocks:
+            self._keep(blocks, [unpack(self._blobs[i].as_py(), *_ASKED)[5:] for i in range(*blocks)])
+        _, named, at, m = self._kept
+        words = slice(self.word_edges[blocks[0]], self.word_edges[blocks[1]])
+        first = np.repeat(self.word_at[words].astype(np.int64) * max(len(self.contexts), 1), self._followed[words])
+        return first + np.searchsorted(self.contexts, named)[at], m
+
+    def pair_at(self):
+        """For every block, where its pairs are among those of the part."""
+        for blocks in self._runs:
+            at = np.searchsorted(self._keys, self._pairs(blocks)[0]).astype(np.int32)
+            sizes = [int(self._followed[self.word_edges[i] : self.word_edges[i + 1]].sum()) for i in range(*blocks)]
+            yield from np.split(at, np.cumsum(sizes)[:-1])
 
     def spelled(self) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and bytes of the words, lower-cased."""
@@ -462,8 +521,8 @@ def _answered(scale: tuple[float, float, float]):
             opened[known] = tables[at[known]]
             last[known] -= customers[at[known]].astype(np.int64)
         out = []
-        for i in range(len(own.blocks)):
-            w, p = own.word_at[own.word_edges[i] : own.word_edges[i + 1]], own.pair_at[own.pair_edges[i] : own.pair_edges[i + 1]]
+        for i, p in enumerate(own.pair_at()):
+            w = own.word_at[own.word_edges[i] : own.word_edges[i + 1]]
             out.append(pack(own.words[w].sum(keepdims=True), own.count[w], price[w], opened[w], last[w], left[p]))
         return pa.table({"block": pa.array(own.blocks, pa.int64()), "part": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
 
