@@ -197,3 +197,53 @@ def test_logistic_reaches_the_optimum_of_collinear_inputs(spark):
     assert w[2] == 0 and model.fitted.passes <= 15
     one = training.FaultModel("logistic").fit(selection.assemble(df.filter("target = 1"), ["a", "b", "c"]))
     assert one.score(selection.assemble(df, ["a", "b", "c"])).filter("y_prob < 1").count() == 0
+
+
+def test_boosted_trees_do_not_depend_on_partitions(spark):
+    """Counts are whole numbers and pulls lie on a grid, so sums and the siblings' differences are exact in any order."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 20, size=(4000, 5)) / 7
+    y = (x[:, 0] * x[:, 1] + rng.normal(size=4000) > 3.1).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], "a double, b double, c double, d double, e double, target int")
+    found = []
+    for parts in (2, 7):
+        table = selection.assemble(df.repartition(parts), ["a", "b", "c", "d", "e"])
+        found.append(training.FaultModel("gbt", {"n_estimators": 5, "max_depth": 8, "colsample": 0.6}).fit(table).fitted.model)
+    for name in ("feature", "cut", "value", "gain"):
+        assert (getattr(found[0], name) == getattr(found[1], name)).all(), name
+    assert (found[0].feature[:, 127:] >= 0).any()
+
+
+@pytest.mark.parametrize("together", [1, 2, 3])
+def test_joint_cells_give_every_feature_its_sums(together):
+    from windvane.plans import trees
+
+    rng = np.random.default_rng(together)
+    bins, node, y, pull = rng.integers(0, 32, (8, 900)).astype(np.uint8), rng.integers(0, 2, 900), rng.integers(0, 2, 900), rng.normal(size=900)
+    cells = 32**together
+    one = np.array([1.0, trees.CLASS_1])[y]
+    joint = np.array([[np.bincount(node * cells + code, w, 2 * cells) for code in trees._codes(trees._words(bins), together)] for w in (one, pull)])
+    sums = trees._by_feature(joint, together, 8)
+    for f in range(8):
+        for k, w in enumerate((y == 0, y == 1, pull)):
+            assert sums[:, f, :, k].ravel() == pytest.approx(np.bincount(node * 32 + bins[f], w, 64))
+
+
+def test_rows_are_led_alike_by_columns_and_by_node():
+    from windvane.plans import trees
+
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 32, (7, 500)).astype(np.uint8)
+    feature = np.where(rng.random(511) < 0.85, rng.integers(0, 7, 511), -1).astype(np.int16)
+    feature[255:] = -1
+    cut = rng.integers(0, 31, 511).astype(np.uint8)
+    plain = np.zeros(500, int)
+    for row in range(500):
+        while feature[plain[row]] >= 0:
+            plain[row] = 2 * plain[row] + 1 + (bins[feature[plain[row]], row] > cut[plain[row]])
+    assert (trees._swept_words(feature, cut, trees._words(bins), 8) == plain).all()
+    at, node = trees._leaves(feature, cut, bins)
+    assert (node[np.argsort(at)] == plain).all() and len(at) == 500
+    at, node = trees._leaves(feature, cut, bins, np.arange(0, 500, 3), 4)
+    shown = [r for r in range(0, 500, 3) if plain[r] >= 15]
+    assert sorted(at) == shown and ((node >= 15) & (node < 31)).all()
