@@ -247,3 +247,16 @@ def test_rows_are_led_alike_by_columns_and_by_node():
     at, node = trees._leaves(feature, cut, bins, np.arange(0, 500, 3), 4)
     shown = [r for r in range(0, 500, 3) if plain[r] >= 15]
     assert sorted(at) == shown and ((node >= 15) & (node < 31)).all()
+
+
+def test_bin_bounds_lie_close_to_the_quantiles(spark):
+    """Ranks of bounds are off by at most one in ``POINTS``; few values are parted in the middle."""
+    from windvane.plans import trees
+
+    n = 200_003
+    rows = spark.range(n, numPartitions=2).select(F.array((F.col("id") * 7919 % n).cast("double"), (F.col("id") % 5).cast("double"), F.lit(2.5)).alias("x"))
+    many, few, one = trees.thresholds(rows, 3)
+    assert len(many) == trees.BINS - 1 and np.abs((many + 1) / n - np.arange(1, trees.BINS) / trees.BINS).max() <= 1 / trees.POINTS
+    assert few.tolist() == [0.5, 1.5, 2.5, 3.5] and not len(one)
+    small = trees.thresholds(rows.filter("x[0] < 64").repartition(5), 3)[0]
+    assert small.tolist() == [2 * i + 1.0 for i in range(31)]
